@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import token_binary
+from sparkloom.llm import bpe, packing, secrets, token_binary
 
 
 def queries() -> dict:
     return {
+        "op5_packing": packing.op5_packing,
+        "op6_secrets": secrets.op6_secrets,
+        "op8_bpe": bpe.op8_bpe,
         "op2_token_binary": token_binary.op2_token_binary,
     }
 
