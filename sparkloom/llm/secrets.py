@@ -72,10 +72,11 @@ def _weight(count: Column) -> Column:
 def hot_stretch(candidate: Column, window: int, least: float) -> Column:
     """First and last end (1-based) of windows with enough entropy; 0 and 0 if none."""
     codes = F.transform(F.split(candidate, ""), lambda c: F.ascii(c) - 42)
+    leaving = F.concat(F.array_repeat(F.lit(0), window), F.slice(codes, 1, F.greatest(F.length(candidate) - window, F.lit(0))))
+    moves = F.zip_with(codes, leaving, lambda x, y: F.struct(x.alias("code"), y.alias("gone")))
 
-    def step(state: Column, code: Column) -> Column:
-        i = state["i"] + 1
-        gone = F.when(i > window, F.element_at(codes, F.greatest(i - window, F.lit(1)))).otherwise(F.lit(0))
+    def step(state: Column, move: Column) -> Column:
+        i, code, gone = state["i"] + 1, move["code"], move["gone"]
         into = F.element_at(state["counts"], code)
         plus = state["sum"] + _weight(into + 1) - _weight(into)
         left = F.when(gone > 0, F.element_at(state["counts"], F.greatest(gone, F.lit(1))) + F.when(gone == code, 1).otherwise(0)).otherwise(F.lit(0))
@@ -91,7 +92,7 @@ def hot_stretch(candidate: Column, window: int, least: float) -> Column:
         )
 
     begin = F.struct(F.lit(0).alias("i"), F.array_repeat(F.lit(0), SYMBOLS).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("first"), F.lit(0).alias("last"))
-    return F.aggregate(codes, begin, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    return F.aggregate(moves, begin, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
 
 def entropy_spans(text: Column, allow: tuple[str, ...] = ALLOW) -> Column:
@@ -105,15 +106,13 @@ def entropy_spans(text: Column, allow: tuple[str, ...] = ALLOW) -> Column:
             banned = allowed
             for pattern in allow:
                 banned = banned | candidate.rlike(pattern)
-            stretch = F.when(candidate.rlike(f"^(?:{shape})$") & ~banned, hot_stretch(candidate, window, least))
-            return F.struct(
-                (c["start"] + stretch["first"] - window).alias("start"),
-                F.lit(rank).alias("rank"),
-                (c["start"] + stretch["last"]).alias("stop"),
-                F.when(stretch["first"] > 0, F.lit(name)).alias("kind"),
-            )
-
-        return F.filter(F.transform(found, one), lambda s: s["kind"].isNotNull())
+            fits = candidate.rlike(f"^(?:{shape})$") & ~banned
+            return F.struct(c["start"].alias("at"), F.when(fits, hot_stretch(candidate, window, least)).alias("hot"))
+
+        def span(x: Column) -> Column:
+            return F.struct((x["at"] + x["hot"]["first"] - window).alias("start"), F.lit(rank).alias("rank"), (x["at"] + x["hot"]["last"]).alias("stop"), F.lit(name).alias("kind"))
+
+        return F.transform(F.filter(F.transform(found, one), lambda x: x["hot"]["first"] > 0), span)
 
     parts = [spans_of(3 + k, *c) for k, c in enumerate(CLASSES)]
     return F.when(text.rlike(CANDIDATE), F.concat(*parts)).otherwise(_empty())
