@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import bpe, packing, secrets, token_binary
+from sparkloom.llm import ann, bpe, langid, media, packing, secrets, simhash, token_binary
 
 
 def queries() -> dict:
@@ -10,6 +10,10 @@ def queries() -> dict:
         "op5_packing": packing.op5_packing,
         "op6_secrets": secrets.op6_secrets,
         "op8_bpe": bpe.op8_bpe,
+        "op1_simhash": simhash.op1_simhash,
+        "op3_language": langid.op3_language,
+        "op7_media": media.op7_media,
+        "op10_nearest": ann.op10_nearest,
         "op2_token_binary": token_binary.op2_token_binary,
     }
 
