@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import ann, bpe, langid, media, packing, secrets, simhash, token_binary
+from sparkloom.llm import ann, bpe, langid, licenses, media, packing, secrets, simhash, token_binary, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,8 @@ def queries() -> dict:
         "op3_language": langid.op3_language,
         "op7_media": media.op7_media,
         "op10_nearest": ann.op10_nearest,
+        "op4_licenses": licenses.op4_licenses,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op2_token_binary": token_binary.op2_token_binary,
     }
 
