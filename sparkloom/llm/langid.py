@@ -129,17 +129,14 @@ def train(docs: DataFrame, rows_per_language: int = SAMPLE_ROWS) -> Model:
     return Model(languages, log, prior)
 
 
-PREDICTION = "lang_pred string, score double"
-
-
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score (probability of that language).
+def identify(docs: DataFrame, model: Model, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its probability in two columns.
 
     Null texts and texts without a letter get ``und`` and 0.0; so do all rows if there
     was nothing to learn from. Columns of the two names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    base = docs.drop("lang_pred", "score")
+    base = docs.drop(*into)
 
     def run(batches):
         for batch in encoding.slices(batches, "text", 2_000_000):
@@ -150,10 +147,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 score = np.where(some, share, 0.0)
             else:
                 lang, score = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang), pa.array(score)], [*batch.schema.names, *into])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(run, f"{schema}, {PREDICTION}")
+    return base.mapInArrow(run, f"{schema}, `{into[0]}` string, `{into[1]}` double")
 
 
 def predictions(docs: DataFrame, rows_per_language: int = SAMPLE_ROWS) -> DataFrame:

@@ -185,9 +185,11 @@ class MediaReader(DataSourceReader):
             directory, length = end_record(lambda at, n, p=path: storage.read_range(p, at, n), size)
             for lo in range(0, directory, self.range_bytes):
                 found.append(ByteRange(path, lo, min(lo + self.range_bytes, directory), directory, length))
-        return found
+        return found or [ByteRange("", 0, 0, 0, 0)]  # Spark wants one partition at least
 
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
+        if not part.path:
+            return
         fs, path = storage.resolve(part.path)
         with fs.open_input_file(path) as file:
             rows, held = [], 0
