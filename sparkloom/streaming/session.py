@@ -38,7 +38,7 @@ def last_bot_stream(turns: DataFrame) -> DataFrame:
 
 def running_counts(tokens: DataFrame, time: str, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Token counts per window of event time, late rows within the watermark included."""
-    return tokens.withWatermark(time, late).groupBy(F.window(time, size), "token").agg(F.count("*").alias("n"))
+    return tokens.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, size), "token").agg(F.count("*").alias("n"))
 
 
 def accumulate_gram(stream: DataFrame, folder: str, checkpoint: str, gram) -> object:
