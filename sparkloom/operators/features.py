@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLICE = 512
-ROWS_AT_ONCE = 4_096
+ROWS_AT_ONCE = 2_048
 CONTEXT_SIGMA = 1.5
 
 
@@ -185,9 +185,12 @@ def predict(rows: DataFrame, weights: np.ndarray, transform=None, k: int = 3, x:
                     continue
                 z = lists_to_matrix(batch.column("__x"))
                 score = np.asarray(transform(z) if transform else z, np.float64) @ shared.value
-                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                best, top = score.max(axis=1), np.empty((len(score), min(k, score.shape[1])), np.int32)
+                for place in range(top.shape[1]):  # argmax takes the lowest id of a tie
+                    top[:, place] = score.argmax(axis=1)
+                    score[np.arange(len(score)), top[:, place]] = -np.inf
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in keep), pa.array(top.tolist(), pa.list_(pa.int32())), pa.array(np.take_along_axis(score, top[:, :1], 1)[:, 0])],
+                    [*(batch.column(c) for c in keep), pa.array(top.tolist(), pa.list_(pa.int32())), pa.array(best)],
                     [*keep, "top", "top_score"],
                 )
 
