@@ -28,6 +28,8 @@ TABLES, PROJECTIONS, WIDTH = 3, 8, 2.0
 #: Rows (about) and queries of the sample that the index is fitted on.
 SAMPLE_ROWS, SAMPLE_QUERIES = 4_000, 200
 RECALL_TARGET = 0.96
+#: Table entries per cell; a query hands on k rows per cell it visits.
+CELL_ROWS = 5_000
 SEED = 42
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -181,7 +183,7 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, by: str = "vec_id",
         return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(index or fitted)
     parts = common.shuffle_parts(spark)
-    cells = 2 * parts
+    cells = max(1, min(n * shared.value.project.shape[0] // CELL_ROWS, 4 * parts))
 
     def count(batches):
         for batch in batches:
