@@ -64,3 +64,14 @@ def weighted_sum(counts: DataFrame, table: DataFrame, dims: int, boost: F.Column
     packed = rows.groupBy("doc_id").agg(*sums).select("doc_id", F.array(*[f"d{d}" for d in range(dims)]).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)) + 1e-10
     return packed.withColumn("norm", norm).select("doc_id", F.transform("v", lambda x: x / F.col("norm")).alias("vec"))
+
+
+def chunk_counts(chunks: DataFrame, key: str = "url") -> DataFrame:
+    """(doc_id, token, n) of chunks: words of the text and the keywords, repeats kept."""
+    all_words = F.concat(F.filter(F.split("text", " "), lambda t: t != ""), F.coalesce("keywords", F.expr("cast(array() as array<string>)")))
+    return chunks.select(F.col(key).alias("doc_id"), F.explode(all_words).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+
+
+def domain_boost(words: list[str], factor: float = 3.0) -> F.Column:
+    """Weight of domain words, whatever their case; 1 for others."""
+    return F.when(F.lower("token").isin(words), factor).otherwise(1.0)

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from sparkloom.functions import text as tx
 from sparkloom.functions import vectors as vx
 from sparkloom.operators import evaluate, features, pairs, retrieve, sections, solvers, vocab, windows
-from sparkloom.sources import dialog, sinks
+from sparkloom.sources import dialog, sinks, tables
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -490,8 +490,8 @@ def bow_embedding(spark, sf_dir):
     """Bag-of-words vectors; the i-th vocabulary entry has the i-th embedding, tokens
     beyond the table are unknown and left out."""
     toks = _tokens(spark, sf_dir)
-    counts = vocab.token_counts(toks)
-    ids = vocab.vocabulary(toks)
+    counts = tables.cut(vocab.token_counts(toks), "counts")
+    ids = vocab.vocabulary(counts)
     emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("token_id"), F.col("embedding").alias("emb"))
     rows = ids.join(emb, "token_id").join(_idf(spark, sf_dir, counts), "token").select("token", "idf", "emb")
     found = retrieve.weighted_sum(counts, rows, 64)
@@ -499,7 +499,7 @@ def bow_embedding(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    counts = vocab.token_counts(_tokens(spark, sf_dir))
+    counts = tables.cut(vocab.token_counts(_tokens(spark, sf_dir)), "counts")
     weights = _idf(spark, sf_dir, counts)
     asked = vocab.token_counts(vocab.tokens(table(spark, sf_dir, "benchmark"), "item_id"))
     q = retrieve.tfidf(asked, weights).withColumnRenamed("doc_id", "query_id")
@@ -526,6 +526,49 @@ def retrieve_fallback(spark, sf_dir):
     return retrieve.with_fallback(asked, retrieve.best(_scored(spark, sf_dir), 1), 12.0).withColumn("kw_raw", F.round("kw_raw", 6))
 
 
+_CHUNK_TOKENS = f"""ct AS (SELECT s.url AS doc_id, unnest({TOKENS_A.format('s.text')}[1:80] || coalesce((SELECT list(token ORDER BY rank) FROM kr WHERE kr.url = s.url AND rank <= 15), [])) AS token FROM sec s),
+cc AS (SELECT doc_id, token, count(*) AS n FROM ct GROUP BY ALL), cd AS (SELECT token, count(*) AS df FROM cc GROUP BY token), cr AS (SELECT token, ln(((SELECT count(*) FROM sec) + 1) / (df + 1)) + 1 AS r FROM cd), ci AS (SELECT token, r / (SELECT avg(r) FROM cr) AS idf, row_number() OVER (ORDER BY token) - 1 AS id FROM cr)"""
+
+
+@query(
+    f"""WITH {_SECTIONS}, {_KW}, {_CHUNK_TOKENS}, m AS (SELECT token, idf, embedding FROM ci JOIN embeddings ON vec_id = id),
+s AS (SELECT doc_id, unnest(embedding)::DOUBLE * n * idf * CASE WHEN lower(token) IN {_list_sql(vocab.DOMAIN_WORDS)} THEN 3.0 ELSE 1.0 END AS v, unnest(range(len(embedding)))::INT AS dim FROM cc JOIN m USING (token)),
+t AS (SELECT doc_id, dim, sum(v) AS v FROM s GROUP BY ALL), z AS (SELECT doc_id, sqrt(sum(v * v)) + 1e-10 AS z FROM t GROUP BY doc_id) SELECT doc_id AS url, dim, round(v / z, 6) AS value FROM t JOIN z USING (doc_id)"""
+)
+def chunk_embedding(spark, sf_dir):
+    """Chunk vectors: text and keywords, domain words three times as heavy."""
+    chunks = tables.cut(sections.chunks(sections.content_sections(_sections(spark, sf_dir))), "chunks")
+    counts = tables.cut(retrieve.chunk_counts(chunks), "counts")
+    ids = vocab.vocabulary(counts)
+    weights = vocab.idf(vocab.document_frequency(counts), chunks.count())
+    emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("token_id"), F.col("embedding").alias("emb"))
+    rows = ids.join(emb, "token_id").join(weights, "token").select("token", "idf", "emb")
+    found = retrieve.weighted_sum(counts, rows, 64, retrieve.domain_boost(vocab.DOMAIN_WORDS))
+    return found.select(F.col("doc_id").alias("url"), F.posexplode("vec").alias("dim", "value")).withColumn("value", F.round("value", 6))
+
+
+@query(
+    f"""WITH {_SECTIONS}, {_KW}, {_CHUNK_TOKENS}, bt AS (SELECT item_id, unnest({WORDS}) AS token FROM benchmark), bc AS (SELECT DISTINCT item_id, token FROM bt),
+kw AS (SELECT item_id, doc_id, sum(idf) AS kw_raw FROM bc JOIN ci USING (token) JOIN (SELECT DISTINCT doc_id, token FROM cc) USING (token) GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(kw_raw, 9) DESC, doc_id) AS r FROM kw),
+tx AS (SELECT url, array_to_string({TOKENS_A.format('text')}[1:80], ' ') AS t, CASE WHEN contains(url, '/en/') THEN 'en' ELSE 'de' END AS lang FROM sec)
+SELECT b.item_id, round(coalesce(rk.kw_raw, 0), 6) AS kw_raw, CASE WHEN rk.doc_id IS NULL THEN b.text WHEN lang = 'de' THEN 'kontext ' || t || ' frage ' || b.text ELSE 'context ' || t || ' question ' || b.text END AS prompt FROM benchmark b LEFT JOIN rk ON rk.item_id = b.item_id AND r = 1 LEFT JOIN tx ON tx.url = rk.doc_id"""
+)
+def rag_selection(spark, sf_dir):
+    """Each benchmark item with its best chunk by shared idf, as a prompt."""
+    chunks = tables.cut(sections.chunks(sections.content_sections(_sections(spark, sf_dir))), "chunks")
+    counts = tables.cut(retrieve.chunk_counts(chunks), "counts")
+    weights = vocab.idf(vocab.document_frequency(counts), chunks.count())
+    items = table(spark, sf_dir, "benchmark")
+    asked = vocab.tokens(items, "item_id").select(F.col("doc_id").alias("item_id"), "token").distinct()
+    met = asked.join(weights, "token").join(counts.select("doc_id", "token"), "token").groupBy("item_id", "doc_id").agg(F.sum("idf").alias("kw_raw"))
+    best = met.withColumn("r", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc(F.round("kw_raw", 9)), "doc_id"))).where("r = 1")
+    found = best.join(chunks.select(F.col("url").alias("doc_id"), F.col("text").alias("chunk"), "lang"), "doc_id")
+    rows = items.select("item_id", "text").join(found, "item_id", "left")
+    prompt = F.when(F.col("chunk").isNull(), F.col("text")).otherwise(tx.prompt(F.col("chunk"), F.col("text"), F.col("lang")))
+    return rows.select("item_id", F.round(F.coalesce("kw_raw", F.lit(0.0)), 6).alias("kw_raw"), prompt.alias("prompt"))
+
+
 @query(f"""WITH {TOK}, b AS (SELECT item_id, list_distinct({WORDS}) AS w FROM benchmark) SELECT item_id, len(list_filter(w, lambda x: x IN {_list_sql(_STOP)}))::INT AS stop_words, len(w)::INT AS words FROM b""")
 def keyword_overlap(spark, sf_dir):
     w = F.array_distinct(tx.plain_words(F.col("text")))

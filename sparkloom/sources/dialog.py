@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from sparkloom.functions import text as tx
+from sparkloom.sources import tables
 
 CHUNK = T.StructType([T.StructField("heading", T.StringType()), T.StructField("text", T.StringType()), T.StructField("keywords", T.ArrayType(T.StringType())), T.StructField("source", T.StringType()), T.StructField("lang", T.StringType())])
 PAIR = "pair_id long, user string, bot string"
@@ -89,8 +90,9 @@ def read_html(spark: SparkSession, folder: str) -> DataFrame:
 def numbered(rows: DataFrame, *order: str, into: str = "pair_id") -> DataFrame:
     """``rows`` with consecutive numbers in the order given, without one global sort task:
     rows are range-partitioned, numbered within partitions and shifted by the sizes of
-    the partitions before."""
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    the partitions before. The partitions are written first, as sampling might cut them
+    elsewhere when they are made twice."""
+    spread = tables.cut(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "numbered")
     local = F.row_number().over(W.partitionBy("__p").orderBy(*order)) - 1
     sized = spread.withColumn("__i", local)
     before = sized.groupBy("__p").agg(F.count("*").alias("__n")).withColumn("__b", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
