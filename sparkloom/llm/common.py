@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKENIZER_DIR = "/opt/tokenizers"
+from sparkloom.sources.tables import cut, fresh_path, shared_dir
+
+__all__ = ["crc32_of_id", "cut", "documents", "fresh_path", "shared_dir", "shuffle_parts", "tokenizer_path"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,35 +17,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from ``spark.checkpoint.dir``.
-
-    Only where that is unset (single-machine tests) a temporary folder is made and set.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    made = tempfile.mkdtemp(prefix="loom-shared-")
-    atexit.register(shutil.rmtree, made, True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path in the shared folder."""
-    return f"{shared_dir(spark)}/loom-{label}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Lineage ends here: a lost executor costs a re-read of the table, not a recomputation.
-    """
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
