@@ -184,7 +184,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int | No
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "docs": [x["docs"]], "ids": [x["ids"]], "bytes": [x["bytes"]]})
 
     rows = docs.select(F.col(by).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     return common.cut(dealt.mapInArrow(write, MANIFEST), "tokens")
 
 
