@@ -88,6 +88,18 @@ def _bucket(mixed: np.ndarray, kind: int) -> np.ndarray:
     return (h & np.uint32(MASK)).astype(np.int32)
 
 
+def present(texts: list[str], chunk: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`features`, each feature of a text once; texts are taken a few at a time,
+    so that what is held grows with the distinct features only."""
+    who, found = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for at in range(0, len(texts), chunk):
+        w, f = features(texts[at : at + chunk])
+        pairs = np.unique(w.astype(np.int64) << BITS | f)
+        who.append((pairs >> BITS).astype(np.int32) + np.int32(at))
+        found.append((pairs & MASK).astype(np.int32))
+    return np.concatenate(who), np.concatenate(found)
+
+
 def kind_bucket(word: str) -> int:
     """Feature of a whole word."""
     return int(features([word])[1][-1])
@@ -189,9 +201,7 @@ def regression(rows: np.ndarray, columns: np.ndarray, target: np.ndarray, width:
 def fit(texts: list[str], toxic: np.ndarray) -> Scorer:
     """Fit on texts with labels; labels mine lexicons and anchor the label model."""
     n = len(texts)
-    who, found = features(texts) if n else (np.zeros(0, np.int32), np.zeros(0, np.int32))
-    pairs = np.unique(who.astype(np.int64) << BITS | found)
-    who, found = (pairs >> BITS).astype(np.int64), (pairs & MASK).astype(np.int64)
+    who, found = present(texts)
     lexicon = {name: np.unique([kind_bucket(w) for w in words.split()]) for name, words in LEXICONS.items()}
     seeds = np.unique(np.concatenate(list(lexicon.values())))
 
@@ -211,7 +221,9 @@ def fit(texts: list[str], toxic: np.ndarray) -> Scorer:
     lists.append(np.setdiff1d(mined(np.ones(n, bool), MAX_FEATURES), seeds))
     votes = np.full((n, len(lists) + 3), -1, np.int8)
     for j, own in enumerate(lists):
-        hits = np.bincount(who[np.isin(found, own)], minlength=n)
+        listed = np.zeros(MASK + 1, bool)
+        listed[own] = True
+        hits = np.bincount(who[listed[found]], minlength=n)
         votes[:, j] = np.where(hits > 0, 1, 0 if j >= len(lexicon) and own.size else -1)
     for i, t in enumerate(texts):
         votes[i, len(lists) :] = surface(t)
@@ -222,8 +234,8 @@ def fit(texts: list[str], toxic: np.ndarray) -> Scorer:
         weight = np.full(chosen.size, 2.0)
         return Scorer(place, weight, -1.5)
     posterior, told = label_model(votes, toxic)
-    at = place[found]
-    weight, bias = regression(who[at >= 0], at[at >= 0].astype(np.int64), posterior, chosen.size)
+    hit = place[found] >= 0
+    weight, bias = regression(who[hit], place[found[hit]], posterior, chosen.size)
     return Scorer(place, weight, bias, told)
 
 
