@@ -144,7 +144,7 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 keep = [n for n in batch.schema.names if n != "rank"]
                 yield pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + [pa.array(sequence), pa.array(offset)], keep + ["sequence_id", "offset"])
 
-    ranked = pieces.join(counts.select("part", "length", "before"), ["part", "length"])
+    ranked = pieces.join(counts.select("part", "length", "before").hint("merge"), ["part", "length"])  # grows with the tasks: no broadcast
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("local_rank")).alias("rank"))
     return ranked.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
