@@ -241,7 +241,8 @@ def one_per_group(docs: DataFrame, by: str = "doc_id", text: str = "text") -> Da
     prints = common.cut(fingerprints(docs, by, text), "prints")
     groups = near_groups(prints)
     kept = prints.join(groups, "fp").where("doc_id = component_id").select(F.col("doc_id").alias(by)).distinct()
-    stay = docs.where(F.col(by).isNotNull()).join(kept, by, "left_semi")
+    # ids are hashed per partition and texts stream past them: no sort holds texts
+    stay = docs.where(F.col(by).isNotNull()).join(kept.hint("shuffle_hash"), by, "left_semi")
     rows, ids = prints.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
     stay = stay if rows == ids else stay.dropDuplicates([by])
     return stay.select(*docs.columns).unionByName(docs.where(F.col(by).isNull()))
