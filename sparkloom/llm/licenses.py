@@ -3,10 +3,10 @@
 A paragraph classifier, a multinomial logistic regression over word 1- and 2-grams,
 names the licence family of each paragraph or none ("unknown"). It is trained here, on
 variations of short notices of each family and on other text; its temperature is
-calibrated on held-out variations. Every n-gram of its vocabulary holds an anchor word,
-so a paragraph without any anchor has no feature, and a regular expression over whole
-texts leaves only the few paragraphs that can score. A family counts as confirmed if the
-paragraph shares enough words with one of the family's templates.
+calibrated on held-out variations. Only paragraphs with an anchor, a word or a phrase,
+are candidates: a regular expression over whole texts leaves those few, and all their
+n-grams are features. A family counts as confirmed if the paragraph shares enough words
+with one of the family's templates.
 
 Scoring is one narrow pass: n-grams are looked up in literal maps, no shuffle, no Python.
 """
@@ -14,6 +14,7 @@ Scoring is one narrow pass: n-grams are looked up in literal maps, no shuffle, n
 from __future__ import annotations
 
 import random
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,39 +31,59 @@ TEMPLATES = {
         "Released under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction.",
+        "License: MIT",
+        "SPDX-License-Identifier: MIT",
+        "Released under MIT.",
     ),
     "Apache": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an as is basis, without warranties or conditions of any kind.",
+        "License: Apache 2.0",
+        "SPDX-License-Identifier: Apache-2.0",
     ),
     "GPL": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License.",
         "You should have received a copy of the GNU General Public License along with this program.",
         "Licensed under GPL-2.0-or-later.",
+        "License: GPL 3.0",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
     "BSD": (
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "License: BSD",
+        "SPDX-License-Identifier: BSD-3-Clause",
     ),
     "MPL": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License 2.0.",
+        "License: MPL 2.0",
+        "SPDX-License-Identifier: MPL-2.0",
     ),
     "CC": (
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Licensed under CC BY-SA 4.0.",
         "Except where otherwise noted, content is available under a Creative Commons license.",
+        "License: CC BY 4.0",
+        "SPDX-License-Identifier: CC-BY-4.0",
+        "CC BY-SA 4.0",
+        "CC0",
+        "CC0 1.0 Universal",
+        "Creative Commons",
     ),
     "Unlicense": (
         "This is free and unencumbered software released into the public domain.",
         "Dedicated to the public domain under the Unlicense.",
+        "License: Unlicense",
+        "SPDX-License-Identifier: Unlicense",
     ),
     "Proprietary": (
         "All rights reserved. Unauthorized copying of this file is strictly prohibited.",
         "Proprietary and confidential. No license is granted.",
+        "All rights reserved.",
     ),
 }
 # Other text that uses the same words.
@@ -79,14 +100,19 @@ OTHER = (
     "A warranty covers defects of the product for two years after the purchase.",
     "The mozilla was an old browser and the file was public.",
     "He reserved all rooms under the name of the attribution committee.",
+    "A license to drive was granted to him by the court.",
+    "The rights reserved for members of the club are listed on the board.",
 )
-#: Words that a feature has to hold. Words that are common elsewhere (mit in German, cc,
-#: commons) are none: the notices that use them say licence too.
+#: A candidate holds one of these words or phrases. Words that are common elsewhere (mit in
+#: German, cc, commons, reserved) count inside a phrase only.
 ANCHORS = (
     "license licensed licence licenced licenses licences unlicense gpl gnu apache bsd mozilla mpl warranty warranties "
     "copyright proprietary redistribution redistribute permission unauthorized unencumbered domain"
 ).split()
+ANCHOR_PHRASES = ("rights reserved", "creative commons", "cc by", "cc0", "under mit", "under the mit")
 VARIATIONS = 40
+#: N-grams of fewer training paragraphs are chance neighbours.
+GRAM_ROWS_MIN = 3
 WORD = r"[a-z0-9]+"
 MIN_CONFIDENCE = 0.5
 CONFIRM_SHARE = 0.5
@@ -106,10 +132,8 @@ def words_of(text: str) -> list[str]:
 
 
 def grams_of(words: list[str]) -> set[str]:
-    """1- and 2-grams that hold an anchor."""
-    anchors = set(ANCHORS)
-    found = {w for w in words if w in anchors}
-    return found | {f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if a in anchors or b in anchors}
+    """All 1- and 2-grams."""
+    return set(words) | {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
 
 
 @dataclass
@@ -151,10 +175,11 @@ def train(seed: int = 42, rounds: int = 300, rate: float = 2.0, ridge: float = 1
     rng.shuffle(rows)
     families = [*TEMPLATES, UNKNOWN]
     sets = [grams_of(words_of(t)) for t, _ in rows]
-    vocabulary = {g: k for k, g in enumerate(sorted(set().union(*sets)))}
+    rows_of = Counter(g for s in sets for g in s)
+    vocabulary = {g: k for k, g in enumerate(sorted(g for g, n in rows_of.items() if n >= GRAM_ROWS_MIN))}
     x = np.zeros((len(rows), len(vocabulary)))
     for i, s in enumerate(sets):
-        x[i, [vocabulary[g] for g in s]] = 1
+        x[i, [vocabulary[g] for g in s if g in vocabulary]] = 1
     y = np.eye(len(families))[[families.index(f) for _, f in rows]]
     cut = len(rows) * 4 // 5
     w, b = np.zeros((x.shape[1], len(families))), np.zeros(len(families))
@@ -180,7 +205,8 @@ def tokens(paragraph: Column) -> Column:
 
 
 def anchor_pattern() -> str:
-    return r"(?i)(?<![a-z0-9])(?:" + "|".join(sorted(ANCHORS)) + r")(?![a-z0-9])"
+    phrases = [p.replace(" ", "[^a-z0-9]{1,3}") for p in ANCHOR_PHRASES]
+    return r"(?i)(?<![a-z0-9])(?:" + "|".join(sorted([*ANCHORS, *phrases])) + r")(?![a-z0-9])"
 
 
 def classify(paragraph: Column, model: Classifier) -> Column:

@@ -137,3 +137,21 @@ def test_licences_of_the_table(docs):
         for notice, family in NOTICES.items():
             if family and notice in (r["text"] or "").split("\n"):
                 assert family in found[r["doc_id"]]
+
+
+SHORT_NOTICES = {
+    "All rights reserved.": "Proprietary",
+    "License: MIT": "MIT",
+    "SPDX-License-Identifier: MIT": "MIT",
+    "Released under MIT": "MIT",
+    "CC BY-SA 4.0": "CC",
+    "CC0": "CC",
+    "Creative Commons": "CC",
+    "Sie ging mit dem Hund nach Hause.": None,
+}
+
+
+def test_short_notices_are_candidates_with_features(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(SHORT_NOTICES)], "doc_id int, text string")
+    rows = {r["text"]: [x["family"] for x in r["licences"]] for r in licenses.scan(df).collect()}
+    assert rows == {t: [f] if f else [] for t, f in SHORT_NOTICES.items()}
