@@ -9,12 +9,16 @@ Buckets are dealt into cells. A query travels once to each cell that holds bucke
 visits; a cell streams its vectors past its queries, so a bucket of any size passes in
 batches, and hands on each query's k best of the cell. Buckets with more than their
 share of vectors, of which there can be at most 2 x cells, are split over several cells.
+
+Queries that find fewer than k this way, outliers or those of small tables, go through an
+exact scan: blocks of them are sent to all vectors.
 """
 
 from __future__ import annotations
 
 import itertools
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,8 @@ SAMPLE_ROWS, SAMPLE_QUERIES = 4_000, 200
 RECALL_TARGET = 0.96
 #: Table entries per cell; a query hands on k rows per cell it visits.
 CELL_ROWS = 5_000
+#: Bytes of the query vectors that one exact scan sends to the executors.
+SCAN_BYTES = 4_000_000
 SEED = 42
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -158,6 +164,9 @@ class Best:
         if not self.parts:
             return np.empty(0, [("q", "i8"), ("d", "f8"), ("v", "i8")])
         x = np.unique(np.concatenate(self.parts))  # by query, distance, id
+        order = np.lexsort((x["v"], x["q"]))  # stable: an id's nearest row comes first
+        again = (x["q"][order[1:]] == x["q"][order[:-1]]) & (x["v"][order[1:]] == x["v"][order[:-1]])
+        x = np.delete(x, order[1:][again])
         rank = np.arange(x.size) - np.searchsorted(x["q"], x["q"])
         last = x[rank == self.k - 1]
         self.bound[last["q"]] = last["d"] ** 2 * (1 + 1e-9) + 1e-12  # the product form is rounded
@@ -166,6 +175,30 @@ class Best:
         return x
 
 
+def exact(vecs: DataFrame, asked: DataFrame, dim: int, k: int) -> DataFrame:
+    """query_id, vec_id, score of the k nearest of each row of ``asked`` (vec_id, vec) in
+    each partition of ``vecs``, by blocks of at most ``SCAN_BYTES``."""
+    block = max(1, SCAN_BYTES // (8 * dim))
+    schema = "query_id long, vec_id long, score double"
+    asked = common.cut(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(-(-asked.count() // block)))), "asked")
+    found = []
+    for r in asked.select("block").distinct().collect():
+        rows = asked.where(F.col("block") == r["block"]).select("vec_id", "vec").toArrow().combine_chunks().to_batches()
+        queries = vecs.sparkSession.sparkContext.broadcast(_matrix(rows[0], dim))
+
+        def scan(batches, queries=queries):
+            best = Best(*queries.value, k)
+            who = np.arange(best.ids.size)
+            for batch in batches:
+                best.offer(who, *_matrix(batch, dim))
+            x = best.settle()
+            if x.size:
+                yield pa.RecordBatch.from_arrays([pa.array(best.ids[x["q"]]), pa.array(x["v"].copy()), pa.array(x["d"].copy())], ["query_id", "vec_id", "score"])
+
+        found.append(common.cut(vecs.mapInArrow(scan, schema), "exact"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def nearest(rows: DataFrame, k: int = 10, every: int = 100, by: str = "vec_id", column: str = "embedding", index: Index | None = None) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest found.
 
@@ -284,7 +317,13 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, by: str = "vec_id",
 
     dealt = vecs.mapInArrow(deal, "cell long, base boolean, code long, id long, vec binary, visits binary")
     found = dealt.repartition(parts, "cell").sortWithinPartitions("cell", "base", "code").mapInArrow(search, "query_id long, vec_id long, score double")
-    pairs = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    pairs = common.cut(found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), "pairs")
+    enough = pairs.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
+    asked = vecs.where((F.col("vec_id") % every == 0) & (F.size("vec") == dim))
+    short = common.cut(asked.join(enough, "vec_id", "left_anti"), "short")
+    if short.limit(1).count():
+        both = pairs.unionByName(exact(vecs, short, dim, k))
+        pairs = both.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -114,3 +114,17 @@ def test_vectors_that_take_no_part_ties_and_repeats(spark, none):
     assert not set(got) & {500, 600, 700, 800, 900, 1000, 1100}
     assert ann.nearest(df.limit(0)).count() == 0
     assert ann.nearest(df.where("vec_id = 400").limit(1)).count() == 0
+
+
+def test_small_tables_and_outliers_find_all_their_neighbours(spark):
+    rng = np.random.default_rng(4)
+    tables = [[(100 * i, rng.standard_normal(16).tolist()) for i in range(n)] for n in (2, 3, 11)]
+    far = [(i, (rng.standard_normal(16) * (20 if i % 50 == 0 else 1)).tolist()) for i in range(1000)]
+    twice = [(7, (rng.standard_normal(16) + k).tolist()) for k in range(12)] + [(i, (rng.standard_normal(16) + 20).tolist()) for i in (100, 1, 2, 3)]
+    for rows in (*tables, far):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = check(df, 0.9)
+        want = brute(rows)
+        assert {q: len(v) for q, v in got.items()} == {q: len(v) for q, v in want.items()}
+    got = [r["vec_id"] for r in ann.nearest(spark.createDataFrame(twice, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
+    assert sorted(got) == [1, 2, 3, 7]
