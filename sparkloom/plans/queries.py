@@ -712,7 +712,7 @@ def next_token_model(spark, sf_dir):
 @query()
 def word2vec(spark, sf_dir):
     sent = pairs.pair_sentences(_pairs(spark, sf_dir), 3)
-    return features.word2vec(sent, epochs=2).select("word", vector_to_array("vector").alias("vector"))
+    return features.word2vec(sent).select("word", vector_to_array("vector").alias("vector"))
 
 
 @query()

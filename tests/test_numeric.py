@@ -1,8 +1,11 @@
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import features, solvers, windows
+from sparkloom.plans import queries
 
 
 def problem(n=40, d=12, v=5, seed=0):
@@ -125,3 +128,17 @@ def test_running_counts(spark, tmp_path, sf_dir):
     q = session.running_counts(stream, "ts").writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("counts").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_word2vec_query_trains_the_operators_epochs(spark, sf_dir, monkeypatch):
+    train, asked = features.word2vec, []
+
+    def spy(*args, **options):
+        asked.append(inspect.signature(train).bind(*args, **options))
+        asked[-1].apply_defaults()
+        return train(*args, **options)
+
+    monkeypatch.setattr(features, "word2vec", spy)
+    rows = queries.QUERIES["word2vec"](spark, sf_dir).collect()
+    assert [a.arguments["epochs"] for a in asked] == [20]
+    assert rows and all(len(r["vector"]) == 32 for r in rows)
