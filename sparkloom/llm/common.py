@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.sources.tables import cut, fresh_path, shared_dir
 
-__all__ = ["crc32_of_id", "cut", "documents", "fresh_path", "shared_dir", "shuffle_parts", "tokenizer_path"]
+__all__ = ["crc32_of_id", "cut", "documents", "free_name", "fresh_path", "shared_dir", "shuffle_parts", "tokenizer_path"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,3 +33,11 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, or as many underscores before it as no column of ``taken`` has."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name

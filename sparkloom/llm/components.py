@@ -3,7 +3,8 @@
 Both steps send each node to the smallest node it knows. Minima are aggregated before
 the shuffle and joined back, so a hub's edges are never collected; the join's hub side
 is one row, which adaptive execution can split. Each round is written to the shared
-folder, so neither lineage nor driver memory grows; the driver sees two numbers a round.
+folder, as few files as its rows need, so neither lineage nor driver memory grows; the
+driver sees two numbers a round.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import common
 
+#: Edges that a task writes.
+EDGES_A_FILE = 1_000_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -39,7 +43,7 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = common.cut(pairs, "edges")
     before = _state(pairs)
     while before[0]:
-        pairs = common.cut(_small_star(_large_star(pairs)), "edges")
+        pairs = common.cut(_small_star(_large_star(pairs)).coalesce(-(-before[0] // EDGES_A_FILE)), "edges")
         now = _state(pairs)
         if now == before:
             break
