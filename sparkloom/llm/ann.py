@@ -5,10 +5,11 @@ per table, the T buckets reached by moving each coordinate by -1, 0 or 1 in esti
 success order: ascending sum of squared distances to the crossed bucket borders. T is
 fitted on a bounded sample to a recall target; every vector is indexed.
 
-Buckets are dealt into cells. A query travels once to each cell that holds buckets it
-visits; a cell streams its vectors past its queries, so a bucket of any size passes in
-batches, and hands on each query's k best of the cell. Buckets with more than their
-share of vectors, of which there can be at most 2 x cells, are split over several cells.
+Buckets are dealt into cells of about ``CELL_ROWS`` table entries, whatever the table's
+size; larger buckets are split over several cells. A query travels to each cell that
+holds buckets it visits, with the cost of its last probe per table. A cell holds its
+entries and lets the queries stream past in blocks; each one hands on its k best of the
+cell. What a task holds doesn't grow with the table.
 
 Queries that find fewer than k this way, outliers or those of small tables, go through an
 exact scan: blocks of them are sent to all vectors.
@@ -31,9 +32,12 @@ from sparkloom.llm import common
 TABLES, PROJECTIONS, WIDTH = 3, 8, 2.0
 #: Rows (about) and queries of the sample that the index is fitted on.
 SAMPLE_ROWS, SAMPLE_QUERIES = 4_000, 200
-RECALL_TARGET = 0.96
-#: Table entries per cell; a query hands on k rows per cell it visits.
-CELL_ROWS = 5_000
+RECALL_TARGET = 0.98
+#: Table entries per cell; a query hands on k rows per cell it visits. The driver gets the
+#: codes of buckets over this size: 16 bytes for each CELL_ROWS entries at most.
+CELL_ROWS = 20_000
+#: Queries that are compared with a cell at once.
+QUERY_BLOCK = 256
 #: Bytes of the query vectors that one exact scan sends to the executors.
 SCAN_BYTES = 4_000_000
 SEED = 42
@@ -63,18 +67,32 @@ class Index:
             code ^= code >> np.uint64(29)
         return (code >> np.uint64(1)).astype(np.int64)
 
-    def visits(self, x: np.ndarray, probes: int | None = None) -> np.ndarray:
-        """Codes (tables, rows, probes) in estimated success order."""
+    def visits(self, x: np.ndarray, probes: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Codes (tables, rows, probes) in estimated success order, and their costs."""
         h, f = self.cells(x)
         moves = np.array(list(itertools.product((-1, 0, 1), repeat=h.shape[-1])), np.int64)
         one_hot = np.zeros((3 * h.shape[-1], len(moves)))
         for m in range(h.shape[-1]):
             one_hot[3 * m + moves[:, m] + 1, np.arange(len(moves))] = 1
-        cost = np.zeros((*f.shape, 3))
-        cost[..., 0], cost[..., 2] = f**2, (1 - f) ** 2
-        total = cost.reshape(*f.shape[:-1], -1) @ one_hot
+        total = move_costs(f).reshape(*f.shape[:-1], -1) @ one_hot
         order = np.argsort(total, axis=-1, kind="stable")[..., : probes or self.probes]
-        return self.codes(h[:, :, None, :] + moves[order])
+        return self.codes(h[:, :, None, :] + moves[order]), np.take_along_axis(total, order, axis=-1)
+
+    def meets(self, x: np.ndarray, most: np.ndarray, table: int, bucket: np.ndarray) -> np.ndarray:
+        """Which rows of ``x`` (queries, whose last probe costs ``most`` per table) visit
+        which of a table's buckets, given by coordinates: (rows, buckets)."""
+        h, f = self.cells(x)
+        move = bucket[None] - h[table][:, None, :]
+        near = (np.abs(move) <= 1).all(axis=-1)
+        q, c = np.nonzero(near)
+        cost = np.take_along_axis(move_costs(f[table])[q], (move[q, c] + 1)[..., None], axis=-1).sum(axis=(1, 2))
+        near[q, c] = cost <= most[q, table] * (1 + 1e-9) + 1e-12  # sums in another order
+        return near
+
+
+def move_costs(f: np.ndarray) -> np.ndarray:
+    """Squared distance to the border crossed by moves of -1, 0 and 1 from a place."""
+    return np.stack([f**2, np.zeros_like(f), (1 - f) ** 2], axis=-1)
 
 
 def vectors(rows: DataFrame, by: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -124,7 +142,7 @@ def fit(vecs: DataFrame, k: int, tables: int = TABLES, projections: int = PROJEC
     near = np.argpartition(gap, rank - 1, axis=1)[:, :rank]
     own = index.codes(index.cells(x)[0])
     first = np.full(near.shape, index.probes)
-    for t, table in enumerate(index.visits(q)):
+    for t, table in enumerate(index.visits(q)[0]):
         for i, codes in enumerate(table):
             order = np.argsort(codes)
             at = np.minimum(np.searchsorted(codes[order], own[t][near[i]]), codes.size - 1)
@@ -215,8 +233,8 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, by: str = "vec_id",
     if fitted is None:
         return spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(index or fitted)
-    parts = common.shuffle_parts(spark)
-    cells = max(1, min(n * shared.value.project.shape[0] // CELL_ROWS, 4 * parts))
+    tables = shared.value.project.shape[0]
+    cells = max(1, -(-n * tables // CELL_ROWS))
 
     def count(batches):
         for batch in batches:
@@ -224,9 +242,9 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, by: str = "vec_id",
             code, size = np.unique(shared.value.codes(shared.value.cells(x)[0]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(size, pa.int64())], ["code", "n"])
 
-    fair = max(1, n * shared.value.project.shape[0] // cells)
-    hot = vecs.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") > fair // 2).collect()  # at most 2 x cells
-    wide = {r["code"]: -(-2 * r["n"] // fair) for r in hot}
+    sizes = vecs.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    hot = sizes.where(F.col("n") > CELL_ROWS).collect()  # at most one code for each CELL_ROWS entries
+    wide = {r["code"]: -(-2 * r["n"] // CELL_ROWS) for r in hot}
     starts = dict(zip(wide, itertools.accumulate([cells, *wide.values()]), strict=False))
 
     def home(code: np.ndarray) -> np.ndarray:
@@ -238,85 +256,85 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, by: str = "vec_id",
         ways = np.array([wide[c] for c in hot_codes.tolist()], np.int64)
         first = np.array([starts[c] for c in hot_codes.tolist()], np.int64)
         for whole in batches:
-            for at in range(0, whole.num_rows, 4_000):
-                ids, x = _matrix(whole.slice(at, 4_000), dim)
+            for at in range(0, whole.num_rows, 2_000):
+                ids, x = _matrix(whole.slice(at, 2_000), dim)
                 if not ids.size:
                     continue
-                out: dict[str, list] = {c: [] for c in ("cell", "base", "code", "id", "vec", "visits")}
+                out: dict[str, list] = {c: [] for c in ("cell", "asks", "table", "code", "id", "vec")}
                 raw = [r.tobytes() for r in x]
-                for code in m.codes(m.cells(x)[0]):
+                for t, code in enumerate(m.codes(m.cells(x)[0])):
                     cell = home(code)
                     is_hot = np.isin(code, hot_codes)
                     if is_hot.any():
                         p = np.searchsorted(hot_codes, code[is_hot])
                         cell[is_hot] = first[p] + ((ids[is_hot].astype(np.uint64) * MIX) >> np.uint64(40)).astype(np.int64) % ways[p]
                     out["cell"].append(cell)
-                    out["base"].append(np.ones(ids.size, bool))
+                    out["asks"].append(np.zeros(ids.size, bool))
+                    out["table"].append(np.full(ids.size, t, np.int32))
                     out["code"].append(code)
                     out["id"].append(ids)
                     out["vec"] += raw
-                    out["visits"] += [None] * ids.size
                 for i in np.flatnonzero(ids % every == 0).tolist():
-                    visits = np.unique(m.visits(x[i : i + 1]))
+                    codes, costs = m.visits(x[i : i + 1])
+                    visits = np.unique(codes)
                     cell = home(visits)
                     split = np.flatnonzero(np.isin(visits, hot_codes))
                     p = np.searchsorted(hot_codes, visits[split])
                     cold = np.setdiff1d(np.arange(visits.size), split)
-                    cell = np.concatenate([cell[cold], *[np.arange(a, a + b) for a, b in zip(first[p], ways[p], strict=True)]])
-                    visits = np.concatenate([visits[cold], np.repeat(visits[split], ways[p])])
-                    order = np.argsort(cell, kind="stable")
-                    cell, visits = cell[order], visits[order]
-                    own, begin = np.unique(cell, return_index=True)
+                    own = np.unique(np.concatenate([cell[cold], *[np.arange(a, a + b) for a, b in zip(first[p], ways[p], strict=True)]]))
+                    asked = raw[i] + costs[:, 0, -1].tobytes()  # the vector, then its last probe's cost per table
                     out["cell"].append(own)
-                    out["base"].append(np.zeros(own.size, bool))
+                    out["asks"].append(np.ones(own.size, bool))
+                    out["table"].append(np.zeros(own.size, np.int32))
                     out["code"].append(np.zeros(own.size, np.int64))
                     out["id"].append(np.full(own.size, ids[i]))
-                    out["vec"] += [raw[i]] * own.size
-                    out["visits"] += [v.tobytes() for v in np.split(visits, begin[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(np.concatenate(out[c])) for c in ("cell", "base", "code", "id")), pa.array(out["vec"], pa.binary()), pa.array(out["visits"], pa.binary())],
-                    list(out),
-                )
+                    out["vec"] += [asked] * own.size
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(out[c])) for c in ("cell", "asks", "table", "code", "id")), pa.array(out["vec"], pa.binary())], list(out))
 
     def search(batches):
-        cell, best, visits, members = None, None, {}, []
-
-        def result():
-            found = best.settle() if best else np.empty(0)
+        m, cell, parts, held = shared.value, None, [], None
+
+        def compared(ids: np.ndarray, block: np.ndarray):
+            base_id, base, buckets = held
+            best = Best(ids, np.ascontiguousarray(block[:, :dim]), k)
+            for t, (coordinates, begin, end) in buckets.items():
+                near = m.meets(best.x, block[:, dim:], t, coordinates)
+                for j in np.flatnonzero(near.any(axis=0)).tolist():
+                    best.offer(np.flatnonzero(near[:, j]), base_id[begin[j] : end[j]], base[begin[j] : end[j]])
+            found = best.settle()
             if found.size:
                 yield pa.RecordBatch.from_arrays([pa.array(best.ids[found["q"]]), pa.array(found["v"].copy()), pa.array(found["d"].copy())], ["query_id", "vec_id", "score"])
 
-        def begin():
-            ids, x, lists = zip(*members, strict=True)
-            who, codes = np.repeat(np.arange(len(ids)), [len(c) for c in lists]), np.concatenate(lists)
-            order = np.argsort(codes, kind="stable")
-            own, at = np.unique(codes[order], return_index=True)
-            return Best(np.array(ids), np.stack(x), k), dict(zip(own.tolist(), np.split(who[order], at[1:]), strict=True))
-
         for batch in batches:
             cols = {c: batch.column(c) for c in batch.schema.names}
-            cell_no, base = cols["cell"].to_numpy(), cols["base"].to_numpy(zero_copy_only=False)
-            code, ids = cols["code"].to_numpy(), cols["id"].to_numpy()
-            cut = np.flatnonzero((cell_no[1:] != cell_no[:-1]) | (base[1:] != base[:-1]) | (code[1:] != code[:-1])) + 1
+            cell_no, asks = cols["cell"].to_numpy(), cols["asks"].to_numpy(zero_copy_only=False)
+            table, code, ids = cols["table"].to_numpy(), cols["code"].to_numpy(), cols["id"].to_numpy()
+            cut = np.flatnonzero((cell_no[1:] != cell_no[:-1]) | (asks[1:] != asks[:-1])) + 1
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), cell_no.size], strict=True):
                 if a == b:
                     continue
                 if cell_no[a] != cell:
-                    yield from result()
-                    cell, best, visits, members = cell_no[a], None, {}, []
-                x = np.frombuffer(b"".join(cols["vec"].slice(a, b - a).to_pylist()), np.float64).reshape(-1, dim)
-                if not base[a]:
-                    members += zip(ids[a:b].tolist(), x, (np.frombuffer(v, np.int64) for v in cols["visits"].slice(a, b - a).to_pylist()), strict=True)
+                    cell, parts, held = cell_no[a], [], None
+                x = np.frombuffer(b"".join(cols["vec"].slice(a, b - a).to_pylist()), np.float64).reshape(b - a, -1)
+                if not asks[a]:
+                    parts.append((table[a:b], code[a:b], ids[a:b], x))
                     continue
-                if members and best is None:
-                    best, visits = begin()
-                who = visits.get(int(code[a]))
-                if who is not None:
-                    best.offer(who, ids[a:b], x)
-        yield from result()
-
-    dealt = vecs.mapInArrow(deal, "cell long, base boolean, code long, id long, vec binary, visits binary")
-    found = dealt.repartition(parts, "cell").sortWithinPartitions("cell", "base", "code").mapInArrow(search, "query_id long, vec_id long, score double")
+                if held is None and parts:
+                    all_table, all_code, base_id, base = (np.concatenate(c) for c in zip(*parts, strict=True))
+                    parts, buckets = [], {}
+                    for t in np.unique(all_table).tolist():  # rows are sorted by table and code
+                        lo, hi = np.searchsorted(all_table, [t, t + 1])
+                        begin = lo + np.flatnonzero(np.concatenate([[True], all_code[lo + 1 : hi] != all_code[lo : hi - 1]]))
+                        buckets[t] = (m.cells(base[begin])[0][t], begin, np.append(begin[1:], hi))
+                    held = (base_id, base, buckets)
+                if held is not None:
+                    for at in range(a, b, QUERY_BLOCK):
+                        to = min(at + QUERY_BLOCK, b)
+                        yield from compared(ids[at:to], x[at - a : to - a])
+
+    dealt = vecs.mapInArrow(deal, "cell long, asks boolean, table int, code long, id long, vec binary")
+    spread = dealt.repartition(common.shuffle_parts(spark), "cell").sortWithinPartitions("cell", "asks", "table", "code")
+    found = spread.mapInArrow(search, "query_id long, vec_id long, score double")
     pairs = common.cut(found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), "pairs")
     enough = pairs.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
     asked = vecs.where((F.col("vec_id") % every == 0) & (F.size("vec") == dim))
