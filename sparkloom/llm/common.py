@@ -9,11 +9,26 @@ from pyspark.sql import functions as F
 
 from sparkloom.sources.tables import cut, fresh_path, shared_dir
 
-__all__ = ["crc32_of_id", "cut", "documents", "free_name", "fresh_path", "shared_dir", "shuffle_parts", "tokenizer_path"]
+__all__ = ["bound_batches", "crc32_of_id", "cut", "documents", "free_name", "fresh_path", "shared_dir", "shuffle_parts", "tokenizer_path"]
+
+
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = 8_000_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes: rows alone don't, where texts are long. Smaller bounds
+    that the session has stay."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m").lower().rstrip("b")
+    size = int(now.rstrip("kmg")) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table of a data folder."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

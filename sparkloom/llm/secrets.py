@@ -144,8 +144,10 @@ def secret_digests(docs: DataFrame, by: str = "doc_id", text: str = "text") -> D
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span replaced by ``mark``; overlapping spans make one mark.
-    Null texts stay null; texts without spans stay as they are."""
+    Null texts stay null; texts without spans stay as they are; other columns may have any
+    names and stay."""
     t = F.col(text)
+    spans, base = common.free_name(docs.columns, "spans"), common.free_name(docs.columns, "base")
 
     def step(state: Column, span: Column) -> Column:
         apart = span["start"] >= state["at"]
@@ -153,9 +155,9 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataF
         return F.struct(F.greatest(state["at"], span["stop"]).alias("at"), F.when(apart, F.concat(state["out"], F.array(piece))).otherwise(state["out"]).alias("out"))
 
     begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    done = F.aggregate(F.col("__spans"), begin, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(t, s["at"] + 1, F.length(t))))
-    found = find_secrets(docs, text, "__spans", "__base")
-    return found.withColumn(text, F.when(F.size("__spans") > 0, done).otherwise(t)).drop("__spans", "__base")
+    done = F.aggregate(F.col(spans), begin, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(t, s["at"] + 1, F.length(t))))
+    found = find_secrets(docs, text, spans, base)
+    return found.withColumn(text, F.when(F.size(spans) > 0, done).otherwise(t)).drop(spans, base)
 
 
 def op6_secrets(spark, sf_dir: str) -> DataFrame:
