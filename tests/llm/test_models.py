@@ -24,14 +24,53 @@ def test_language_of_odd_rows(odd, none, docs):
     assert {r["lang_pred"] for r in langid.identify(odd, langid.train(none.select("doc_id", "text", "lang"))).collect()} == {"und"}
 
 
+def plain_grams(text):
+    """Buckets of the n-grams of a text, one character at a time."""
+    folded, last = [32], 32
+    for c in f"{text} ":
+        code = ord(c.lower()[0]) if c.isalpha() else 32
+        if code != 32 or last != 32:
+            folded.append(code)
+        last = code
+    for order in langid.ORDERS:
+        for i in range(len(folded) - order + 1):
+            h = sum(x * int(m) for x, m in zip(folded[i : i + order], langid.MIX)) % 2**32
+            yield ((h ^ (h >> 15)) * 0x2C1B3C6D % 2**32) >> (32 - langid.BITS)
+
+
+TEXTS = ("The thing.", "a", "Été là", "x" * 500 + " y", "  two  spaces, 3 numbers ")
+
+
 def test_language_sums_are_plain_naive_bayes(docs):
     model = langid.train(docs.select("doc_id", "text", "lang"))
-    for text in ("The thing.", "a", "Été là", "x" * 500 + " y"):
-        hashed, bounds, _ = langid.grams([text])
-        z = model.matrix[:, hashed].sum(axis=(1, 2), dtype=np.float64) + model.prior
-        best, share, _ = model.score([text])
-        p = np.exp(z - z.max())
-        assert best[0] == z.argmax() and abs(share[0] - (p / p.sum()).max()) < 1e-9
+    for most in (1, 3, 10, langid.PORTION):  # long texts go piece by piece
+        best, share, some = model.score(list(TEXTS), most)
+        for k, text in enumerate(TEXTS):
+            z = sum(model.matrix[:, b].astype(np.float64) for b in plain_grams(text)) + model.prior
+            p = np.exp(z - z.max())
+            assert best[k] == z.argmax() and abs(share[k] - (p / p.sum()).max()) < 1e-6 and some[k]
+
+
+def test_language_counts_are_plain(spark):
+    rows = [(i, t, "ab"[i % 2]) for i, t in enumerate(TEXTS) if zlib.crc32(str(i).encode()) % 4 != 2]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted({l for _, _, l in rows})
+    for k, l in enumerate(model.languages):
+        count = np.full(langid.BUCKETS, langid.SMOOTHING)
+        for _, text, lang in rows:
+            for b in plain_grams(text) if lang == l else ():
+                count[b] += 1
+        assert np.allclose(model.matrix[k][:-1], np.log(count / count.sum()), atol=1e-5)
+
+
+def plain_score(scorer, text):
+    """Score of a text, a word at a time."""
+    words = {w for w in "".join(c.lower()[0] if c.isalpha() else " " for c in text or "").split()}
+    found = {toxicity.word_feature(w) for w in words}
+    for kind, size in enumerate(toxicity.PREFIXES, 1):
+        found |= {int(f) for w in words if len(w) >= size for _, k, c in toxicity.features([w]) for f in c[k == kind]}
+    z = scorer.bias + sum(w for c, w in zip(scorer.known.codes.tolist(), scorer.weight) if c in found)
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def test_toxicity_held_out(spark, docs, sf_dir):
@@ -39,8 +78,42 @@ def test_toxicity_held_out(spark, docs, sf_dir):
     rows = toxicity.predictions(docs, labels).join(labels, "doc_id", "left").collect()
     assert len(rows) == docs.count()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
-    known = [r for r in rows if r["toxic"] is not None]
-    assert sum(r["predicted"] == r["toxic"] for r in known) >= 0.9 * len(known)
+
+
+def test_toxicity_on_held_out_rows_only(spark):
+    sf = "/root/testdata/sf0.1"  # enough held-out rows for both classes
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    known = toxicity.predictions(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    toxic, other = [r for r in known if r["toxic"] == 1], [r for r in known if r["toxic"] == 0]
+    hit, false = sum(r["predicted"] for r in toxic), sum(r["predicted"] for r in other)
+    assert len(toxic) >= 50 and hit >= 0.7 * len(toxic) and false <= 0.01 * len(other)
+    assert hit >= 0.95 * (hit + false) and len(other) - false >= 0.95 * (len(other) - false + len(toxic) - hit)
+
+
+def test_toxicity_scores_are_plain(spark, docs, odd, sf_dir):
+    scorer = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    for df in (docs, odd):
+        texts = [(r["text"] or "")[:20_000] for r in df.collect()]
+        assert np.allclose(scorer.score(texts), [plain_score(scorer, t) for t in texts], atol=1e-9)
+    long = "a kind word and an idiot " * 50
+    assert np.allclose(scorer.score([long]), toxicity.Scorer(scorer.known, scorer.weight, scorer.bias).score([long]))
+    whole = [set(map(tuple, zip(k.tolist(), f.tolist()))) for _, k, f in toxicity.features([long])]
+    pieces = [set(map(tuple, zip(k.tolist(), f.tolist()))) for _, k, f in toxicity.features([long], 40)]
+    assert set().union(*whole) == set().union(*pieces)
+
+
+def test_words_that_differ_at_the_end_are_two_features():
+    a = "a" * 40
+    assert toxicity.word_feature(a + "b") != toxicity.word_feature(a + "c")
+    assert toxicity.word_feature("Idiot") == toxicity.word_feature("idiot!")
+
+
+def test_mined_features_have_no_cap(spark):
+    marks = " ".join(f"mark{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(650))
+    rows = [(f"{'' if i % 2 else marks} plain words", 1 - i % 2, i % 5) for i in range(100)]
+    scorer = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int, fold int"))
+    assert scorer.known.codes.size > 650
+    assert scorer.score([rows[0][0]])[0] > 0.5 > scorer.score(["plain words"])[0]
 
 
 def test_toxicity_of_odd_rows(spark, odd, none, sf_dir):
@@ -51,20 +124,24 @@ def test_toxicity_of_odd_rows(spark, odd, none, sf_dir):
     assert toxicity.predictions(odd, labels.limit(0)).count() == odd.count()
 
 
-def test_lexicons_alone_decide_without_labels():
-    scorer = toxicity.fit([], np.zeros(0, np.int64))
+def test_lexicons_alone_decide_without_labels(spark):
+    scorer = toxicity.fit(spark.createDataFrame([], "text string, toxic int, fold int"))
     low, high = scorer.score(["a kind word", "you worthless pathetic idiot"])
     assert low < 0.5 < high
 
 
-def test_label_model_trusts_the_better_voter():
+def test_label_model_sees_through_voters_that_copy_each_other():
     rng = np.random.default_rng(1)
-    truth = (rng.random(3000) < 0.2).astype(int)
-    flip = lambda p: np.where(rng.random(3000) < p, 1 - truth, truth)
-    good, bad = flip(0.02), flip(0.4)
-    posterior, told = toxicity.label_model(np.stack([good, bad, bad], axis=1), flip(0.05))
-    assert ((posterior > 0.5) == truth).mean() > 0.93
-    assert told["share"][1] < 0.6 < 0.8 < told["share"][0]
+    truth = (rng.random(4000) < 0.2).astype(int)
+    flip = lambda p: np.where(rng.random(4000) < p, 1 - truth, truth)
+    bad = flip(0.35)
+    votes = np.stack([flip(0.05), flip(0.12), flip(0.15), bad, bad, bad], axis=1)
+    posterior, told = toxicity.label_model(votes)
+    assert ((posterior > 0.5) == truth).mean() > 0.92 > ((votes.mean(axis=1) > 0.5) == truth).mean()
+    hit = np.array(told["rates_1"])[:, 2]
+    assert hit[0] > 0.85 and abs(hit[0] - 0.95) < 0.1 and np.abs(hit[3:] - 0.65).max() < 0.1  # accuracies
+    tied = {(j, p) for j, p in enumerate(told["parent"]) if p >= 0}
+    assert sum({j, p} <= {3, 4, 5} for j, p in tied) == 2  # the copies hang together
 
 
 def brute(rows, k=10, every=100, dim=None):
@@ -100,7 +177,28 @@ def check(df, least, dim=None):
 
 
 def test_recall_on_the_table(spark, sf_dir):
-    check(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.9)
+    got = check(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.9)
+    assert got and all(len(v) == 10 for v in got.values())
+
+
+def test_what_a_cell_holds_does_not_follow_the_table(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL_ROWS", 200)
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((5, 16)) * 10
+    rows = [(i, (centres[0 if i % 3 else i % 5] + rng.standard_normal(16)).tolist()) for i in range(3_000)]
+    got = check(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.9)
+    assert len(got) == 30 and all(len(v) == 10 for v in got.values())
+
+
+def test_visits_and_meets_agree():
+    rng = np.random.default_rng(3)
+    index = ann.Index(rng.standard_normal((2, 8, 4)), rng.uniform(0, 3, (2, 4)), 3.0, 20)
+    x, y = rng.standard_normal((6, 8)), rng.standard_normal((50, 8)) * 2
+    codes, costs = index.visits(x)
+    for t in range(2):
+        near = index.meets(x, costs[:, :, -1].T, t, index.cells(y)[0][t])
+        own = index.codes(index.cells(y)[0])[t]
+        assert (near == np.array([[c in codes[t, q] for c in own] for q in range(6)])).all()
 
 
 def test_vectors_that_take_no_part_ties_and_repeats(spark, none):

@@ -155,3 +155,56 @@ def test_short_notices_are_candidates_with_features(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(SHORT_NOTICES)], "doc_id int, text string")
     rows = {r["text"]: [x["family"] for x in r["licences"]] for r in licenses.scan(df).collect()}
     assert rows == {t: [f] if f else [] for t, f in SHORT_NOTICES.items()}
+
+
+JUDGED = {
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED": "MIT",
+    "The above copyright notice and this permission notice shall be included in all copies": "MIT",
+    "Redistributions of source code must retain the above copyright notice": "BSD",
+    "ISC License": "ISC",
+    "SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL",
+    "SPDX-License-Identifier: EPL-2.0": "EPL",
+    "This code is licensed to the highest bidder.": None,
+    "My driving license has expired, permission denied.": None,
+    "The software was licensed under new terms last year.": None,
+}
+
+
+def test_notices_lines_and_prose(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(JUDGED)], "doc_id int, text string")
+    rows = {r["text"]: [x["family"] for x in r["licences"]] for r in licenses.scan(df).collect()}
+    assert rows == {t: [f] if f else [] for t, f in JUDGED.items()}
+
+
+def test_wrapped_notices_are_one_paragraph(spark):
+    wrapped = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal in the Software\nwithout restriction, including without limitation the rights to use.\n\nsome prose\nReleased under the MIT License."
+    (r,) = licenses.scan(spark.createDataFrame([(1, wrapped)], "doc_id int, text string")).collect()
+    assert [(x["place"], x["family"], x["confirmed"]) for x in r["licences"]] == [(0, "MIT", True), (5, "MIT", True)]
+
+
+def test_calibrated_on_rows_held_out():
+    model, (_, held) = licenses.train(), licenses.examples(42)
+    hit = found = notices = 0
+    for text, family in held:
+        p = model.probabilities(text)
+        best = max(p, key=p.get)
+        best = best if p[best] >= licenses.MIN_CONFIDENCE else licenses.UNKNOWN
+        notices += family != licenses.UNKNOWN
+        found += best != licenses.UNKNOWN
+        hit += best == family != licenses.UNKNOWN
+    assert notices > 300 and hit >= 0.95 * notices and hit >= 0.95 * found
+
+
+def test_plain_scores_agree_on_the_table(docs):
+    model = licenses.train()
+    for r in licenses.scan(docs).collect():
+        own = {x["place"]: x for x in r["licences"]}
+        if re.search(r"(?m)^[^\r\n]{40,}[^\s.!?:;]\s*\n\s*\S", r["text"] or ""):
+            continue  # wrapped lines are compared above
+        for place, line in enumerate(re.split(r"\r?\n", r["text"] or "")):
+            p = model.probabilities(line)
+            best = max(p, key=p.get)
+            if best != licenses.UNKNOWN and p[best] >= licenses.MIN_CONFIDENCE and line:
+                assert own[place]["family"] == best and abs(own[place]["score"] - p[best]) < 1e-6
+            else:
+                assert place not in own

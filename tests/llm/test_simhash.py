@@ -53,10 +53,10 @@ def prints(spark, seed=3):
     return list(zip(ids, fps)), spark.createDataFrame(pd.DataFrame({"doc_id": ids, "fp": np.array(fps, np.uint64).view(np.int64)}))
 
 
-@pytest.mark.parametrize("options", [{}, {"parts": 2}, {"parts": 4}, {"bucket_max": 5}])
+@pytest.mark.parametrize("options", [{}, {"parts": 2}, {"parts": 4}, {"bucket_max": 5}, {"radius": 1}, {"radius": 6, "bucket_max": 3}, {"radius": 7, "parts": 4}])
 def test_groups_are_those_of_all_pairs(spark, options):
     pairs, df = prints(spark)
-    want = {f: c for (_, f), c in zip(pairs, brute(pairs))}
+    want = {f: c for (_, f), c in zip(pairs, brute(pairs, options.get("radius", 4)))}
     got = {r["fp"] & (2**64 - 1): r["component_id"] for r in simhash.near_groups(df, **options).collect()}
     assert got == want
 
@@ -77,6 +77,65 @@ def test_odd_rows(spark, odd):
     assert {r["component_id"] for r in rows if r["doc_id"] in (5, 6, None)} == {5}
 
 
+def words_set(text, width=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(w[i : i + width]) for i in range(max(len(w) - width + 1, min(len(w), 1))))
+
+
+def copy_roots(texts, least=0.8):
+    """Group number of each text: transitive links of a Jaccard similarity of 0.8 or more."""
+    sets, parent = [words_set(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            both = len(a & b)
+            if both >= least * (len(a) + len(b) - both):
+                parent[find(i)] = find(j)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_near_copies_are_those_of_all_pairs(spark, docs):
+    rng = random.Random(8)
+    texts = [r["text"] for r in docs.orderBy("doc_id").collect()]
+    for t in [x for x in texts if x and len(x.split()) >= 60][:40]:  # copies with a few words changed
+        w = t.split()
+        for _ in range(2):
+            c = list(w)
+            for _ in range(max(1, len(w) // rng.choice((60, 200)))):
+                c[rng.randrange(len(c))] = "changed"
+            texts.append(" ".join(c))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want, got = copy_roots(texts), {r["doc_id"]: r["root"] for r in simhash.near_copies(rows).collect()}
+    assert len(got) == len(texts)
+    together = [(i, j) for i in range(len(texts)) for j in range(i) if want[i] == want[j]]
+    found = sum(got[i] == got[j] for i, j in together)
+    assert len(together) > 60 and found >= 0.95 * len(together)
+    groups = {}
+    for i, r in got.items():
+        groups.setdefault(r, set()).add(want[i])
+    assert all(len(g) == 1 for g in groups.values())  # never two groups in one
+    assert simhash.one_per_group(rows).count() == len(groups)
+
+
+def test_a_large_group_of_copies_in_blocks(spark):
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = []
+    for _ in range(60):
+        c = list(base)
+        c[rng.randrange(400)] = "x"
+        texts.append(" ".join(c))
+    rows = spark.createDataFrame([*enumerate(texts), (900, "nothing of the kind is in here at all")], "doc_id long, text string")
+    got = {r["doc_id"]: r["root"] for r in simhash.near_copies(rows, bucket_max=7).collect()}
+    assert len({got[i] for i in range(60)}) == 1 and got[900] != got[0]
+
+
 def test_one_per_group(spark, odd):
     kept = simhash.one_per_group(odd)
     assert kept.columns == odd.columns
