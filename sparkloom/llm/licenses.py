@@ -232,8 +232,9 @@ MIN_CONFIDENCE = 0.5
 CONFIRM_SHARE = 0.5
 #: Slots of the literal table, two n-grams in each at most.
 SLOTS = 1 << 16
-#: Stands for a line break inside a wrapped paragraph.
-WRAP = ""
+#: A line break inside a wrapped paragraph, and what stands for it.
+WRAPPED = r"\n(?<=[^\r\n]{39}[^\s.!?:;][ \t]{0,3}\r?\n)(?=[ \t]*[^\s])"
+WRAP = "\ue000"
 
 
 def words_of(text: str) -> list[str]:
@@ -457,11 +458,15 @@ def paragraphs(text: Column) -> Column:
     """array of struct(place, paragraph): lines, those of a wrapped paragraph as one. A line
     is wrapped if it is long, doesn't end a sentence and isn't followed by a blank one.
     ``place`` is the number of the first line, from 0."""
-    plain = F.translate(text, WRAP, " ")
-    joined = F.regexp_replace(plain, r"(?m)^([^\r\n]{40,}[^\s.!?:;])[ \t]*\r?\n(?=[ \t]*[^\s])", f"$1{WRAP}")
-    units = F.split(joined, r"\r?\n")
-    before = lambda i: F.length(F.regexp_replace(F.array_join(F.slice(units, 1, i), ""), f"[^{WRAP}]", ""))
-    rows = F.transform(units, lambda p, i: F.struct(F.when(joined.contains(WRAP), i + before(i)).otherwise(i).cast("int").alias("place"), F.translate(p, WRAP, " ").alias("paragraph")))
+    joined = F.regexp_replace(F.translate(text, WRAP, " "), WRAPPED, WRAP)
+
+    def of(units: Column) -> Column:
+        marks = lambda i: F.length(F.regexp_replace(F.array_join(F.slice(units, 1, i), ""), f"[^{WRAP}]", ""))
+        some = F.exists(units, lambda u: u.contains(WRAP))
+        return F.transform(F.array(some), lambda w: F.transform(units, lambda p, i: F.struct(F.when(w, i + marks(i)).otherwise(i).cast("int").alias("place"), F.translate(p, WRAP, " ").alias("paragraph"))))[0]
+
+    # the lines are an element of a one-element array, so they are cut once
+    rows = F.transform(F.array(F.split(joined, r"\r?\n")), of)[0]
     return F.filter(rows, lambda x: x["paragraph"] != "")
 
 
