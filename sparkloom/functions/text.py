@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # The tokenizers' umlaut spelling and punctuation.
 UMLAUTS = {"ä": "ae", "ö": "oe", "ü": "ue", "Ä": "ae", "Ö": "oe", "Ü": "ue", "ß": "ss"}
@@ -22,7 +20,7 @@ QUESTION_PREFIX = {"de": ["was", "bedeutet"], "en": ["what", "is"]}
 PROMPT_WORDS = {"de": ("kontext", "frage"), "en": ("context", "question")}
 EXPLAIN_WORD = {"de": "erklaere", "en": "explain"}
 
-#: Entities that the JVM-side unescape knows; ``&amp;`` goes last.
+# Entities that the JVM-side unescape knows by name; ``&amp;`` goes last.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&amp;": "&"}
 
 
@@ -62,23 +60,65 @@ def unescape_common(text: Column) -> Column:
     return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), ENTITIES.items(), text)
 
 
-@F.pandas_udf(StringType())
-def unescape_all(text: pd.Series) -> pd.Series:
-    """Every named and numeric entity; the one text function without a JVM form."""
-    import html
-
-    return text.map(html.unescape, na_action="ignore")
-
-
-def strip_tags(html: Column, blocks: tuple[str, ...] = ("script", "style", "svg"), all_entities: bool = False) -> Column:
-    """Drop whole blocks, turn tags into spaces, resolve entities, collapse white space."""
+def entity_table() -> dict[str, str]:
+    """Every name that HTML5 defines, with and without its semicolon, from the standard
+    library's table."""
+    from html.entities import html5
+
+    return dict(html5)
+
+
+def unescape_all(text: Column) -> Column:
+    """Every named and numeric entity, in the JVM. Texts without an ampersand stay as they
+    are; others are split before each one, and each part's entity is looked up: the longest
+    name that begins there, decimal and hexadecimal numbers."""
+    table = entity_table()
+    longest = max(map(len, table))
+    # names as a sorted literal array and their texts: an array look-up by position
+    names = sorted(table)
+    keys, values = (F.split(F.lit("\x00".join(x)), "\x00") for x in (names, [table[n] for n in names]))
+    # numbers of the second control block mean its windows-1252 characters
+    swapped = {b: bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0)}
+
+    def number(part: Column) -> Column:
+        digits, hexed = F.regexp_extract(part, r"^&#([0-9]+);?", 1), F.regexp_extract(part, r"^&#[xX]([0-9a-fA-F]+);?", 1)
+        code = F.when(digits != "", digits.try_cast("long")).otherwise(F.conv(hexed, 16, 10).try_cast("long"))
+        bad = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF) | code.isNull()
+        wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        rest = F.regexp_replace(part, r"^&#([xX][0-9a-fA-F]+|[0-9]+);?", "")
+        gone = (code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | ((code % 65536) >= 65534)) & (code <= 0x10FFFF)
+        old = F.element_at(F.array(*[F.lit(swapped[b]) for b in sorted(swapped)]), (code - 0x7F).cast("int"))
+        return F.concat(F.when(bad, "\ufffd").when(gone, "").when(code.between(0x80, 0x9F), old).otherwise(wide), rest)
+
+    def named(part: Column) -> Column:
+        word = F.regexp_extract(part, r"^&([A-Za-z][A-Za-z0-9]{0,%d};?)" % (longest - 1), 1)
+        # most names end in a semicolon; a few old ones may stand without and end anywhere
+        sizes = F.filter(F.sequence(F.length(word), F.lit(2), F.lit(-1)), lambda n: F.array_contains(keys, F.substring(word, F.lit(1), n)))
+        size = F.get(sizes, F.lit(0))
+        found = F.element_at(values, F.array_position(keys, F.substring(word, F.lit(1), size)).cast("int"))
+        return F.when((F.length(word) < 2) | size.isNull(), part).otherwise(F.concat(found, F.substring(part, size + 2, F.length(part))))
+
+    def one(part: Column) -> Column:
+        usual = F
+        for name in ENTITIES:
+            if name[1] != "#":
+                usual = usual.when(part.startswith(name), F.concat(F.lit(table[name[1:]]), F.substring(part, F.lit(len(name) + 1), F.length(part))))
+        return usual.when(part.rlike(r"^&#([0-9]|[xX][0-9a-fA-F])"), number(part)).when(part.rlike("^&[A-Za-z]"), named(part)).otherwise(part)
+
+    parts = F.split(text, "(?=&)")
+    return F.when(~text.contains("&"), text).otherwise(F.array_join(F.transform(parts, one), ""))
+
+
+def strip_tags(html: Column, blocks: tuple[str, ...] = ("script", "style", "svg"), all_entities: bool = True) -> Column:
+    """Drop whole blocks, turn tags into spaces, resolve entities (the common ones only if
+    not ``all_entities``), collapse white space."""
     text = reduce(lambda c, b: F.regexp_replace(c, rf"(?is)<{b}\b[^>]*>.*?</{b}>", " "), blocks, html)
     text = F.regexp_replace(text, r"<[^>]+>", " ")
     text = unescape_all(text) if all_entities else unescape_common(text)
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def strip_page(html: Column, all_entities: bool = False) -> Column:
+def strip_page(html: Column, all_entities: bool = True) -> Column:
     """As :func:`strip_tags`, without navigation, header and footer too."""
     return strip_tags(html, ("script", "style", "svg", "nav", "header", "footer"), all_entities)
 

@@ -24,7 +24,8 @@ def unit(v: Column, guard: float = 1e-10) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """Null where a vector is zero."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def squared_distance(a: Column, b: Column) -> Column:

@@ -8,12 +8,17 @@ score = 0.65 s_kw + 0.35 max(cosine, 0); ties go to the smaller entry id.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 # The combined score's weights.
 KEYWORD_SHARE, MEANING_SHARE = 0.65, 0.35
+#: Size up to which a table of vectors is sent to every task.
+VECTORS_BYTES = 64_000_000
 
 
 def tfidf(counts: DataFrame, weights: DataFrame) -> DataFrame:
@@ -33,6 +38,7 @@ def score(queries: DataFrame, entries: DataFrame) -> DataFrame:
     known = queries.groupBy("query_id").agg(F.sum("idf").alias("possible"))
     q = queries.select("query_id", "token", "idf", F.col("unit").alias("qu"))
     e = entries.select("entry_id", "token", F.col("unit").alias("eu"))
+    # an entry's rows lie together, so a task's sums are whole before the shuffle
     met = q.join(e, "token").groupBy("query_id", "entry_id").agg(F.sum("idf").alias("kw_raw"), F.sum(F.col("qu") * F.col("eu")).alias("cosine"))
     met = met.join(known, "query_id").withColumn("s_kw", F.when(F.col("possible") > 0, F.col("kw_raw") / F.col("possible")).otherwise(0.0))
     total = KEYWORD_SHARE * F.col("s_kw") + MEANING_SHARE * F.greatest("cosine", F.lit(0.0))
@@ -54,6 +60,42 @@ def with_fallback(queries: DataFrame, answers: DataFrame, threshold: float) -> D
     return rows.select("query_id", F.when(~weak, F.col("entry_id")).alias("entry_id"), F.coalesce("kw_raw", F.lit(0.0)).alias("kw_raw"), weak.alias("is_fallback"))
 
 
+def greet(queries: DataFrame, greetings: DataFrame, answers: DataFrame) -> DataFrame:
+    """(query_id, entry_id, kw_raw, is_fallback): a query whose whole text, in lower case and
+    without blanks and stops at its ends, is a greeting takes that greeting's answer at once,
+    with the score 99; the others keep theirs. ``greetings``: (text, entry_id), few rows; of
+    equal texts the smallest entry counts."""
+    plain = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^[\s.!?]+|[\s.!?]+$", ""))
+    known = greetings.groupBy(plain(F.col("text")).alias("said")).agg(F.min("entry_id").alias("greeting"))
+    rows = answers.join(queries.select("query_id", plain(F.col("text")).alias("said")), "query_id").join(known, "said", "left")
+    hit = F.col("greeting").isNotNull()
+    return rows.select("query_id", F.when(hit, F.col("greeting")).otherwise(F.col("entry_id")).alias("entry_id"), F.when(hit, F.lit(99.0)).otherwise(F.col("kw_raw")).alias("kw_raw"), (~hit & F.col("is_fallback")).alias("is_fallback"))
+
+
+def summed_vectors(weights: DataFrame, vectors: np.ndarray) -> DataFrame:
+    """(doc_id, vec) from (doc_id, place, w): the sum of w * vectors[place] over a document's
+    rows, over its norm + 1e-10. ``vectors`` is a table of a checked size; a task adds up
+    what it has of a document before anything is shuffled. Null places are left out."""
+    if vectors.nbytes > VECTORS_BYTES:
+        raise ValueError("too many vectors to send to every task: join them instead (weighted_sum)")
+    shared, dims = weights.sparkSession.sparkContext.broadcast(vectors), vectors.shape[1]
+
+    def add(batches):
+        for batch in batches:
+            if batch.num_rows:
+                doc, place, w = batch.column("doc_id"), batch.column("place").to_numpy(), batch.column("w").to_numpy()
+                new = pc.fill_null(pc.not_equal(doc[1:], doc[:-1]), True).to_numpy(zero_copy_only=False)
+                starts = np.flatnonzero(np.concatenate([[True], new]))
+                total = np.add.reduceat(shared.value[place] * w[:, None], starts, axis=0)
+                yield pa.RecordBatch.from_arrays([doc.take(pa.array(starts)), *(pa.array(np.ascontiguousarray(total[:, k])) for k in range(dims))], ["doc_id", *(f"d{k}" for k in range(dims))])
+
+    rows = weights.where(F.col("place").isNotNull()).select("doc_id", F.col("place").cast("int").alias("place"), F.col("w").cast("double").alias("w"))
+    parts = rows.mapInArrow(add, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"d{k} double" for k in range(dims)))
+    sums = parts.groupBy("doc_id").agg(*[F.sum(f"d{k}").alias(f"d{k}") for k in range(dims)]).select("doc_id", F.array(*[f"d{k}" for k in range(dims)]).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)) + 1e-10
+    return sums.withColumn("norm", norm).select("doc_id", F.transform("v", lambda x: x / F.col("norm")).alias("vec"))
+
+
 def weighted_sum(counts: DataFrame, table: DataFrame, dims: int, boost: F.Column | None = None) -> DataFrame:
     """(doc_id, vec): sum of n * idf * embedding over tokens, over its norm + 1e-10.
 

@@ -23,13 +23,13 @@ def sections(pages: DataFrame, levels: str = "h2|h3", min_words: int = 30, after
     if after_title:
         at = F.instr(raw, "</h1>")
         raw = F.when(at > 0, F.substring(raw, at + 5, F.length(raw))).otherwise(raw)
-    heads = rf"(?is)<({levels})[^>]*>(.*?)</\1>"
-    # split before each heading, keep parts that begin with one
+    # What a heading looks like. One pass cuts parts that begin with one.
+    head = rf"(?is)<({levels})[^>]*>(.*?)</\1>"
     whole = rf"(?is)<({levels})[^>]*>(.*?)</\1>(.*?)(?=<({levels})[^>]*>.*?</\4>|\z)"
-    rows = pages.select(F.col(url).alias("url"), raw.alias("raw")).where(F.col("raw").rlike(heads))
-    found = F.arrays_zip(F.regexp_extract_all("raw", F.lit(whole), F.lit(2)).alias("h"), F.regexp_extract_all("raw", F.lit(whole), F.lit(3)).alias("b"))
-    rows = rows.select("url", F.posexplode(found).alias("place", "s"))
-    rows = rows.select("url", "place", tx.strip_tags(F.col("s.h")).alias("heading"), tx.strip_tags(F.col("s.b")).alias("text"))
+    rows = pages.select(F.col(url).alias("url"), F.regexp_extract_all(raw, F.lit(whole), F.lit(0)).alias("parts"))
+    rows = rows.select("url", F.posexplode("parts").alias("place", "part"))
+    body = F.regexp_replace("part", rf"(?is)\A<({levels})[^>]*>.*?</\1>", "")
+    rows = rows.select("url", "place", tx.strip_tags(F.regexp_extract("part", head, 2)).alias("heading"), tx.strip_tags(body).alias("text"))
     return rows.where(F.size(tx.words(F.col("text"), r"(?U)\s+")) > min_words)
 
 
@@ -39,25 +39,20 @@ def content_sections(found: DataFrame, min_words: int = 30) -> DataFrame:
 
 
 def section_keywords(found: DataFrame, k: int) -> DataFrame:
-    """(url, place, keywords): the k best keywords of each section, best first."""
-    toks = found.select(F.struct("url", "place").alias("doc_id"), F.posexplode(tx.tokens_a(F.col("text"))).alias("pos", "token"))
-    best = vocab.keywords(toks, k)
-    lists = best.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("x"))  # k rows a group
-    return lists.select("doc_id.url", "doc_id.place", F.transform("x", lambda t: t["token"]).alias("keywords"))
+    """``found`` with keywords, the k best of each section, best first; in the row."""
+    return found.withColumn("keywords", F.transform(vocab.ranked_words(tx.tokens_a(F.col("text")), k), lambda w: w["token"]))
 
 
-def chunks(found: DataFrame, k: int = 15, words: int = 80) -> DataFrame:
+def chunks(found: DataFrame, k: int = 10, words: int = 80) -> DataFrame:
     """(url, place, heading, text, keywords, lang): what retrieval works on."""
-    rows = found.join(section_keywords(found, k), ["url", "place"], "left")
-    empty = F.expr("cast(array() as array<string>)")
-    return rows.select("url", "place", "heading", tx.snippet(F.col("text"), words).alias("text"), F.coalesce("keywords", empty).alias("keywords"), tx.language_of_path(F.col("url")).alias("lang"))
+    return section_keywords(found, k).select("url", "place", "heading", tx.snippet(F.col("text"), words).alias("text"), "keywords", tx.language_of_path(F.col("url")).alias("lang"))
 
 
 def section_pairs(found: DataFrame) -> DataFrame:
     """(url, place, kind, user, bot): at most five pairs a section with one answer: the
     question, the question in its context, an explanation, two keywords."""
     lang = tx.language_of_path(F.col("url"))
-    rows = found.join(section_keywords(found, 3), ["url", "place"], "left").withColumn("lang", lang)
+    rows = section_keywords(found, 3).withColumn("lang", lang)
     rows = rows.withColumn("q", tx.question_of_heading(F.col("heading"), F.col("lang")))
     rows = rows.withColumn("question", F.trim(tx.right_strip(F.array_join("q", " "), " ?")))
     rows = rows.withColumn("bot", tx.first_sentences(F.col("text"), 3, 50)).withColumn("head", F.array_join(tx.tokens_a(F.col("heading")), " "))

@@ -30,6 +30,12 @@ DOMAIN_WORDS = (
     "incompleteness mindfulness emotion perception euler music harmony consciousness intelligence artificial "
     "attention transformer embedding"
 ).split()
+# The shorter list whose words weigh more in chunk vectors.
+CHUNK_WORDS = (
+    "eigenvalue eigenvalues eigenvector eigenvectors kernel pagerank projection regularization convergence "
+    "overfitting residual iteration fourier radiosity quantum neural matrix vector regression ridge stochastic "
+    "polynomial diagonal subspace linear nonlinear feature"
+).split()
 DOMAIN_BOOST, MIN_KEYWORD = 3.0, 3
 
 
@@ -39,10 +45,54 @@ def tokens(docs: DataFrame, by: str = "doc_id", text: str = "text", split=tx.pla
 
 
 def token_counts(toks: DataFrame) -> DataFrame:
-    """Term frequency per document."""
+    """Term frequency per document, from a token table."""
     return toks.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 
+def runs(words: Column) -> Column:
+    """array of struct(token, n, first) of a list of words: each distinct one, how often it
+    stands there and its first place. A sort inside the row, no shuffle."""
+    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("token"), i.alias("pos"))))
+
+    def of(t: Column) -> Column:
+        token = lambda i: F.get(t, i)["token"]
+        places = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+        starts = F.filter(places, lambda i: (i == 0) | (token(i) != token(i - 1)))
+        return F.transform(F.array(starts), lambda s: F.zip_with(s, F.concat(F.slice(s, 2, F.size(s)), F.array(F.size(t))), lambda a, b: F.struct(token(a).alias("token"), (b - a).cast("long").alias("n"), F.get(t, a)["pos"].alias("first"))))[0]
+
+    return F.filter(F.transform(F.array(placed), of)[0], lambda r: r["token"].isNotNull())
+
+
+def row_counts(docs: DataFrame, by: str = "doc_id", text: str = "text", split=tx.plain_words) -> DataFrame:
+    """(doc_id, token, n): term frequency of every row of ``docs``, counted inside the row.
+    Rows with one id stay apart. Null and empty texts give no rows."""
+    return docs.select(F.col(by).alias("doc_id"), F.explode(runs(split(F.col(text)))).alias("r")).select("doc_id", "r.token", "r.n")
+
+
+def ranked_words(words: Column, k: int, stop: list[str] | None = None, domain: list[str] | None = None) -> Column:
+    """array of struct(token, score): the k best keywords of a list of words, best first,
+    as :func:`keywords` has them."""
+    stop = STOP_DE + STOP_EN + STOP_MARKS if stop is None else stop
+    boost = lambda w: F.when(w.isin(DOMAIN_WORDS if domain is None else domain), DOMAIN_BOOST).otherwise(0.0)
+    content = F.filter(runs(words), lambda r: ~r["token"].isin(stop) & (F.length(r["token"]) >= MIN_KEYWORD))
+    order = F.array_sort(F.transform(content, lambda r: F.struct((-(r["n"] + boost(r["token"]))).alias("down"), r["first"].alias("first"), r["token"].alias("token"))))
+    return F.transform(F.slice(order, 1, k), lambda r: F.struct(r["token"].alias("token"), (-r["down"]).alias("score")))
+
+
+def row_keywords(docs: DataFrame, k: int, by: str = "doc_id", text: str = "text", split=tx.plain_words) -> DataFrame:
+    """(doc_id, rank, token, score) of every row of ``docs``, found inside the row."""
+    best = docs.select(F.col(by).alias("doc_id"), F.posexplode(ranked_words(split(F.col(text)), k)).alias("i", "w"))
+    return best.select("doc_id", (F.col("i") + 1).alias("rank"), "w.token", "w.score")
+
+
+def row_chunks(docs: DataFrame, size: int = 100, by: str = "doc_id", text: str = "text", split=tx.plain_words) -> DataFrame:
+    """(doc_id, chunk, tokens): consecutive pieces of ``size`` tokens of every row, the last
+    shorter; cut inside the row."""
+    rows = docs.select(F.col(by).alias("doc_id"), split(F.col(text)).alias("w")).where(F.size("w") > 0)
+    rows = rows.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / size))).alias("chunk"))
+    return rows.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.slice("w", (F.col("chunk") * size + 1).cast("int"), size).alias("tokens"))
+
+
 def vocabulary(toks: DataFrame, token: str = "token") -> DataFrame:
     """(token, token_id): distinct tokens in code point order, ids from 0.
 
@@ -66,7 +116,7 @@ def idf(frequency: DataFrame, documents: Column | int, vocab: DataFrame | None =
     n = documents if isinstance(documents, Column) else F.lit(documents)
     raw = rows.withColumn("raw", F.ln((n + 1) / (F.col("df") + 1)) + 1)
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
-    return raw.join(F.broadcast(mean)).select("token", "df", (F.col("raw") / F.col("mean")).alias("idf"))
+    return raw.join(F.broadcast(mean)).select("token", "df", F.try_divide("raw", "mean").alias("idf"))
 
 
 def keywords(toks: DataFrame, k: int, stop: list[str] | None = None, domain: list[str] | None = None) -> DataFrame:
