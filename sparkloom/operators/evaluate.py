@@ -9,20 +9,59 @@ from pyspark.sql import functions as F
 MATCH, KW, KW_MAX = r'match:\s*"([^"]*)"', r"kwRaw=([0-9.]+)", r"kwMax=([0-9.]+)"
 TOP3, WORDS, GREETING = r"(\d+)%\s*Top-3", r"(\d+)w\s*·", r'greeting:\s*"([^"]*)"'
 GREETING_SCORE = 99.0
+THRESHOLD = 0.8
 
 
 def parse_response(line: Column) -> list[Column]:
     """matched_pair, kw_raw, top3_pct, word_count, is_fallback of a status line."""
     has = lambda p: line.rlike(p)
     get = lambda p: F.regexp_extract(line, p, 1)
+    number = lambda p, kind="double": F.coalesce(get(p).try_cast(kind), F.lit(0).cast(kind))  # noqa: E731  1.2.3 is no number
     fallback = F.lower(line).contains("fallback")
     matched = F.when(has(GREETING), get(GREETING)).when(has(MATCH), get(MATCH)).otherwise("")
-    kw = F.when(has(GREETING), GREETING_SCORE).when(fallback & has(KW_MAX), get(KW_MAX).cast("double")).when(has(KW), get(KW).cast("double")).otherwise(0.0)
-    top3 = F.when(has(TOP3), get(TOP3).cast("double")).otherwise(0.0)
-    count = F.when(has(WORDS), get(WORDS).cast("int")).otherwise(0)
+    kw = F.when(has(GREETING), GREETING_SCORE).when(fallback & has(KW_MAX), number(KW_MAX)).when(has(KW), number(KW)).otherwise(0.0)
+    top3 = F.when(has(TOP3), number(TOP3)).otherwise(0.0)
+    count = F.when(has(WORDS), number(WORDS, "int")).otherwise(0)
     return [matched.alias("matched_pair"), kw.alias("kw_raw"), top3.alias("top3_pct"), count.alias("word_count"), F.coalesce(fallback, F.lit(False)).alias("is_fallback")]
 
 
+def parse_bubble(text: Column) -> list[Column]:
+    """response and the fields of :func:`parse_response` of an answer of several lines.
+
+    The first line is the response. Every line may hold fields, the last line with a field
+    decides; within a line a greeting outdoes a fallback's number, and that one the match's.
+    Null texts have an empty response and no fields.
+    """
+    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", ""), "\n")
+    last = lambda found: F.element_at(F.concat(F.array(F.lit(None)), F.filter(found, lambda x: x.isNotNull())), -1)
+    of = lambda pattern: lambda l: F.when(l.rlike(pattern), F.regexp_extract(l, pattern, 1))
+    named = lambda l: F.coalesce(of(GREETING)(l), of(MATCH)(l))
+
+    def score(l: Column) -> Column:
+        weak = F.when(F.lower(l).contains("fallback"), of(KW_MAX)(l).try_cast("double"))
+        return F.coalesce(F.when(l.rlike(GREETING), GREETING_SCORE), weak, of(KW)(l).try_cast("double"))
+
+    number = lambda pattern, kind: F.coalesce(last(F.transform(lines, lambda l: of(pattern)(l).try_cast(kind))), F.lit(0).cast(kind))
+    return [
+        lines[0].alias("response"),
+        F.coalesce(last(F.transform(lines, named)), F.lit("")).alias("matched_pair"),
+        F.coalesce(last(F.transform(lines, score)), F.lit(0.0)).alias("kw_raw"),
+        number(TOP3, "double").alias("top3_pct"),
+        number(WORDS, "int").alias("word_count"),
+        F.exists(lines, lambda l: F.lower(l).contains("fallback")).alias("is_fallback"),
+    ]
+
+
+def check_states(rows: DataFrame) -> DataFrame:
+    """As :func:`check`, with the state before a turn first: where ``state_contains`` isn't
+    part of the lower-case ``last_bot``, the turn isn't played. Its response says so, its
+    fields are empty and it fails."""
+    missing = F.col("state_contains").isNotNull() & ~F.contains(F.lower(F.coalesce("last_bot", F.lit(""))), F.col("state_contains"))
+    checked = check(rows.withColumn("state_missing", missing))
+    unplayed = {"response": F.concat(F.lit('[STATE CHECK] lastBotTurn missing "'), "state_contains", F.lit('"')), "matched_pair": F.lit(""), "kw_raw": F.lit(0.0), "top3_pct": F.lit(0.0), "word_count": F.lit(0), "is_fallback": F.lit(False), "fail_reason": F.lit("state"), "passed": F.lit(False)}
+    return checked.withColumns({c: F.when(F.col("state_missing"), v).otherwise(F.col(c)) for c, v in unplayed.items() if c in checked.columns})
+
+
 def check(rows: DataFrame) -> DataFrame:
     """``rows`` with ``passed`` and ``fail_reason``, the first assertion that fails.
 
@@ -61,18 +100,27 @@ def report(results: DataFrame) -> DataFrame:
     )
 
 
+def verdict(results: DataFrame, category: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """One row: total, passed, rate, ok and exit_code (0 if ok) of the results, or of one
+    category's. No results have rate 0."""
+    used = results if category is None else results.where(F.col("category") == category)
+    sums = used.agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"))
+    rows = sums.withColumn("rate", F.coalesce(F.try_divide("passed", "total"), F.lit(0.0)))
+    return rows.withColumn("ok", F.col("rate") >= threshold).withColumn("exit_code", F.when(F.col("ok"), 0).otherwise(1))
+
+
 def accuracy(rows: DataFrame, predicted: str, target: str) -> DataFrame:
     return rows.agg(F.avg((F.col(predicted) == F.col(target)).cast("double")).alias("accuracy"), F.count("*").alias("n"))
 
 
 def relative_error(rows: DataFrame, value: str, reference: str) -> DataFrame:
-    """|X - R| / |R| in the Frobenius norm, of cells."""
+    """|X - R| / |R| in the Frobenius norm, of cells; null where R is zero or there are none."""
     gap = F.col(value) - F.col(reference)
-    return rows.agg((F.sqrt(F.sum(gap * gap)) / F.sqrt(F.sum(F.col(reference) * F.col(reference)))).alias("relative_error"))
+    return rows.agg(F.try_divide(F.sqrt(F.sum(gap * gap)), F.sqrt(F.sum(F.col(reference) * F.col(reference)))).alias("relative_error"))
 
 
 def phase_shares(rows: DataFrame, phase: str, seconds: str) -> DataFrame:
     """(phase, seconds, share): seconds per phase and their per cent of all."""
     sums = rows.groupBy(phase).agg(F.sum(seconds).alias("seconds"))
     total = sums.agg(F.sum("seconds").alias("total"))  # one row
-    return sums.join(F.broadcast(total)).select(phase, "seconds", (100 * F.col("seconds") / F.col("total")).alias("share"))
+    return sums.join(F.broadcast(total)).select(phase, "seconds", F.try_divide(100 * F.col("seconds"), F.col("total")).alias("share"))

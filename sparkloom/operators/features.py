@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,11 +91,11 @@ def gram(rows: DataFrame, transform=None, x: str = "x", target: str = "target_id
                 t, wt = batch.column("t").to_numpy(), batch.column("w").to_numpy()
                 weighted = z * wt[:, None]
                 part = z.T @ weighted
-                square = part if square is None else square + part
+                square = part if square is None else np.add(square, part, out=square)
                 order = np.argsort(t, kind="stable")
                 own, begin = np.unique(t[order], return_index=True)
                 for k, v in zip(own.tolist(), np.add.reduceat(weighted[order], begin, axis=0), strict=True):
-                    targets[k] = targets[k] + v if k in targets else v
+                    targets[k] = np.add(targets[k], v, out=targets[k]) if k in targets else v.copy()
         if square is not None:
             yield from _slices("A", enumerate(square))
             yield from _slices("B", targets.items())
@@ -151,9 +152,10 @@ def collect_gram(sums: DataFrame, features: int, targets: int) -> tuple[np.ndarr
     """A (D x D) and B (D x V) on the driver; their size depends on D and V alone."""
     wide = -(-features // SLICE) * SLICE
     a, b = np.zeros((features, wide)), np.zeros((targets, wide))
-    for kind, row, part, cells in zip(*(sums.toArrow()[c].to_pylist() for c in ("kind", "row", "slice", "cells")), strict=True):
-        values = np.frombuffer(cells, np.float64)
-        (a if kind == "A" else b)[row, part * SLICE : part * SLICE + values.size] = values
+    for batch in sums.toArrow().to_batches():
+        for kind, row, part, cells in zip(*(batch.column(c).to_pylist() for c in ("kind", "row", "slice", "cells")), strict=True):
+            values = np.frombuffer(cells, np.float64)
+            (a if kind == "A" else b)[row, part * SLICE : part * SLICE + values.size] = values
     return a[:, :features], b[:, :features].T.copy()
 
 
@@ -197,42 +199,131 @@ def predict(rows: DataFrame, weights: np.ndarray, transform=None, k: int = 3, x:
     return used.mapInArrow(run, f"{schema}, top array<int>, top_score double")
 
 
+def _cbow_pass(ids: list[np.ndarray], inner: np.ndarray, outer: np.ndarray, noise: np.ndarray, window: int, negative: int, rate: float, rng: np.random.Generator) -> None:
+    """One pass over some sentences, in place: the mean of a word's context predicts it
+    against words drawn from ``noise``. The context's reach is drawn anew for each word."""
+    for s in ids:
+        n = s.size
+        if n < 2:
+            continue
+        reach = rng.integers(1, window + 1, n)
+        offset = np.concatenate([np.arange(-window, 0), np.arange(1, window + 1)])
+        at = np.arange(n)[:, None] + offset
+        inside = (at >= 0) & (at < n) & (np.abs(offset)[None] <= reach[:, None])
+        context = np.where(inside, s[np.clip(at, 0, n - 1)], 0)
+        count = inside.sum(1, keepdims=True)
+        mean = (inner[context] * inside[..., None]).sum(1) / np.maximum(count, 1)
+        drawn = np.searchsorted(noise, rng.random((n, negative)))
+        target = np.concatenate([s[:, None], drawn], axis=1)
+        sign = np.zeros(target.shape, np.float32)
+        sign[:, 0] = 1
+        use = (target != s[:, None]) | (sign == 1)
+        score = np.einsum("nd,nkd->nk", mean, outer[target])
+        gap = (sign - 1 / (1 + np.exp(-np.clip(score, -10, 10)))) * rate * use * (count > 0)
+        back = np.einsum("nk,nkd->nd", gap, outer[target])
+        np.add.at(outer, target, gap[..., None] * mean[:, None, :])
+        np.add.at(inner, context, (back[:, None, :] * inside[..., None]).astype(np.float32))  # whole, to each word of the context
+
+
+def cbow(sentences: DataFrame, column: str = "sentence", dims: int = 32, window: int = 8, epochs: int = 20, seed: int = 42, negative: int = 5, rate: float = 0.025, most_words: int = 2_000_000) -> DataFrame:
+    """(word, vector) by continuous bag of words with negative sampling.
+
+    Each epoch, tasks pass over their sentences from the same vectors and hand on the rows
+    they have changed; rows are averaged over tasks. The driver holds the vectors, so
+    vocabularies over ``most_words`` are refused. No sentences give no rows.
+    """
+    spark = sentences.sparkSession
+    rows = sentences.where(F.size(column) > 0).select(F.col(column).alias("s"))
+    counts = rows.select(F.explode("s").alias("word")).where(F.col("word").isNotNull()).groupBy("word").agg(F.count("*").alias("n"))
+    size = counts.count()
+    if size > most_words:
+        raise ValueError("too many words for one driver")
+    table = counts.orderBy("word").toArrow()
+    words, n = table["word"].to_pylist(), table["n"].to_numpy().astype(np.float64)
+    if not words:
+        return spark.createDataFrame([], "word string, vector array<double>")
+    place = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+    noise = np.cumsum(n**0.75) / (n**0.75).sum()
+    inner = ((np.random.default_rng(seed).random((size, dims)) - 0.5) / dims).astype(np.float32)
+    outer = np.zeros((size, dims), np.float32)
+    ready = rows.repartition(max(1, min(spark.sparkContext.defaultParallelism, int(n.sum() // 200_000) + 1))).persist()
+    for epoch in range(epochs):
+        shared = spark.sparkContext.broadcast((inner, outer, noise))
+        pace = max(rate * (1 - epoch / epochs), rate * 1e-2)
+
+        def learn(batches, epoch=epoch, shared=shared, pace=pace):
+            a, b, draw = shared.value
+            a, b = a.copy(), b.copy()
+            known, seen = place.value, np.zeros(len(a), bool)
+            rng = np.random.default_rng([seed, epoch])
+            for batch in batches:
+                ids = [np.array([known[w] for w in s if w is not None], np.int64) for s in batch.column("s").to_pylist()]
+                _cbow_pass(ids, a, b, draw, window, negative, pace, rng)
+                for s in ids:
+                    seen[s] = True
+            own = np.flatnonzero(seen | (b != shared.value[1]).any(axis=1))
+            if own.size:
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(list(a[own]), pa.list_(pa.float32())), pa.array(list(b[own]), pa.list_(pa.float32()))], ["i", "a", "b"])
+
+        found = ready.mapInArrow(learn, "i int, a array<float>, b array<float>").toArrow()
+        i = found["i"].to_numpy()
+        times = np.maximum(np.bincount(i, minlength=size), 1)[:, None]
+        for matrix, name in ((inner, "a"), (outer, "b")):
+            rows_of = np.array(found[name].to_pylist(), np.float32).reshape(-1, dims)
+            total = np.zeros_like(matrix)
+            np.add.at(total, i, rows_of)
+            changed = np.bincount(i, minlength=size) > 0
+            matrix[changed] = (total / times)[changed]
+    ready.unpersist()
+    schema = "word string, vector array<double>"
+    return spark.createDataFrame(pa.table({"word": words, "vector": pa.array(list(inner.astype(np.float64)))}), schema)
+
+
 def word2vec(sentences: DataFrame, column: str = "sentence", dims: int = 32, window: int = 8, epochs: int = 20, seed: int = 42) -> DataFrame:
-    """(word, vector) by Spark's skip-gram with hierarchical softmax."""
+    """(word, vector) by Spark's skip-gram with hierarchical softmax; no sentences give no
+    rows."""
     from pyspark.ml.feature import Word2Vec
 
+    if not sentences.limit(1).count():
+        return sentences.sparkSession.createDataFrame([], "word string, vector array<double>")
     model = Word2Vec(vectorSize=dims, windowSize=window, minCount=1, maxIter=epochs, seed=seed, inputCol=column, outputCol="__v").fit(sentences)
-    return model.getVectors()
+    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
 def nearest_of(rows: DataFrame, queries: list[tuple[int, list[float]]], k: int, by: str, x: str, most_queries: int = 10_000) -> DataFrame:
     """(query_id, rank, id, cosine): the k most similar rows of a stated, bounded set of
-    queries. Tasks keep k candidates per query; only those are shuffled."""
+    queries. Similarities are compared at 9 digits, ties go to the smaller id. Tasks keep
+    k candidates per query in that order; only those are shuffled. Zero vectors have a
+    similarity of 0; no queries or no rows give no rows."""
     from pyspark.sql import Window as W
 
     if len(queries) > most_queries:
         raise ValueError("too many queries for one block")
     ids = np.array([q for q, _ in queries], np.int64)
+    if not queries:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, id long, cosine double")
     table = np.array([v for _, v in queries], np.float64)
-    table /= np.linalg.norm(table, axis=1, keepdims=True)
+    table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-300)
 
     def run(batches):
-        best = [np.zeros((0, 2))] * len(ids)
+        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(at, ROWS_AT_ONCE)
                 if batch.num_rows:
                     y = lists_to_matrix(batch.column("x")).astype(np.float64)
                     own = batch.column("id").to_numpy()
-                    score = (y / np.linalg.norm(y, axis=1, keepdims=True)) @ table.T
+                    score = (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)) @ table.T
                     for q in range(len(ids)):
-                        rows_q = np.concatenate([best[q], np.column_stack([-score[:, q], own])])
-                        best[q] = rows_q[np.lexsort((rows_q[:, 1], rows_q[:, 0]))][: k + 8]
-        found = [(int(i), int(r[1]), -float(r[0])) for i, b in zip(ids, best, strict=True) for r in b]
+                        i, s = np.concatenate([best[q][0], own]), np.concatenate([best[q][1], score[:, q]])
+                        first = np.lexsort((i, -np.round(s, 9)))[:k]
+                        best[q] = (i[first], s[first])
+        found = [(int(q), int(i), float(s)) for q, b in zip(ids, best, strict=True) for i, s in zip(*b, strict=True)]
         if found:
             q, i, s = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s)], ["query_id", "id", "cosine"])
 
-    found = rows.select(F.col(by).cast("long").alias("id"), F.col(x).alias("x")).mapInArrow(run, "query_id long, id long, cosine double")
+    used = rows.where(F.col(by).isNotNull() & F.col(x).isNotNull())
+    found = used.select(F.col(by).cast("long").alias("id"), F.col(x).alias("x")).mapInArrow(run, "query_id long, id long, cosine double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "cosine")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from sparkloom.functions import text as tx
 
 # The arithmetic rows' wording.
-SUMS = (("plus", "+", ". einfache aufgabe . magst du noch eine"), ("minus", "-", ". das war nicht so schwer . noch eine aufgabe"), ("mal", "*", ". gut gerechnet . noch eine"))
+SUMS = (("plus", ". einfache aufgabe . magst du noch eine"), ("minus", ". das war nicht so schwer . noch eine aufgabe"), ("mal", ". gut gerechnet . noch eine"))
 RIGHT = ". gut gerechnet . noch eine aufgabe"
 
 
@@ -36,10 +36,14 @@ def pair_sentences(pairs: DataFrame, copies: int = 3) -> DataFrame:
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in the order given; other rows go. The minimum of the
-    row as a struct is aggregated before the shuffle, so a hot key costs one row a task."""
-    rest = [c for c in rows.columns if c not in keys and c not in order]
-    least = rows.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("__first"))
-    return least.select(*keys, "__first.*").select(*rows.columns)
+    row as a struct is aggregated before the shuffle, so a hot key costs one row a task.
+    String keys are compared by a 256-bit digest, so texts are no shuffle keys; of rows
+    that are equal in the order the one with the smallest other columns stays."""
+    kinds = dict(rows.dtypes)
+    rest = [c for c in rows.columns if c not in order]
+    by = [F.sha2(k, 256).alias(f"__k{i}") if kinds[k] == "string" else F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    least = rows.groupBy(*by).agg(F.min(F.struct(*order, *rest)).alias("__first"))
+    return least.select("__first.*").select(*rows.columns)
 
 
 def union_in_order(*parts: DataFrame, order: str = "pos") -> DataFrame:
@@ -56,7 +60,7 @@ def arithmetic(spark: SparkSession, top: int = 10) -> DataFrame:
     grid = spark.range(top + 1).select(F.col("id").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(top))).alias("y"))
 
     def row(k: int, result: Column, ok: Column) -> Column:
-        word, _, tail = SUMS[k]
+        word, tail = SUMS[k]
         user = F.format_string(f"was ist %d {word} %d", "x", "y")
         return F.when(ok, F.struct(user.alias("user"), F.format_string(f"%d {word} %d ist %d {tail}", "x", "y", result).alias("bot")))
 
@@ -90,6 +94,25 @@ def fill_templates(things: DataFrame, templates: list[tuple[str, str]], slot: st
     return out.select(slot, F.col("r.t").alias("t"), fill("r.u").alias("user"), fill("r.b").alias("bot"))
 
 
+def fill_slots(templates: list[tuple[str, str]], **slots: DataFrame) -> DataFrame:
+    """(t, slots, user, bot): every combination of the slots' values in every template's
+    ``{name}``. Slots are short tables of one column each, named like the slot."""
+    rows = None
+    for name, values in slots.items():
+        own = values.select(name).distinct()
+        rows = own if rows is None else rows.join(F.broadcast(own))  # lists of a few words each
+    parts = F.array(*[F.struct(F.lit(k).alias("t"), F.lit(u).alias("u"), F.lit(b).alias("b")) for k, (u, b) in enumerate(templates)])
+    out = rows.select(*slots, F.explode(parts).alias("r"))
+
+    def fill(c: str) -> Column:
+        text = F.col(c)
+        for name in slots:
+            text = F.replace(text, F.lit("{" + name + "}"), F.col(name))
+        return text
+
+    return out.select(*slots, F.col("r.t").alias("t"), fill("r.u").alias("user"), fill("r.b").alias("bot"))
+
+
 def unless_present(rows: DataFrame, present: DataFrame, key: str = "user") -> DataFrame:
     """Rows whose key isn't in ``present``."""
     return rows.join(present.select(key).distinct(), key, "left_anti")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import features, solvers, windows
+from sparkloom.operators import evaluate, features, solvers, windows
 from sparkloom.plans import queries
 
 
@@ -31,6 +31,40 @@ def test_solvers_agree():
         solvers.solve(a, b, "power")
 
 
+def test_single_precision_and_neumann():
+    a, b = problem()
+    b[:, 2] = 0
+    r = solvers.solve(a, b, "cg32")
+    assert r.x.dtype == np.float32 and r.converged and np.allclose(a @ r.x, b, atol=1e-3) and not r.x[:, 2].any()
+    assert not solvers.single_cg(a, b * 0).x.any()
+    m = np.array([[0.5, 0.2], [0.1, 0.3]])
+    assert np.allclose(solvers.neumann(m, np.ones(2)).x, np.linalg.solve(np.eye(2) - m, np.ones(2)))
+    assert not solvers.neumann(np.eye(2), np.ones(2), max_iter=5).converged
+
+
+def test_nearest_of_keeps_ties(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(60)] + [(99, [0.0, 0.0]), (100, None)]
+    df = spark.createDataFrame(rows, "id long, x array<double>").orderBy(F.desc("id")).coalesce(1)
+    got = features.nearest_of(df, [(7, [1.0, 1e-6]), (8, [0.0, 1.0])], 5, "id", "x").orderBy("query_id", "rank").collect()
+    assert [r["id"] for r in got] == [0, 1, 2, 3, 4] * 2
+    assert features.nearest_of(df, [], 5, "id", "x").count() == 0
+
+
+def test_cbow_brings_words_of_one_context_together(spark):
+    rng = np.random.default_rng(0)
+    groups = [[f"{g}{i}" for i in range(6)] for g in "ab"]
+    rows = [([str(w) for w in rng.choice(groups[k % 2], 8)],) for k in range(300)] + [(["lonely"],), ([],), (None,)]
+    found = features.cbow(spark.createDataFrame(rows, "sentence array<string>"), dims=8, window=4, rate=0.1)
+    v = {r["word"]: np.array(r["vector"]) for r in found.collect()}
+    assert set(v) == {"lonely", *groups[0], *groups[1]}
+    unit = lambda w: v[w] / np.linalg.norm(v[w])
+    near = np.mean([unit(x) @ unit(y) for g in groups for x in g for y in g if x != y])
+    far = np.mean([unit(x) @ unit(y) for x in groups[0] for y in groups[1]])
+    assert near > far + 0.5
+    again = {r["word"]: r["vector"] for r in features.cbow(spark.createDataFrame(rows, "sentence array<string>"), dims=8, window=4, rate=0.1).collect()}
+    assert all(np.allclose(again[w], v[w], atol=1e-5) for w in v)
+
+
 def test_spectrum():
     a, _ = problem()
     assert abs(solvers.spectral_radius(a, 500) - np.linalg.eigvalsh(a)[-1]) < 1e-6
@@ -142,3 +176,18 @@ def test_word2vec_query_trains_the_operators_epochs(spark, sf_dir, monkeypatch):
     rows = queries.QUERIES["word2vec"](spark, sf_dir).collect()
     assert [a.arguments["epochs"] for a in asked] == [20]
     assert rows and all(len(r["vector"]) == 32 for r in rows)
+
+
+def test_bubbles_of_several_lines(spark):
+    texts = ["\n ok .\n12w · 40% Top-3\nmatch: \"a\" kwRaw=3.5\nmatch: \"b\"", "x\nfallback kwMax=2.5 kwRaw=9", "hi\ngreeting: \"hallo\" kwRaw=1", "kwRaw=1.2.3 match: \"q\"", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [tuple(r)[1:] for r in df.select("i", *evaluate.parse_bubble(F.col("t"))).orderBy("i").collect()]
+    assert got == [("ok .", "b", 3.5, 40.0, 12, False), ("x", "", 2.5, 0.0, 0, True), ("hi", "hallo", 99.0, 0.0, 0, False), ('kwRaw=1.2.3 match: "q"', "q", 0.0, 0.0, 0, False), ("", "", 0.0, 0.0, 0, False), ("", "", 0.0, 0.0, 0, False)]
+    one = spark.createDataFrame([("kwRaw=1.2.3",)], "l string").select(*evaluate.parse_response(F.col("l"))).first()
+    assert one["kw_raw"] == 0.0
+
+
+def test_verdicts(spark):
+    rows = spark.createDataFrame([("a", True), ("a", True), ("b", False)], "category string, passed boolean")
+    of = lambda *x: tuple(evaluate.verdict(rows, *x).first())
+    assert of("a") == (2, 2, 1.0, True, 0) and of("b") == (1, 0, 0.0, False, 1) and of(None)[3:] == (False, 1) and of(None, 0.6)[3:] == (True, 0) and of("none") == (0, 0, 0.0, False, 1)
