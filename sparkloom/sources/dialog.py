@@ -24,9 +24,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, line) of a text file; pos follows the file's order."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"))
-    return rows
+    """(pos, line) of a text file or of the files of a folder: lines in the order of their
+    files' names and their places there, numbered from 0, however the files are split."""
+    rows = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return numbered(rows, "file", "block", "at", into="pos").select("pos", "line")
 
 
 def parse_dialog(lines: DataFrame, terminate: bool = True) -> DataFrame:
@@ -57,9 +58,10 @@ def read_dialog(spark: SparkSession, path: str, terminate: bool = True, optional
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, token) of one file's white-space separated tokens."""
-    found = spark.read.text(path, wholetext=True).select(F.posexplode(tx.words(F.col("value"), r"(?U)\s+")))
-    return found.select(F.col("pos").cast("long").alias("pos"), F.col("col").alias("token"))
+    """(pos, token) of a file's white-space separated tokens, line by line, so a file of
+    any size is read in parallel."""
+    lines = text_lines(spark, path).select(F.col("pos").alias("l"), F.posexplode(tx.words(F.col("line"), r"(?U)\s+")).alias("i", "token"))
+    return numbered(lines, "l", "i", into="pos").select("pos", "token")
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -74,7 +76,8 @@ def content_pages(pages: DataFrame, url: str = "url") -> DataFrame:
 
 
 def read_html(spark: SparkSession, folder: str) -> DataFrame:
-    """(url, html) of ``*.html`` and ``en/*.html`` of a folder, service pages left out."""
+    """(url, html, page_lang) of ``*.html`` and ``en/*.html`` of a folder, each page once, in
+    the order of their paths, service pages left out."""
     paths = [p for p in (f"{folder}/*.html", f"{folder}/en/*.html")]
     parts = []
     for p in paths:
@@ -84,7 +87,7 @@ def read_html(spark: SparkSession, folder: str) -> DataFrame:
     if not parts:
         return spark.createDataFrame([], "url string, html string, page_lang string")
     rows = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
-    return content_pages(rows)
+    return content_pages(rows.dropDuplicates(["url"])).orderBy("url")
 
 
 def numbered(rows: DataFrame, *order: str, into: str = "pair_id") -> DataFrame:

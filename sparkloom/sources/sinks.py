@@ -9,6 +9,7 @@ import json
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from sparkloom.functions import text as tx
 
@@ -35,9 +36,41 @@ def write_marked(pairs: DataFrame, path: str, order: str = "pos") -> None:
     pairs.coalesce(1).sortWithinPartitions(order).select(line.alias("value")).write.text(path)
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunks as JSON lines, one file a partition."""
-    chunks.write.json(path)
+def write_chunks(chunks: DataFrame, path: str, array: bool = False, order: tuple[str, ...] = ()) -> None:
+    """Chunks as JSON lines, one file a partition; or as one file that holds one array of
+    objects, in the order given. That file is written line by line, not from one row."""
+    if not array:
+        chunks.write.json(path)
+        return
+    write_json_array(chunks, path, order)
+
+
+def write_json_array(rows: DataFrame, path: str, order: tuple[str, ...] = ()) -> None:
+    """One JSON array in one file, an object a line. The format asks for one file; lines are
+    made in parallel and one task writes them in order. Null fields stay null."""
+    by = [F.col(c) for c in order]
+    keys = [c.alias(f"__o{k}") for k, c in enumerate(by)]
+    lines = rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"), *keys)
+    spark, n = rows.sparkSession, len(keys)
+    last = spark.createDataFrame([("[", 0), ("]", 2)], "value string, __part int")
+    body = lines.withColumn("__part", F.lit(1))
+    both = body.unionByName(last, allowMissingColumns=True)
+    spread = both.coalesce(1).sortWithinPartitions("__part", *[f"__o{k}" for k in range(n)])
+    first = F.lag("__part").over(W.partitionBy(F.lit(0)).orderBy("__part", *[f"__o{k}" for k in range(n)]))
+    comma = F.when((F.col("__part") == 1) & (first == 1), F.lit(",")).otherwise(F.lit(""))
+    spread.select(F.concat(comma, "value").alias("value")).write.text(path)
+
+
+def write_report(results: DataFrame, path: str, order: tuple[str, ...] = ("scenario_id",)) -> None:
+    """Test results as one JSON array, in order."""
+    write_json_array(results, path, order)
+
+
+def write_rag_pairs(pairs: DataFrame, path: str, order: str = "pos") -> None:
+    """Questions and answers as they are, a pair and a blank line each: no stops are taken
+    off or added but the closing ones."""
+    line = F.concat(F.lit("du: "), F.col("user"), F.lit(" . bot: "), F.col("bot"), F.lit(" .\n"))
+    pairs.coalesce(1).sortWithinPartitions(order).select(line.alias("value")).write.text(path)
 
 
 def write_token_text(tokens: DataFrame, path: str, order: str = "pos", block: int = 1_000) -> None:

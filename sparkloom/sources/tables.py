@@ -9,15 +9,21 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder from ``spark.checkpoint.dir``.
 
-    Only where that is unset (single-machine tests) a temporary folder is made and set.
+    Only where that is unset and everything runs on one machine (tests) a temporary folder
+    is made and set; a cluster without the setting is an error.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="loom-shared-")
     atexit.register(shutil.rmtree, made, True)
     spark.conf.set("spark.checkpoint.dir", f"file://{made}")
@@ -29,12 +35,30 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/loom-{label}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt to all cores if its files give fewer partitions; larger tables stay."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Lineage ends here: a lost executor costs a re-read of the table, not a recomputation,
-    and all readers see the same rows in the same partitions.
+    and all readers see the same rows in the same partitions. The table stays until
+    :func:`forget`.
     """
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> int:
+    """Delete the tables that :func:`cut` has written for this driver so far, once no frame
+    that reads them is needed; returns their number."""
+    done = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return done

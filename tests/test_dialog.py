@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sparkloom.operators import pairs
-from sparkloom.sources import dialog, sinks
+from sparkloom.sources import dialog, sinks, tables
 
 LINES = """# head
 
@@ -43,12 +43,19 @@ def test_writers_round_trip(spark, tmp_path):
 
 def test_chunks_and_html_folder(spark, tmp_path):
     (tmp_path / "chunks.json").write_text(json.dumps([{"heading": "h", "text": "t", "keywords": ["a", "b c"]}]))
+    both = spark.createDataFrame([("h2", 'a "q"', ["k"], None), ("h1", "b\nc", [], "s")], "heading string, text string, keywords array<string>, source string")
+    sinks.write_chunks(both, str(tmp_path / "array"), array=True, order=("heading",))
+    (part,) = (tmp_path / "array").glob("part-*")
+    assert [c["heading"] for c in json.loads(part.read_text())] == ["h1", "h2"] and json.loads(part.read_text())[1]["source"] is None
+    assert {tuple(r)[:2] for r in dialog.read_chunks(spark, str(tmp_path / "array")).collect()} == {("h1", "b\nc"), ("h2", 'a "q"')}
+    sinks.write_chunks(both.limit(0), str(tmp_path / "empty"), array=True)
+    assert dialog.read_chunks(spark, str(tmp_path / "empty")).count() == 0
     row = dialog.read_chunks(spark, str(tmp_path / "chunks.json")).first()
     assert row["keywords"] == ["a", "b c"] and row["lang"] is None
     (tmp_path / "en").mkdir()
     for name in ("one.html", "index.html", "en/two.html", "en/about.html"):
         (tmp_path / name).write_text(f"<p>{name}</p>")
-    got = sorted((r["html"], r["page_lang"]) for r in dialog.read_html(spark, str(tmp_path)).collect())
+    got = [(r["html"], r["page_lang"]) for r in dialog.read_html(spark, str(tmp_path)).collect()]
     assert got == [("<p>en/two.html</p>", "en"), ("<p>one.html</p>", "de")]
     assert dialog.read_html(spark, str(tmp_path / "nothing")).count() == 0
 
@@ -60,6 +67,35 @@ def test_keep_first_does_not_depend_on_partitions(spark):
         assert sorted(tuple(r) for r in pairs.keep_first(df, ["k"], ["pos"]).collect()) == [(0, 0, "v0"), (1, 1, "v1"), (2, 2, "v2")]
 
 
+def test_lines_follow_names_and_places(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    want = []
+    for k, size in enumerate((3_000, 10, 40_000)):
+        lines = [f"du: f{k} l{i} . bot: x ." for i in range(size)]
+        (tmp_path / "c" / f"part{k}.md").write_text("\n".join(lines))
+        want += [f"f{k} l{i}" for i in range(size)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        got = [r["user"] for r in dialog.read_dialog(spark, str(tmp_path / "c")).orderBy("pos").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want
+
+
+def test_rag_pairs_and_written_tables(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "q2", "a."), (0, "q", "b")], "pos long, user string, bot string")
+    sinks.write_rag_pairs(rows, str(tmp_path / "r"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "r")).collect() if r["value"]] == ["du: q . bot: b .", "du: q2 . bot: a. ."]
+    tables.cut(rows, "x")
+    assert tables.forget(spark) >= 1 and tables.forget(spark) == 0
+
+
+def test_slots(spark):
+    a, b = spark.createDataFrame([("x",), ("y",), ("x",)], "a string"), spark.createDataFrame([("ja",), ("nein",)], "b string")
+    got = sorted(tuple(r) for r in pairs.fill_slots([("mag {a} {b}", "{b} {a} {a}")], a=a, b=b).collect())
+    assert got == [(x, y, 0, f"mag {x} {y}", f"{y} {x} {x}") for x in "xy" for y in ("ja", "nein")]
+
+
 def test_numbered(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x")).repartition(5)
     assert all(r["x"] == r["n"] for r in dialog.numbered(df, "x", into="n").collect())
