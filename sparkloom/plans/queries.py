@@ -6,7 +6,6 @@ Floating-point results are rounded so that summation order can't show.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -34,8 +33,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the documents, dealt to all cores where one file has one row group."""
+    return tables.spread(table(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text"))))
+
+
+def pages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return tables.spread(table(spark, sf_dir, "pages").select(*columns))
+
+
+def _counts(spark, sf_dir):
+    return vocab.row_counts(documents(spark, sf_dir))
+
+
 def _tokens(spark, sf_dir):
-    return vocab.tokens(table(spark, sf_dir, "documents"))
+    return vocab.tokens(documents(spark, sf_dir))
 
 
 # SQL fragments shared by several oracles
@@ -60,7 +72,7 @@ def _list_sql(words):
 
 @query(f"WITH {TOK} SELECT doc_id, token, count(*) AS n FROM tok GROUP BY ALL")
 def token_counts(spark, sf_dir):
-    return vocab.token_counts(_tokens(spark, sf_dir))
+    return _counts(spark, sf_dir)
 
 
 @query(f"WITH {TOK} SELECT token, row_number() OVER (ORDER BY token) - 1 AS token_id FROM (SELECT DISTINCT token FROM tok)")
@@ -70,7 +82,7 @@ def vocabulary(spark, sf_dir):
 
 @query(f"WITH {TOK} SELECT token, count(DISTINCT doc_id) AS df FROM tok GROUP BY token")
 def document_frequency(spark, sf_dir):
-    return vocab.document_frequency(vocab.token_counts(_tokens(spark, sf_dir)))
+    return vocab.document_frequency(_counts(spark, sf_dir))
 
 
 def _idf(spark, sf_dir, counts):
@@ -80,7 +92,7 @@ def _idf(spark, sf_dir, counts):
 
 @query(f"WITH {TOK}, {IDF} SELECT token, df, round(idf, 6) AS idf FROM idfq")
 def idf_weights(spark, sf_dir):
-    return _idf(spark, sf_dir, vocab.token_counts(_tokens(spark, sf_dir))).select("token", "df", F.round("idf", 6).alias("idf"))
+    return _idf(spark, sf_dir, _counts(spark, sf_dir)).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 _STOP = vocab.STOP_DE + vocab.STOP_EN + vocab.STOP_MARKS
@@ -92,7 +104,7 @@ FROM tok WHERE length(token) >= 3 AND token NOT IN {_list_sql(_STOP)} GROUP BY d
 SELECT doc_id, rank, token, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, f) AS rank FROM s) WHERE rank <= 10"""
 )
 def keywords_topk(spark, sf_dir):
-    return vocab.keywords(_tokens(spark, sf_dir), 10)
+    return vocab.row_keywords(documents(spark, sf_dir), 10)
 
 
 @query(f"WITH {TOK} SELECT token, count(*) AS n FROM tok GROUP BY token ORDER BY n DESC, token LIMIT 1000")
@@ -107,7 +119,7 @@ def corpus_stats(spark, sf_dir):
 
 @query(f"WITH {TOK} SELECT doc_id, pos // 100 AS chunk, string_agg(token, ' ' ORDER BY pos) AS tokens FROM tok GROUP BY ALL")
 def fixed_chunks(spark, sf_dir):
-    return vocab.fixed_chunks(_tokens(spark, sf_dir), 100).select("doc_id", "chunk", F.array_join("tokens", " ").alias("tokens"))
+    return vocab.row_chunks(documents(spark, sf_dir), 100).select("doc_id", "chunk", F.array_join("tokens", " ").alias("tokens"))
 
 
 # ---- dialog pairs
@@ -155,7 +167,7 @@ def dialog_sentences(spark, sf_dir):
 
 @query("""SELECT doc_id, lang, "text" FROM (SELECT *, row_number() OVER (PARTITION BY "text" ORDER BY doc_id) AS r FROM documents) WHERE r = 1""")
 def pairs_dedup_first(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = documents(spark, sf_dir, "doc_id", "lang", "text")
     return pairs.keep_first(docs, ["text"], ["doc_id"])
 
 
@@ -200,11 +212,11 @@ def template_pairs(spark, sf_dir):
     return pairs.fill_templates(things, _TEMPLATES)
 
 
-@query("""SELECT DISTINCT 'was ist ' || source AS "user" FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'fr' AND doc_id < 100)""")
+@query("""SELECT DISTINCT 'was ist ' || source AS "user" FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'fr' AND text LIKE '%password%')""")
 def existence_guard(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     key = F.concat(F.lit("was ist "), "source").alias("user")
-    return pairs.unless_present(docs.select(key).distinct(), docs.where("lang = 'fr' and doc_id < 100").select(key))
+    return pairs.unless_present(docs.select(key).distinct(), docs.where("lang = 'fr' and text like '%password%'").select(key))
 
 
 @query("""SELECT conv_id AS chain_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS turn, "user", bot FROM (SELECT conv_id, turn, role, text AS "user", lead(role) OVER w AS nr, lead(text) OVER w AS bot FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nr = 'assistant'""")
@@ -279,12 +291,37 @@ def ridge_filter(spark, sf_dir):
     return grid.select("k", "n", F.round(vx.ridge_factor(mu, 0.1), 9).alias("ridge"), F.round(vx.iteration_factor(mu, F.col("n")), 9).alias("iterated"))
 
 
+# ---- files
+
+
+_ONE_LINE = "replace(replace({0}, chr(13), ' '), chr(10), ' ')"
+_WRITTEN = _PARSE.replace(""""user" || ' . bot: ' || bot ||""", _ONE_LINE.format('"user"') + " || ' . bot: ' || " + _ONE_LINE.format("bot") + " ||")
+
+
+@query(_WRITTEN.replace("SELECT conv_id, turn, u AS", "SELECT u AS") + r"b || CASE WHEN list_filter(string_split_regex(b, '\s+'), lambda x: x <> '')[-1] IN ('.', '?', '!') THEN '' ELSE ' .' END AS bot FROM p WHERE u <> '' AND b <> ''")
+def corpus_file(spark, sf_dir):
+    """Dialog pairs, line breaks as blanks, written as a corpus file and read again."""
+    path = tables.fresh_path(spark, "corpus")
+    flat = lambda c: F.translate(c, "\r\n", "  ").alias(c)
+    rows = _pairs(spark, sf_dir).select("conv_id", "turn", flat("user"), flat("bot"))
+    sinks.write_dialog(dialog.numbered(rows, "conv_id", "turn", into="pos"), path, header="# corpus")
+    return dialog.read_dialog(spark, path, optional=True).select("user", "bot")
+
+
+@query(f"{_SEQ} SELECT pos, token FROM s")
+def token_file(spark, sf_dir):
+    """The token sequence written as text and read again."""
+    path = tables.fresh_path(spark, "tokens")
+    sinks.write_token_text(_sequence(spark, sf_dir), path)
+    return dialog.read_tokens(spark, path)
+
+
 # ---- text functions
 
 
 def _joined_tokens(name, split, sql):
     def run(spark, sf_dir):
-        return table(spark, sf_dir, "documents").select("doc_id", F.array_join(split(F.col("text")), " ").alias("tokens"))
+        return documents(spark, sf_dir).select("doc_id", F.array_join(split(F.col("text")), " ").alias("tokens"))
 
     run.__name__ = name
     query(f"SELECT doc_id, array_to_string({sql.format('text')}, ' ') AS tokens FROM documents")(run)
@@ -296,7 +333,7 @@ _joined_tokens("tokens_pad_first", tx.tokens_b, TOKENS_B)
 
 @query(f"SELECT doc_id, array_to_string({TOKENS_A.format('text')}[1:80], ' ') AS snippet FROM documents")
 def snippets(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.snippet(F.col("text")).alias("snippet"))
+    return documents(spark, sf_dir).select("doc_id", tx.snippet(F.col("text")).alias("snippet"))
 
 
 _FIRST = """WITH t AS (SELECT {key}, {tokens} AS t FROM {source}), e AS (SELECT {key}, t, list_filter(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN t[i] = '.' THEN i END), lambda i: i IS NOT NULL) AS s FROM t),
@@ -306,7 +343,7 @@ j AS (SELECT {key}, CASE WHEN len(k) > {m} THEN array_to_string(k[1:{m}], ' ') |
 
 @query(_FIRST.format(key="doc_id", tokens=TOKENS_A.format("text"), source="documents", n=3, m=60) + " SELECT doc_id, CASE WHEN ends_with(j, '.') THEN j ELSE j || ' .' END AS answer FROM j")
 def first_sentences(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.first_sentences(F.col("text")).alias("answer"))
+    return documents(spark, sf_dir).select("doc_id", tx.first_sentences(F.col("text")).alias("answer"))
 
 
 _TITLE = "regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)"
@@ -340,7 +377,7 @@ def _strip_sql(column, blocks):
 
 @query(f"SELECT page_id, {_strip_sql('html', ('script', 'style', 'svg'))} AS text FROM pages")
 def html_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", tx.strip_tags(F.col("html")).alias("text"))
+    return pages(spark, sf_dir, "page_id", "html").select("page_id", tx.strip_tags(F.col("html")).alias("text"))
 
 
 _PAGE = _strip_sql("html", ("script", "style", "svg", "nav", "header", "footer"))
@@ -348,11 +385,11 @@ _PAGE = _strip_sql("html", ("script", "style", "svg", "nav", "header", "footer")
 
 @query(f"SELECT page_id, {_PAGE} AS text FROM pages")
 def html_page_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", tx.strip_page(F.col("html")).alias("text"))
+    return pages(spark, sf_dir, "page_id", "html").select("page_id", tx.strip_page(F.col("html")).alias("text"))
 
 
 def _articles(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", tx.tokens_b(tx.strip_page(F.col("html"))).alias("t"))
+    rows = pages(spark, sf_dir, "page_id", "html").select("page_id", tx.tokens_b(tx.strip_page(F.col("html"))).alias("t"))
     return rows.where(F.size("t") >= 200)
 
 
@@ -378,7 +415,7 @@ sec AS (SELECT * FROM txt WHERE len(list_filter(string_split_regex(text, '\\s+')
 
 
 def _sections(spark, sf_dir):
-    return sections.sections(table(spark, sf_dir, "pages"), levels="h1", after_title=False)
+    return sections.sections(pages(spark, sf_dir, "url", "html"), levels="h1", after_title=False)
 
 
 @query(f"WITH {_SECTIONS} SELECT url, place::INT AS place, heading, text FROM sec")
@@ -391,11 +428,20 @@ ks AS (SELECT url, token, count(*) + CASE WHEN token IN {_list_sql(vocab.DOMAIN_
 kr AS (SELECT url, token, row_number() OVER (PARTITION BY url ORDER BY score DESC, f) AS rank FROM ks)"""
 
 
-@query(f"WITH {_SECTIONS}, {_KW} SELECT s.url, s.heading, array_to_string({TOKENS_A.format('s.text')}[1:80], ' ') AS text, coalesce((SELECT string_agg(token, ' ' ORDER BY rank) FROM kr WHERE kr.url = s.url AND rank <= 15), '') AS keywords, CASE WHEN contains(s.url, '/en/') THEN 'en' ELSE 'de' END AS lang FROM sec s")
+@query(f"WITH {_SECTIONS}, {_KW} SELECT s.url, s.heading, array_to_string({TOKENS_A.format('s.text')}[1:80], ' ') AS text, coalesce((SELECT string_agg(token, ' ' ORDER BY rank) FROM kr WHERE kr.url = s.url AND rank <= 10), '') AS keywords, CASE WHEN contains(s.url, '/en/') THEN 'en' ELSE 'de' END AS lang FROM sec s")
 def rag_chunks(spark, sf_dir):
     return sections.chunks(sections.content_sections(_sections(spark, sf_dir))).select("url", "heading", "text", F.array_join("keywords", " ").alias("keywords"), "lang")
 
 
+@query(f"WITH {_SECTIONS}, {_KW} SELECT s.url AS source, s.heading, array_to_string({TOKENS_A.format('s.text')}[1:80], ' ') AS text, coalesce((SELECT string_agg(token, ' ' ORDER BY rank) FROM kr WHERE kr.url = s.url AND rank <= 10), '') AS keywords, CASE WHEN contains(s.url, '/en/') THEN 'en' ELSE 'de' END AS lang FROM sec s")
+def chunk_file(spark, sf_dir):
+    """Chunks written as one JSON array and read again."""
+    path = tables.fresh_path(spark, "chunks")
+    found = sections.chunks(sections.content_sections(_sections(spark, sf_dir))).select("heading", "text", "keywords", F.col("url").alias("source"), "lang")
+    sinks.write_chunks(found, path, array=True, order=("source",))
+    return dialog.read_chunks(spark, path).select("source", "heading", "text", F.array_join("keywords", " ").alias("keywords"), "lang")
+
+
 _ANSWER = _FIRST.replace("WITH t AS", "t AS").format(key="url", tokens=TOKENS_A.format("text"), source="sec", n=3, m=50)
 
 
@@ -434,13 +480,21 @@ def _centroid_rows(spark, sf_dir):
     return lists.select("label", F.transform("x", lambda r: r["mean"]).alias("centre"))
 
 
+def _bounded_centres(spark, sf_dir, most: int = 10_000) -> list[tuple[int, list[float]]]:
+    """Label and centre, in label order; the number of labels is checked first."""
+    rows = _centroid_rows(spark, sf_dir).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError("too many labels for the driver")
+    return sorted((r["label"], r["centre"]) for r in rows)
+
+
 _CEN = """c AS (SELECT label, list(m ORDER BY dim) AS centre FROM (SELECT label, dim, avg(v) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS dim FROM embeddings) GROUP BY ALL) GROUP BY label)"""
 
 
 @query(f"""WITH {_CEN}, s AS (SELECT c.label AS query_id, vec_id AS id, list_dot_product(embedding::DOUBLE[], centre) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_dot_product(centre, centre)) AS cosine FROM embeddings, c)
 SELECT query_id::BIGINT AS query_id, rank, id, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, id) AS rank FROM s) WHERE rank <= 10""")
 def cosine_topk(spark, sf_dir):
-    centres = [(r["label"], r["centre"]) for r in _centroid_rows(spark, sf_dir).collect()]  # a row per label
+    centres = _bounded_centres(spark, sf_dir)
     found = features.nearest_of(table(spark, sf_dir, "embeddings"), centres, 10, "vec_id", "embedding")
     return found.withColumn("cosine", F.round("cosine", 6))
 
@@ -480,28 +534,70 @@ def relative_error(spark, sf_dir):
     return evaluate.relative_error(cells, "r", "v").withColumn("relative_error", F.round("relative_error", 6))
 
 
-_BOW = f"""WITH {TOK}, {IDF}, vc AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS id FROM dfq), m AS (SELECT token, idf, embedding FROM vc JOIN idfq USING (token) JOIN embeddings ON vec_id = id),
+_BOW = f"""WITH {TOK}, {IDF}, vc AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS id FROM dfq), m AS (SELECT token, idf, embedding FROM vc JOIN idfq USING (token) JOIN embeddings ON vec_id = id % (SELECT count(*) FROM embeddings)),
 s AS (SELECT doc_id, unnest(embedding)::DOUBLE * n * idf AS v, unnest(range(len(embedding)))::INT AS dim FROM cnt JOIN m USING (token)), t AS (SELECT doc_id, dim, sum(v) AS v FROM s GROUP BY ALL), z AS (SELECT doc_id, sqrt(sum(v * v)) + 1e-10 AS z FROM t GROUP BY doc_id)
 SELECT doc_id, dim, round(v / z, 6) AS value FROM t JOIN z USING (doc_id)"""
 
 
 @query(_BOW)
 def bow_embedding(spark, sf_dir):
-    """Bag-of-words vectors; the i-th vocabulary entry has the i-th embedding, tokens
-    beyond the table are unknown and left out."""
-    toks = _tokens(spark, sf_dir)
-    counts = tables.cut(vocab.token_counts(toks), "counts")
-    ids = vocab.vocabulary(counts)
-    emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("token_id"), F.col("embedding").alias("emb"))
-    rows = ids.join(emb, "token_id").join(_idf(spark, sf_dir, counts), "token").select("token", "idf", "emb")
-    found = retrieve.weighted_sum(counts, rows, 64)
+    """Bag-of-words vectors; vocabulary entry i has embedding i modulo their number."""
+    counts = tables.cut(_counts(spark, sf_dir), "counts")
+    places, vectors = _vector_places(spark, sf_dir, counts)
+    if vectors is None:
+        return _no_cells(spark, "doc_id long")
+    weights = counts.join(places.join(_idf(spark, sf_dir, counts), "token"), "token")
+    return _cells(retrieve.summed_vectors(weights.select("doc_id", "place", (F.col("n") * F.col("idf")).alias("w")), vectors))
+
+
+def _vector_places(spark, sf_dir, counts: DataFrame) -> tuple[DataFrame, np.ndarray | None]:
+    """(token, place) of a vocabulary and the matrix of embeddings, whose size is checked."""
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    size = emb.count()
+    if size * 64 * 8 > retrieve.VECTORS_BYTES:
+        raise ValueError("too many embeddings to send to every task")
+    rows = sorted((r["vec_id"], r["embedding"]) for r in emb.collect())
+    vectors = np.array([e for _, e in rows], np.float64) if rows else None
+    return vocab.vocabulary(counts).select("token", (F.col("token_id") % max(size, 1)).alias("place")), vectors
+
+
+def _cells(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.posexplode("vec").alias("dim", "value")).withColumn("value", F.round("value", 6))
 
 
+def _no_cells(spark, key: str) -> DataFrame:
+    return spark.createDataFrame([], f"{key}, dim int, value double")
+
+
+_PAIR_BOW = f"""WITH {PAIRS}, pw AS (SELECT conv_id, turn, unnest(list_filter(string_split_regex("user", '\\s+'), lambda x: x <> '')) AS token, true AS asks FROM pairs UNION ALL SELECT conv_id, turn, unnest(list_filter(string_split_regex(bot, '\\s+'), lambda x: x <> '')), false FROM pairs),
+dfq AS (SELECT token, count(DISTINCT (conv_id, turn)) AS df FROM pw GROUP BY token), raw AS (SELECT token, ln(((SELECT count(*) FROM pairs) + 1) / (df + 1)) + 1 AS r FROM dfq),
+m AS (SELECT token, r / (SELECT avg(r) FROM raw) AS idf, embedding FROM (SELECT token, r, row_number() OVER (ORDER BY token) - 1 AS id FROM raw) JOIN embeddings ON vec_id = id % (SELECT count(*) FROM embeddings)),
+s AS (SELECT conv_id, turn, unnest(embedding)::DOUBLE * idf AS v, unnest(range(len(embedding)))::INT AS dim FROM pw JOIN m USING (token) WHERE asks), t AS (SELECT conv_id, turn, dim, sum(v) AS v FROM s GROUP BY ALL),
+z AS (SELECT conv_id, turn, sqrt(sum(v * v)) + 1e-10 AS z FROM t GROUP BY ALL) SELECT conv_id, turn, dim, round(v / z, 6) AS value FROM t JOIN z USING (conv_id, turn)"""
+
+
+@query(_PAIR_BOW)
+def pair_embedding(spark, sf_dir):
+    """Vectors of the user sides of dialog pairs, weighted by the idf of both sides."""
+    p = tables.cut(_pairs(spark, sf_dir), "pairs")
+    key = F.struct("conv_id", "turn").alias("k")
+    both = p.select(key, vocab.runs(F.concat(tx.words(F.col("user")), tx.words(F.col("bot")))).alias("r"))
+    frequency = vocab.document_frequency(both.select(F.explode("r").alias("r")).select("r.token"))
+    weights = vocab.idf(frequency, p.count())
+    places, vectors = _vector_places(spark, sf_dir, frequency)
+    if vectors is None:
+        return spark.createDataFrame([], "conv_id long, turn long, dim int, value double")
+    said = p.select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), F.explode(vocab.runs(tx.words(F.col("user")))).alias("r")).select("doc_id", "r.token", "r.n")
+    rows = said.join(places.join(weights, "token"), "token").select("doc_id", "place", (F.col("n") * F.col("idf")).alias("w"))
+    found = _cells(retrieve.summed_vectors(rows, vectors))
+    part = F.split("doc_id", ":")
+    return found.select(part[0].cast("long").alias("conv_id"), part[1].cast("long").alias("turn"), "dim", "value")
+
+
 def _scored(spark, sf_dir):
-    counts = tables.cut(vocab.token_counts(_tokens(spark, sf_dir)), "counts")
+    counts = tables.cut(_counts(spark, sf_dir), "counts")
     weights = _idf(spark, sf_dir, counts)
-    asked = vocab.token_counts(vocab.tokens(table(spark, sf_dir, "benchmark"), "item_id"))
+    asked = vocab.row_counts(table(spark, sf_dir, "benchmark"), "item_id")
     q = retrieve.tfidf(asked, weights).withColumnRenamed("doc_id", "query_id")
     e = retrieve.tfidf(counts, weights).withColumnRenamed("doc_id", "entry_id")
     return retrieve.score(q, e)
@@ -526,25 +622,54 @@ def retrieve_fallback(spark, sf_dir):
     return retrieve.with_fallback(asked, retrieve.best(_scored(spark, sf_dir), 1), 12.0).withColumn("kw_raw", F.round("kw_raw", 6))
 
 
-_CHUNK_TOKENS = f"""ct AS (SELECT s.url AS doc_id, unnest({TOKENS_A.format('s.text')}[1:80] || coalesce((SELECT list(token ORDER BY rank) FROM kr WHERE kr.url = s.url AND rank <= 15), [])) AS token FROM sec s),
+_GREETINGS = (("Hallo", -1), ("hi", -2), ("guten morgen", -3))
+_GREETED = (("HALLO !", -1), ("  hi .", -2), ("guten morgen", -3), ("hallo welt", -4))
+
+
+@query(f"""{_SCORE}, f AS (SELECT item_id AS query_id, CASE WHEN kw_raw >= 12 THEN entry_id END AS entry_id, coalesce(kw_raw, 0) AS kw_raw, coalesce(kw_raw < 12, true) AS is_fallback FROM (SELECT DISTINCT item_id FROM benchmark) b LEFT JOIN rk ON query_id = item_id AND rank = 1)
+SELECT query_id, entry_id, round(kw_raw, 6) AS kw_raw, is_fallback FROM f UNION ALL VALUES (-1, -1, 99.0, false), (-2, -2, 99.0, false), (-3, -3, 99.0, false), (-4, NULL, 0.0, true)""")
+def greeting_shortcut(spark, sf_dir):
+    """Benchmark items and four short texts: greetings take their own answers at once."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    asked = asked.unionByName(spark.createDataFrame([(i, t) for t, i in _GREETED], "query_id long, text string"))
+    answers = retrieve.with_fallback(asked, retrieve.best(_scored(spark, sf_dir), 1), 12.0)
+    known = spark.createDataFrame(_GREETINGS, "text string, entry_id long")
+    return retrieve.greet(asked, known, answers).withColumn("kw_raw", F.round("kw_raw", 6))
+
+
+_FOLLOW_UPS = [("mag {thing} auch {answer}", "{thing} also {answer} . erzaehl mir mehr"), ("noch mehr {thing} {answer}", "ok {answer} . was magst du an {thing}")]
+
+
+@query(
+    " UNION ALL ".join(f"""SELECT thing, answer, {k} AS t, replace(replace('{u}', '{{thing}}', thing), '{{answer}}', answer) AS "user", replace(replace('{b}', '{{thing}}', thing), '{{answer}}', answer) AS bot FROM (SELECT DISTINCT source AS thing FROM documents), (VALUES ('ja'), ('nein')) a(answer)""" for k, (u, b) in enumerate(_FOLLOW_UPS))
+)
+def follow_up_pairs(spark, sf_dir):
+    """Templates with two slots: every source with yes and no."""
+    things = table(spark, sf_dir, "documents").select(F.col("source").alias("thing"))
+    answers = spark.createDataFrame([("ja",), ("nein",)], "answer string")
+    return pairs.fill_slots(_FOLLOW_UPS, thing=things, answer=answers)
+
+
+_CHUNK_TOKENS = f"""ct AS (SELECT s.url AS doc_id, unnest({TOKENS_A.format('s.text')}[1:80] || coalesce((SELECT list(token ORDER BY rank) FROM kr WHERE kr.url = s.url AND rank <= 10), [])) AS token FROM sec s),
 cc AS (SELECT doc_id, token, count(*) AS n FROM ct GROUP BY ALL), cd AS (SELECT token, count(*) AS df FROM cc GROUP BY token), cr AS (SELECT token, ln(((SELECT count(*) FROM sec) + 1) / (df + 1)) + 1 AS r FROM cd), ci AS (SELECT token, r / (SELECT avg(r) FROM cr) AS idf, row_number() OVER (ORDER BY token) - 1 AS id FROM cr)"""
 
 
 @query(
-    f"""WITH {_SECTIONS}, {_KW}, {_CHUNK_TOKENS}, m AS (SELECT token, idf, embedding FROM ci JOIN embeddings ON vec_id = id),
-s AS (SELECT doc_id, unnest(embedding)::DOUBLE * n * idf * CASE WHEN lower(token) IN {_list_sql(vocab.DOMAIN_WORDS)} THEN 3.0 ELSE 1.0 END AS v, unnest(range(len(embedding)))::INT AS dim FROM cc JOIN m USING (token)),
+    f"""WITH {_SECTIONS}, {_KW}, {_CHUNK_TOKENS}, m AS (SELECT token, idf, embedding FROM ci JOIN embeddings ON vec_id = id % (SELECT count(*) FROM embeddings)),
+s AS (SELECT doc_id, unnest(embedding)::DOUBLE * n * idf * CASE WHEN lower(token) IN {_list_sql(vocab.CHUNK_WORDS)} THEN 3.0 ELSE 1.0 END AS v, unnest(range(len(embedding)))::INT AS dim FROM cc JOIN m USING (token)),
 t AS (SELECT doc_id, dim, sum(v) AS v FROM s GROUP BY ALL), z AS (SELECT doc_id, sqrt(sum(v * v)) + 1e-10 AS z FROM t GROUP BY doc_id) SELECT doc_id AS url, dim, round(v / z, 6) AS value FROM t JOIN z USING (doc_id)"""
 )
 def chunk_embedding(spark, sf_dir):
-    """Chunk vectors: text and keywords, domain words three times as heavy."""
+    """Chunk vectors: text and keywords, the shorter list's words three times as heavy."""
     chunks = tables.cut(sections.chunks(sections.content_sections(_sections(spark, sf_dir))), "chunks")
     counts = tables.cut(retrieve.chunk_counts(chunks), "counts")
-    ids = vocab.vocabulary(counts)
+    places, vectors = _vector_places(spark, sf_dir, counts)
+    if vectors is None:
+        return _no_cells(spark, "url string")
     weights = vocab.idf(vocab.document_frequency(counts), chunks.count())
-    emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("token_id"), F.col("embedding").alias("emb"))
-    rows = ids.join(emb, "token_id").join(weights, "token").select("token", "idf", "emb")
-    found = retrieve.weighted_sum(counts, rows, 64, retrieve.domain_boost(vocab.DOMAIN_WORDS))
-    return found.select(F.col("doc_id").alias("url"), F.posexplode("vec").alias("dim", "value")).withColumn("value", F.round("value", 6))
+    rows = counts.join(places.join(weights, "token"), "token")
+    w = F.col("n") * F.col("idf") * retrieve.domain_boost(vocab.CHUNK_WORDS)
+    return _cells(retrieve.summed_vectors(rows.select("doc_id", "place", w.alias("w")), vectors)).withColumnRenamed("doc_id", "url")
 
 
 @query(
@@ -620,6 +745,56 @@ def response_checks(spark, sf_dir):
     return _checked(spark, sf_dir).select("conv_id", "turn", "fail_reason", "passed")
 
 
+_TOLD = f"""WITH b AS (SELECT conv_id, turn, role || chr(10) || {_LINE} || chr(10) || '---' AS t FROM conversations), p AS (SELECT conv_id, turn, t, CASE WHEN contains(t, 'greeting') THEN 'g' WHEN contains(lower(t), 'fallback') THEN 'f' ELSE 'm' END AS k FROM b)
+SELECT conv_id, turn, string_split(t, chr(10))[1] AS response, CASE k WHEN 'g' THEN regexp_extract(t, 'greeting: "([^"]*)"', 1) ELSE regexp_extract(t, 'match: "([^"]*)"', 1) END AS matched_pair,
+CASE k WHEN 'g' THEN 99.0 WHEN 'f' THEN regexp_extract(t, 'kwMax=([0-9.]+)', 1)::DOUBLE ELSE regexp_extract(t, 'kwRaw=([0-9.]+)', 1)::DOUBLE END AS kw_raw,
+coalesce(TRY_CAST(nullif(regexp_extract(t, '(\\d+)%\\s*Top-3', 1), '') AS DOUBLE), 0) AS top3_pct, coalesce(TRY_CAST(nullif(regexp_extract(t, '(\\d+)w\\s*·', 1), '') AS INT), 0) AS word_count, k = 'f' AS is_fallback FROM p"""
+
+
+@query(_TOLD)
+def bubble_scrape(spark, sf_dir):
+    """Answers of three lines: the first one, and the fields of the others."""
+    rows = table(spark, sf_dir, "conversations").withColumn("t", F.concat_ws("\n", "role", F.expr(_LINE), F.lit("---")))
+    return rows.select("conv_id", "turn", *evaluate.parse_bubble(F.col("t")))
+
+
+@query(
+    f"""WITH {_PARSED}, lb AS (SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS last_bot FROM conversations),
+c AS (SELECT r.*, conv_id % 2 = 0 AND turn > 1 AND NOT contains(lower(last_bot), 'der') AS missing FROM r JOIN lb USING (conv_id, turn) WHERE role = 'user')
+SELECT conv_id, turn, CASE WHEN missing THEN '[STATE CHECK] lastBotTurn missing "der"' ELSE response END AS response, CASE WHEN missing THEN 'state' WHEN word_count < 5 THEN 'min_words' END AS fail_reason, NOT missing AND word_count >= 5 AS passed FROM c"""
+)
+def state_checks(spark, sf_dir):
+    """User turns whose state is checked first: later turns of even conversations."""
+    said = pairs.last_bot_turn(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "last_bot")
+    none = F.lit(None)
+    rows = _responses(spark, sf_dir).where("role = 'user'").join(said, ["conv_id", "turn"]).select(
+        "*",
+        F.when((F.col("conv_id") % 2 == 0) & (F.col("turn") > 1), "der").alias("state_contains"),
+        none.cast("array<string>").alias("contains"),
+        none.cast("array<string>").alias("not_contains"),
+        none.cast("string").alias("pair_prefix"),
+        none.cast("boolean").alias("expect_fallback"),
+        F.lit(5).alias("min_words"),
+        none.cast("double").alias("min_kw_raw"),
+    )
+    return evaluate.check_states(rows).select("conv_id", "turn", "response", "fail_reason", "passed")
+
+
+@query(f"""WITH {_CHECKED}, t AS (SELECT count(*) AS total, count(*) FILTER (fail_reason IS NULL) AS passed FROM c WHERE role = 'user') SELECT total, passed, round(coalesce(passed / nullif(total, 0), 0), 6) AS rate, coalesce(passed / nullif(total, 0), 0) >= 0.8 AS ok, CASE WHEN coalesce(passed / nullif(total, 0), 0) >= 0.8 THEN 0 ELSE 1 END::INT AS exit_code FROM t""")
+def pass_verdict(spark, sf_dir):
+    """Pass rate of one category against the threshold."""
+    rows = _checked(spark, sf_dir).withColumnRenamed("role", "category")
+    return evaluate.verdict(rows, "user").withColumn("rate", F.round("rate", 6))
+
+
+@query(f"WITH {_CHECKED} SELECT conv_id || '_' || turn AS scenario_id, role AS category, fail_reason, fail_reason IS NULL AS passed FROM c")
+def report_file(spark, sf_dir):
+    """Checked responses written as a JSON report and read again."""
+    path = tables.fresh_path(spark, "report")
+    sinks.write_report(_checked(spark, sf_dir).select(F.concat_ws("_", "conv_id", "turn").alias("scenario_id"), F.col("role").alias("category"), "fail_reason", "passed"), path)
+    return spark.read.schema("scenario_id string, category string, fail_reason string, passed boolean").json(path, multiLine=True)
+
+
 @query(f"""WITH {_CHECKED}, t AS (SELECT role AS category, fail_reason IS NULL AS passed, CASE WHEN turn * 7 % 50 > 0 THEN turn * 7 % 50 END AS ms FROM c)
 SELECT category, count(*) AS total, count(*) FILTER (passed) AS passed, round(count(*) FILTER (passed) / count(*), 6) AS rate, round(avg(ms), 6) AS avg_ms, max(ms) AS max_ms FROM t GROUP BY ROLLUP (category)""")
 def category_rollup(spark, sf_dir):
@@ -648,44 +823,103 @@ def answer_matches(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", evaluate.answer_matches(F.col("text"), F.lit("th[ei]")).alias("matches"))
 
 
-# ---- trained models: no SQL form, compared with NumPy in the tests
+# ---- solutions: SQL has the right-hand side, the queries what the solution gives back
+
+
+_RHS = "SELECT i::INT AS feature, label AS target, round(sum(v), 3) AS rhs FROM (SELECT label, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY ALL"
+RIDGE = 1e-3
 
 
 def _problem(spark, sf_dir, transform=None, size=64):
+    """(A with ridge, B) of the labelled embeddings; None without any."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("embedding").alias("x"), F.col("label").alias("target_id"))
-    labels = rows.agg(F.max("target_id")).first()[0] + 1
-    a, b = features.collect_gram(features.gram(rows, transform), size, labels)
-    return solvers.add_ridge(a, 1e-3), b
+    most = rows.agg(F.max("target_id")).first()[0]
+    if most is None:
+        return None
+    a, b = features.collect_gram(features.gram(rows, transform), size, most + 1)
+    return solvers.add_ridge(a, RIDGE), b
 
 
-def _weights(spark, x: np.ndarray) -> DataFrame:
-    rows = [(int(i), int(j), round(float(x[i, j]), 6)) for i in range(x.shape[0]) for j in range(x.shape[1])]
-    return spark.createDataFrame(rows, "feature int, target int, weight double")
+def _given_back(spark, a: np.ndarray, x: np.ndarray, b: np.ndarray, digits: int = 3) -> DataFrame:
+    """(feature, target, rhs): the cells of A x for the targets that have rows."""
+    rhs, own = a @ x, b.any(axis=0)
+    rows = [(int(i), int(j), round(float(rhs[i, j]), digits) + 0.0) for i in range(x.shape[0]) for j in np.flatnonzero(own)]
+    return spark.createDataFrame(rows, "feature int, target int, rhs double")
 
 
-@query()
+def _no_rhs(spark) -> DataFrame:
+    return spark.createDataFrame([], "feature int, target int, rhs double")
+
+
+@query(_RHS)
 def ridge_solve(spark, sf_dir):
-    a, b = _problem(spark, sf_dir)
-    return _weights(spark, solvers.solve(a, b).x)
+    """Direct ridge solution, multiplied back."""
+    problem = _problem(spark, sf_dir)
+    return _no_rhs(spark) if problem is None else _given_back(spark, problem[0], solvers.solve(*problem).x, problem[1])
 
 
-@query()
+@query(_RHS)
 def pcg_solve(spark, sf_dir):
-    a, b = _problem(spark, sf_dir)
-    found = solvers.column_cg(spark, a, b, tol=1e-10)
-    return found.select("column", F.posexplode("x").alias("feature", "weight"), "iterations").withColumn("weight", F.round("weight", 5))
+    """Conjugate gradients by columns over the cluster, multiplied back."""
+    problem = _problem(spark, sf_dir)
+    if problem is None:
+        return _no_rhs(spark)
+    a, b = problem
+    x = np.zeros_like(b)
+    for r in solvers.column_cg(spark, a, b, tol=1e-10).collect():  # a row per target
+        x[:, r["column"]] = r["x"]
+    return _given_back(spark, a, x, b)
+
+
+@query(_RHS)
+def power_solve(spark, sf_dir):
+    """Richardson iteration, multiplied back."""
+    problem = _problem(spark, sf_dir)
+    if problem is None:
+        return _no_rhs(spark)
+    return _given_back(spark, problem[0], solvers.solve(*problem, "power", ridge=RIDGE, tol=1e-13, max_iter=200_000).x, problem[1])
+
+
+@query("SELECT DISTINCT label AS target, true AS solved FROM embeddings WHERE label IS NOT NULL")
+def single_precision_solve(spark, sf_dir):
+    """Conjugate gradients in single precision: is a target's column solved to 1e-4?"""
+    problem = _problem(spark, sf_dir)
+    if problem is None:
+        return spark.createDataFrame([], "target int, solved boolean")
+    a, b = problem
+    x = solvers.solve(a, b, "cg32").x
+    gap, size = np.linalg.norm(a @ x - b, axis=0), np.linalg.norm(b, axis=0)
+    return spark.createDataFrame([(int(j), bool(gap[j] <= 1e-4 * size.max())) for j in np.flatnonzero(size)], "target int, solved boolean")
+
+
+@query("SELECT DISTINCT label AS label, 1.0::DOUBLE AS one, true AS fixed FROM embeddings WHERE label IS NOT NULL")
+def label_rank(spark, sf_dir):
+    """Labels' kernel matrix as a damped chain: the Neumann series x of (I - M) x = 1,
+    multiplied back, and whether the stationary vector of its completion stays fixed."""
+    centres = _bounded_centres(spark, sf_dir)
+    if not centres:
+        return spark.createDataFrame([], "label int, one double, fixed boolean")
+    c = np.array([v for _, v in centres])
+    k = np.exp(-((c[:, None] - c[None]) ** 2).sum(-1) / 2)
+    m = 0.85 * k / k.sum(axis=0)
+    x = solvers.neumann(m, np.ones(len(m))).x
+    chain = solvers.absorber(m)
+    v = solvers.pagerank(chain)
+    still = np.abs(0.85 * chain @ v + 0.15 / len(v) - v) < 1e-9
+    rows = [(int(l), round(float(o), 6), bool(f)) for (l, _), o, f in zip(centres, x - m @ x, still, strict=True)]
+    return spark.createDataFrame(rows, "label int, one double, fixed boolean")
 
 
-@query()
-def power_solve(spark, sf_dir):
-    a, b = _problem(spark, sf_dir)
-    return _weights(spark, solvers.solve(a, b, "power", ridge=1e-3, tol=1e-9).x)
+# ---- trained models: no SQL form, compared with NumPy in the tests
 
 
 @query()
 def rff_predict(spark, sf_dir):
     f = features.FourierMap.draw(64, 256)
-    a, b = _problem(spark, sf_dir, f, 256)
+    problem = _problem(spark, sf_dir, f, 256)
+    if problem is None:
+        return spark.createDataFrame([], "vec_id long, label int, predicted int, in_top3 boolean")
+    a, b = problem
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("x"))
     return features.predict(rows, solvers.solve(a, b).x, f, keep=("vec_id", "label")).select("vec_id", "label", F.get("top", F.lit(0)).alias("predicted"), F.array_contains("top", F.col("label")).alias("in_top3"))
 
@@ -697,6 +931,8 @@ def next_token_model(spark, sf_dir):
     s = _sequence(spark, sf_dir)
     ids = vocab.vocabulary(s.withColumn("doc_id", F.lit(0)))
     size = ids.count()
+    if s.count() <= windows.CONTEXT:
+        return spark.createDataFrame([], "start long, target_id int, predicted int, agrees boolean")
     coded = s.join(ids, "token").select("pos", F.col("token_id").cast("int").alias("token"))
     win = windows.context_windows(coded, coded.count(), repeat=5)
     emb = features.fill_embeddings({}, size, 8) * 100
@@ -712,18 +948,28 @@ def next_token_model(spark, sf_dir):
 @query()
 def word2vec(spark, sf_dir):
     sent = pairs.pair_sentences(_pairs(spark, sf_dir), 3)
-    return features.word2vec(sent).select("word", vector_to_array("vector").alias("vector"))
+    return features.word2vec(sent)
 
 
 @query()
+def cbow(spark, sf_dir):
+    """Continuous bag of words over the dialog pairs, three copies, 20 epochs."""
+    return features.cbow(pairs.pair_sentences(_pairs(spark, sf_dir), 3))
+
+
+@query("SELECT DISTINCT label, unnest(range(64))::INT AS dim, true AS close FROM embeddings WHERE label IS NOT NULL")
 def packed_tensor(spark, sf_dir):
-    """Centroids as a packed half-precision tensor, and its shape."""
-    rows = sorted((r["label"], r["centre"]) for r in _centroid_rows(spark, sf_dir).collect())
+    """Centroids packed as a half-precision tensor and unpacked: is each cell within its
+    precision?"""
+    rows = _bounded_centres(spark, sf_dir)
+    if not rows:
+        return spark.createDataFrame([], "label int, dim int, close boolean")
     matrix = np.array([c for _, c in rows])
-    return spark.createDataFrame([(matrix.shape[0], matrix.shape[1], sinks.pack_tensor(matrix))], "rows int, dims int, data string")
+    close = np.abs(sinks.unpack_tensor(sinks.pack_tensor(matrix), matrix.shape) - matrix) <= 1e-3 * np.abs(matrix) + 1e-6
+    return spark.createDataFrame([(int(l), d, bool(close[i, d])) for i, (l, _) in enumerate(rows) for d in range(matrix.shape[1])], "label int, dim int, close boolean")
 
 
-@query()
+@query("SELECT * FROM (VALUES ('direct', true, true), ('cg', true, true), ('power', true, true)) t(solver, converged, agrees)")
 def solver_benchmark(spark, sf_dir):
     """Direct, conjugate-gradient and power solutions of a seeded problem, compared."""
     a, b = solvers.generate_problem(128, 50)
@@ -731,5 +977,5 @@ def solver_benchmark(spark, sf_dir):
     rows = []
     for name, r in (("direct", solvers.solve(a, b)), ("cg", solvers.solve(a, b, "cg")), ("power", solvers.solve(a, b, "power", ridge=1e-6))):
         gap = float(np.linalg.norm(r.x - exact) / np.linalg.norm(exact))
-        rows.append((name, r.iterations, r.converged, gap < 1e-4, round(solvers.condition_number(a) or 0.0, 3)))
-    return spark.createDataFrame(rows, "solver string, iterations int, converged boolean, agrees boolean, condition_number double")
+        rows.append((name, r.converged, gap < 1e-4))
+    return spark.createDataFrame(rows, "solver string, converged boolean, agrees boolean")
