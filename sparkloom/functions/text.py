@@ -123,6 +123,16 @@ def strip_page(html: Column, all_entities: bool = True) -> Column:
     return strip_tags(html, ("script", "style", "svg", "nav", "header", "footer"), all_entities)
 
 
+def put_between(text: Column, start: str, stop: str, new: Column) -> Column:
+    """``text`` with ``new`` in place of all from the first ``start`` to the next ``stop``,
+    which stays; as it is where either is missing. Null texts stay null."""
+    at = F.instr(text, start)
+    upto = F.locate(stop, text, 1) if start == stop else F.instr(F.substring(text, at + len(start), F.length(text)), stop)
+    end = at + len(start) - 1 + upto
+    whole = F.concat(F.substring(text, F.lit(1), at - 1), new, F.substring(text, end, F.length(text)))
+    return F.when((at > 0) & (upto > 0), whole).otherwise(text)
+
+
 def snippet(text: Column, limit: int = 80) -> Column:
     return F.array_join(tokens_a(text, limit), " ")
 

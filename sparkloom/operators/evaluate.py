@@ -88,8 +88,8 @@ def answer_matches(answer: Column, expected: Column) -> Column:
 
 
 def report(results: DataFrame) -> DataFrame:
-    """Per category and in all (null category): total, passed, rate, and the mean and
-    largest time over positive times."""
+    """Per category, in their order, and in all (null category, last): total, passed, rate,
+    and the mean and largest time over positive times."""
     timed = F.when(F.col("response_time_ms") > 0, F.col("response_time_ms"))
     return results.rollup("category").agg(
         F.count("*").alias("total"),
@@ -97,7 +97,7 @@ def report(results: DataFrame) -> DataFrame:
         (F.count_if("passed") / F.count("*")).alias("rate"),
         F.avg(timed).alias("avg_ms"),
         F.max(timed).alias("max_ms"),
-    )
+    ).orderBy(F.col("category").asc_nulls_last())  # a row per category
 
 
 def verdict(results: DataFrame, category: str | None = None, threshold: float = THRESHOLD) -> DataFrame:

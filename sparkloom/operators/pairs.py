@@ -94,6 +94,19 @@ def fill_templates(things: DataFrame, templates: list[tuple[str, str]], slot: st
     return out.select(slot, F.col("r.t").alias("t"), fill("r.u").alias("user"), fill("r.b").alias("bot"))
 
 
+def literal_pairs(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
+    """(pos, user, bot) of hand-written pairs, in their order."""
+    return spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(rows)], "pos long, user string, bot string")
+
+
+def union_distinct(*parts: DataFrame) -> DataFrame:
+    """All different rows of the parts."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
 def fill_slots(templates: list[tuple[str, str]], **slots: DataFrame) -> DataFrame:
     """(t, slots, user, bot): every combination of the slots' values in every template's
     ``{name}``. Slots are short tables of one column each, named like the slot."""

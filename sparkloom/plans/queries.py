@@ -316,6 +316,38 @@ def token_file(spark, sf_dir):
     return dialog.read_tokens(spark, path)
 
 
+@query("SELECT solver, position::INT AS position FROM (VALUES ('cg', 1), ('direct', 0), ('power', 2)) t(solver, position)")
+def benchmark_file(spark, sf_dir):
+    """The solver comparison written as a JSON array in order and read again."""
+    path = tables.fresh_path(spark, "benchmark")
+    rows = spark.createDataFrame([("power", 2), ("direct", 0), ("cg", 1)], "solver string, position int")
+    sinks.write_benchmark(rows, path, order=("position",))
+    return spark.read.schema("solver string, position int").json(path, multiLine=True)
+
+
+_LITERAL = [("magst du tee", "ja . tee mag ich . und du"), ("bis bald", "bis bald . mach es gut"), ("magst du tee", "nur gruenen . und du")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{u}', '{b}')" for i, (u, b) in enumerate(_LITERAL)) + """) t(pos, "user", bot)""")
+def literal_pairs(spark, sf_dir):
+    return pairs.literal_pairs(spark, _LITERAL)
+
+
+@query("SELECT lang AS word FROM documents UNION SELECT role FROM conversations UNION SELECT event_type FROM events")
+def distinct_words(spark, sf_dir):
+    """Short lists from three tables, each word once."""
+    one = lambda t, c: table(spark, sf_dir, t).select(F.col(c).alias("word"))
+    return pairs.union_distinct(one("documents", "lang"), one("conversations", "role"), one("events", "event_type"))
+
+
+@query("""WITH p AS (SELECT page_id, html, instr(html, '<h1') AS a, instr(substr(html, instr(html, '<h1') + 3), '</h1>') AS b FROM pages)
+SELECT page_id, md5(CASE WHEN a > 0 AND b > 0 THEN substr(html, 1, a - 1) || '<h1>' || url_len || substr(html, a + 2 + b) ELSE html END) AS page FROM (SELECT p.*, length(url)::VARCHAR AS url_len FROM p JOIN pages USING (page_id))""")
+def template_injection(spark, sf_dir):
+    """Pages with another text in place of their first heading."""
+    new = F.concat(F.lit("<h1>"), F.length("url").cast("string"))
+    return pages(spark, sf_dir, "page_id", "url", "html").select("page_id", F.md5(tx.put_between(F.col("html"), "<h1", "</h1>", new)).alias("page"))
+
+
 # ---- text functions
 
 

@@ -66,6 +66,24 @@ def write_report(results: DataFrame, path: str, order: tuple[str, ...] = ("scena
     write_json_array(results, path, order)
 
 
+def write_benchmark(results: DataFrame, path: str, order: tuple[str, ...] = ()) -> None:
+    """Benchmark rows as one JSON array, in order."""
+    write_json_array(results, path, order)
+
+
+def inject_model(spark: SparkSession, template: str, path: str, model: dict, swaps: dict[str, str] | None = None, start: str = "var M=", stop: str = "\nvar gc=M.gc") -> list[str]:
+    """Write the page of a template file with the model's compact JSON between the two
+    marks, and with ``swaps`` made; returns the texts to swap that it doesn't hold. The
+    page is one text and so is the file."""
+    page = spark.read.text(template, wholetext=True)
+    missing = [old for old in swaps or {} if not page.where(F.col("value").contains(old)).limit(1).count()]
+    text = tx.put_between(F.col("value"), start, stop, F.lit(start + json.dumps(model, separators=(",", ":"))))
+    for old, new in (swaps or {}).items():
+        text = F.replace(text, F.lit(old), F.lit(new))
+    page.select(text.alias("value")).coalesce(1).write.text(path)
+    return missing
+
+
 def write_rag_pairs(pairs: DataFrame, path: str, order: str = "pos") -> None:
     """Questions and answers as they are, a pair and a blank line each: no stops are taken
     off or added but the closing ones."""

@@ -90,6 +90,13 @@ def test_rag_pairs_and_written_tables(spark, tmp_path):
     assert tables.forget(spark) >= 1 and tables.forget(spark) == 0
 
 
+def test_injection(spark, tmp_path):
+    (tmp_path / "t.html").write_text("<p>old</p>\n<script>var M={};\nx\nvar gc=M.gc;\nvar M=2</script>")
+    gone = sinks.inject_model(spark, str(tmp_path / "t.html"), str(tmp_path / "o"), {"a": [1, 2]}, {"old": "new", "none": "x"})
+    (part,) = (tmp_path / "o").glob("part-*")
+    assert gone == ["none"] and part.read_text().rstrip("\n") == '<p>new</p>\n<script>var M={"a":[1,2]}\nvar gc=M.gc;\nvar M=2</script>'
+
+
 def test_slots(spark):
     a, b = spark.createDataFrame([("x",), ("y",), ("x",)], "a string"), spark.createDataFrame([("ja",), ("nein",)], "b string")
     got = sorted(tuple(r) for r in pairs.fill_slots([("mag {a} {b}", "{b} {a} {a}")], a=a, b=b).collect())

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from tests.oracle import TABLES
 
 #: Queries whose rows don't come from a table.
-MADE = {"arith_pairs", "arith_validation", "position_weights", "ridge_filter", "solver_benchmark"}
+MADE = {"arith_pairs", "arith_validation", "position_weights", "ridge_filter", "solver_benchmark", "benchmark_file", "literal_pairs"}
 #: Aggregates without a key have a row over nothing; so do their cousins; greetings have their own.
 ONE_ROW = {"corpus_stats", "relative_error", "top1_accuracy", "pass_verdict", "category_rollup", "label_rollup", "greeting_shortcut"}
 
