@@ -30,6 +30,7 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 CLASSES = (
     ("entropy_hex", r"(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]+", 20, 2.9),
     ("entropy_mixed", r"(?=.*[0-9])(?=.*[A-Za-z])(?!^[0-9A-Fa-f]+$)[A-Za-z0-9+/_-]+", 20, 3.75),
+    ("entropy_letters", r"(?=(?:(?:(?![a-z][A-Z]).)*+[a-z][A-Z]){3})[A-Za-z+/_-]+", 20, 3.9),
 )
 #: Candidates that match one of these are no secrets.
 ALLOW = (

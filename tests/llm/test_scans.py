@@ -17,6 +17,7 @@ TRICKY = [
     (5, "PASSWORD=short passwd:\"longenough1\" api_key = zzzzzzzzz APIKEY:abcdefghij secret token='q'"),
     (6, "9F3C7A1E5B2D8064CA97E1B35D20 line\nZx9fK2mQ7vL4pT8wR3nB6yH1\nhello" * 3),
     (6, "9F3C7A1E5B2D8064CA97E1B35D20 line\nZx9fK2mQ7vL4pT8wR3nB6yH1\nhello" * 3),
+    (7, "QwErTzUiOpAsDfGhJkLyXcVb and Donaudampfschifffahrtsgesellschaft abcDefGhiJklMnoPqrStu " + "x" * 30),
 ]
 
 
@@ -72,7 +73,7 @@ def check(df):
 
 def test_tricky_texts(spark):
     rows = check(spark.createDataFrame(TRICKY, "doc_id long, text string"))
-    assert any("entropy_hex" in r[5] for r in rows) and any("entropy_mixed" in r[5] for r in rows)
+    assert all(any(kind in r[5] for r in rows) for kind in ("entropy_hex", "entropy_mixed", "entropy_letters"))
 
 
 def test_whole_table(docs):
