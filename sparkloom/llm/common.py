@@ -12,18 +12,22 @@ from sparkloom.sources.tables import cut, fresh_path, shared_dir
 __all__ = ["bound_batches", "crc32_of_id", "cut", "documents", "free_name", "fresh_path", "shared_dir", "shuffle_parts", "tokenizer_path"]
 
 
-#: Bytes of an Arrow batch on its way to a Python worker.
-BATCH_BYTES = 8_000_000
+#: Bytes of an Arrow batch on its way to a Python worker, and rows of a columnar batch.
+BATCH_BYTES, BATCH_ROWS = 4_000_000, 512
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes: rows alone don't, where texts are long. Smaller bounds
-    that the session has stay."""
+    """Bound the batches that texts travel in: Arrow's by bytes, as rows alone don't bound
+    them where texts are long, and Parquet's to few rows, so that no executor makes arrays
+    of many MB for a column of texts. Smaller bounds that the session has stay."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key, "64m").lower().rstrip("b")
     size = int(now.rstrip("kmg")) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
     if not 0 < size <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(key, "4096")) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
