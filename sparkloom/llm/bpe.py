@@ -1,6 +1,7 @@
 """Byte-pair encoding and decoding with a pair occurrence index.
 
-All new words of a chunk are merged together. An index maps each adjacent pair, by its
+All new words of a chunk, a part of a partition that fits into memory, are merged
+together. An index maps each adjacent pair, by its
 merge rank, to the positions where it occurs; active ranks are applied in ascending
 order from a heap, each to all its positions at once, and the neighbours' pairs move to
 the lists of their new ranks. A merge can only make pairs of later ranks, so one pass
@@ -26,8 +27,10 @@ from pyspark.sql import types as T
 from sparkloom.llm import common, encoding, pretokens
 
 NO_RANK = np.int32(2**31 - 1)
-#: Words a worker keeps with their ids; past this the cache starts anew.
-CACHE_WORDS = 300_000
+#: Words a worker keeps with their ids, and their bytes; past either the cache starts anew.
+CACHE_WORDS, CACHE_BYTES = 300_000, 16_000_000
+#: Characters of text whose words share an index.
+CHUNK_CHARS = 10_000_000
 
 
 class PairIndex:
@@ -153,12 +156,14 @@ class Codec:
         self.id_text = pa.array([b"%d " % i for i in range(self.index.width)], pa.binary())
         self.token_text = pa.array([t + self.index.gap for t in tokens], pa.binary())
         self.known: dict[bytes, tuple[int, bytes, bytes, bytes]] = {}
+        self.bytes = 0
 
     def learn(self, words: list[bytes]) -> None:
         """Merge the new words; keep each one's count, ids, id text and token text."""
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
+        if len(self.known) > CACHE_WORDS or self.bytes > CACHE_BYTES:
+            self.known, self.bytes = {}, 0
         new = [w for w in words if w not in self.known]
+        self.bytes += sum(map(len, new))
         drop = [w for w in new if not self.spaced and self.classes.is_space(w)]
         self.known.update((w, (0, b"", b"", b"")) for w in drop)
         if drop:
@@ -253,7 +258,7 @@ def bpe_encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "i
     schema = T.StructType([f for f in df.schema.fields if f.name != ids] + [T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
 
     def run(batches):
-        for batch in encoding.slices(batches, text):
+        for batch in encoding.slices(batches, text, CHUNK_CHARS):
             made = list(codec(vocabulary).encode([t or "" for t in batch.column(text).to_pylist()]))
             offsets = np.concatenate([[0], np.cumsum([m[0] for m in made])]).astype(np.int32)
             flat = np.frombuffer(b"".join(bytes(m[1]) for m in made), "<i4")
@@ -283,7 +288,7 @@ def bpe_digests(docs: DataFrame, vocabulary: str, by: str = "doc_id", text: str
     kept, repeated ones too; an empty table gives no rows; other columns are ignored."""
 
     def run(batches):
-        for batch in encoding.slices(batches, "text"):
+        for batch in encoding.slices(batches, "text", CHUNK_CHARS):
             gap = len(codec(vocabulary).index.gap)
             rows = [(n, hashlib.sha256(i[:-1]).hexdigest(), hashlib.sha256(d[: len(d) - gap]).hexdigest()) for n, _, i, d in codec(vocabulary).encode(batch.column("text").to_pylist())]
             n, i, d = zip(*rows, strict=True)

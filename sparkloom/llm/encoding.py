@@ -15,10 +15,10 @@ import pyarrow as pa
 
 from sparkloom.llm import pretokens
 
-#: Pre-tokens whose ids a worker keeps; past this the cache starts anew.
-CACHE_TOKENS = 900_000
+#: Pre-tokens whose ids a worker keeps, and their bytes; past either the cache starts anew.
+CACHE_TOKENS, CACHE_BYTES = 400_000, 16_000_000
 #: Characters of text handled at once.
-CHUNK_CHARS = 10_000_000
+CHUNK_CHARS = 2_500_000
 
 
 def byte_letters() -> list[str]:
@@ -60,6 +60,7 @@ class BatchEncoder:
         self.pool = np.zeros(4096, np.uint32)
         self.pool[: len(self.closing)] = self.closing
         self.used = len(self.closing)
+        self.bytes = 0
 
     def library_ids(self, words: list[bytes]) -> list[list[int]]:
         tokenize, letters = self.model.tokenize, self.letters
@@ -71,7 +72,7 @@ class BatchEncoder:
 
     def places_of(self, words: list[bytes]) -> np.ndarray:
         """Cache places of pre-tokens, after encoding the new ones."""
-        if len(self.place) > CACHE_TOKENS:
+        if len(self.place) > CACHE_TOKENS or self.bytes > CACHE_BYTES:
             self.forget()
         new = [w for w in words if w not in self.place]
         if new:
@@ -86,6 +87,7 @@ class BatchEncoder:
             self.pool[self.used : end] = flat
             self.used = end
             self.place.update(zip(new, range(base, to), strict=True))
+            self.bytes += sum(map(len, new))
         return np.fromiter(map(self.place.__getitem__, words), np.int32, len(words))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
