@@ -44,10 +44,10 @@ DENSE = 2_048
 PIECE_BYTES, SLICE_BYTES = 200_000, 1_000_000
 #: Near copies: words of a shingle, least Jaccard similarity, and the share of pairs at
 #: exactly that similarity that the tables have to bring together.
-COPY_WORDS, COPY_SIMILARITY, COPY_RECALL = 5, 0.8, 0.95
+COPY_WORDS, COPY_SIMILARITY, COPY_RECALL = 5, 0.8, 0.98
 #: Words of a fingerprint that travel with its table rows, and their bits' radius: at the
-#: least similarity 99.5 % of pairs differ in fewer.
-COPY_CHECK, COPY_RADIUS = 2, 30
+#: least similarity almost all pairs differ in fewer, and hardly any other do.
+COPY_CHECK, COPY_RADIUS = 2, 36
 #: A segment has this many bits less than the corpus's size, so that buckets stay small.
 COPY_SLACK = 4
 
