@@ -58,6 +58,7 @@ def check_states(rows: DataFrame) -> DataFrame:
     fields are empty and it fails."""
     missing = F.col("state_contains").isNotNull() & ~F.contains(F.lower(F.coalesce("last_bot", F.lit(""))), F.col("state_contains"))
     checked = check(rows.withColumn("state_missing", missing))
+    # What stands for an answer that wasn't asked for.
     unplayed = {"response": F.concat(F.lit('[STATE CHECK] lastBotTurn missing "'), "state_contains", F.lit('"')), "matched_pair": F.lit(""), "kw_raw": F.lit(0.0), "top3_pct": F.lit(0.0), "word_count": F.lit(0), "is_fallback": F.lit(False), "fail_reason": F.lit("state"), "passed": F.lit(False)}
     return checked.withColumns({c: F.when(F.col("state_missing"), v).otherwise(F.col(c)) for c, v in unplayed.items() if c in checked.columns})
 

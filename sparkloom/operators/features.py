@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 SLICE = 512
 ROWS_AT_ONCE = 2_048
+TARGETS_AT_ONCE = 4_096
 CONTEXT_SIGMA = 1.5
 
 
@@ -172,6 +173,24 @@ def cells(sums: DataFrame) -> DataFrame:
     return sums.mapInArrow(run, "kind string, i int, j int, value double")
 
 
+def top_targets(z: np.ndarray, weights: np.ndarray, k: int, tile: int = TARGETS_AT_ONCE) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of each row's k best targets, best first, ties to the lower id. Targets
+    are scored a tile at a time, so the block of scores doesn't grow with their number."""
+    value, top = np.zeros((len(z), 0)), np.zeros((len(z), 0), np.int32)
+    for first in range(0, weights.shape[1], tile):
+        score = z @ weights[:, first : first + tile]
+        best = np.empty((len(z), min(k, score.shape[1])))
+        ids = np.empty(best.shape, np.int32)
+        for place in range(best.shape[1]):  # argmax takes the lowest id of a tie
+            at = score.argmax(axis=1)
+            best[:, place], ids[:, place] = score[np.arange(len(z)), at], at + first
+            score[np.arange(len(z)), at] = -np.inf
+        value, top = np.concatenate([value, best], axis=1), np.concatenate([top, ids], axis=1)
+        order = np.lexsort((top, -value), axis=1)[:, :k]
+        value, top = np.take_along_axis(value, order, axis=1), np.take_along_axis(top, order, axis=1)
+    return value, top
+
+
 def predict(rows: DataFrame, weights: np.ndarray, transform=None, k: int = 3, x: str = "x", keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns with ``top``, the k best target ids, best first, and ``top_score``.
     Ties go to the lower id. Rows with a null x are left out."""
@@ -186,13 +205,9 @@ def predict(rows: DataFrame, weights: np.ndarray, transform=None, k: int = 3, x:
                 if not batch.num_rows:
                     continue
                 z = lists_to_matrix(batch.column("__x"))
-                score = np.asarray(transform(z) if transform else z, np.float64) @ shared.value
-                best, top = score.max(axis=1), np.empty((len(score), min(k, score.shape[1])), np.int32)
-                for place in range(top.shape[1]):  # argmax takes the lowest id of a tie
-                    top[:, place] = score.argmax(axis=1)
-                    score[np.arange(len(score)), top[:, place]] = -np.inf
+                value, top = top_targets(np.asarray(transform(z) if transform else z, np.float64), shared.value, k)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in keep), pa.array(top.tolist(), pa.list_(pa.int32())), pa.array(best)],
+                    [*(batch.column(c) for c in keep), pa.array(top.tolist(), pa.list_(pa.int32())), pa.array(value[:, 0].copy())],
                     [*keep, "top", "top_score"],
                 )
 

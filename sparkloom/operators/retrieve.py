@@ -21,6 +21,11 @@ KEYWORD_SHARE, MEANING_SHARE = 0.65, 0.35
 VECTORS_BYTES = 64_000_000
 
 
+def weighted(counts: DataFrame, weights: DataFrame) -> DataFrame:
+    """(doc_id, token, idf, w): w = n * idf. Tokens without a weight are left out."""
+    return counts.join(weights.select("token", "idf"), "token").select("doc_id", "token", "idf", (F.col("n") * F.col("idf")).alias("w"))
+
+
 def tfidf(counts: DataFrame, weights: DataFrame) -> DataFrame:
     """(doc_id, token, n, idf, w, unit): w = n * idf; unit = w / (|w| + 1e-10). Tokens
     without a weight are left out."""
@@ -32,14 +37,17 @@ def tfidf(counts: DataFrame, weights: DataFrame) -> DataFrame:
 def score(queries: DataFrame, entries: DataFrame) -> DataFrame:
     """(query_id, entry_id, kw_raw, s_kw, cosine, score) of all pairs that share a token.
 
-    Both sides are tf-idf tables with query_id and entry_id for doc_id. The join is on
-    the token, so pairs without a common token are never made.
+    ``queries`` is a tf-idf table with query_id for doc_id, ``entries`` a weighted one
+    (:func:`weighted`) with entry_id. The join is on the token, so pairs without a common
+    token are never made; entries' norms meet the pairs, not their tokens.
     """
     known = queries.groupBy("query_id").agg(F.sum("idf").alias("possible"))
     q = queries.select("query_id", "token", "idf", F.col("unit").alias("qu"))
-    e = entries.select("entry_id", "token", F.col("unit").alias("eu"))
+    e = entries.select("entry_id", "token", F.col("w").alias("ew"))
+    norm = entries.groupBy("entry_id").agg((F.sqrt(F.sum(F.col("w") * F.col("w"))) + 1e-10).alias("norm"))
     # an entry's rows lie together, so a task's sums are whole before the shuffle
-    met = q.join(e, "token").groupBy("query_id", "entry_id").agg(F.sum("idf").alias("kw_raw"), F.sum(F.col("qu") * F.col("eu")).alias("cosine"))
+    met = q.join(e, "token").groupBy("query_id", "entry_id").agg(F.sum("idf").alias("kw_raw"), F.sum(F.col("qu") * F.col("ew")).alias("cosine"))
+    met = met.join(norm, "entry_id").withColumn("cosine", F.col("cosine") / F.col("norm"))
     met = met.join(known, "query_id").withColumn("s_kw", F.when(F.col("possible") > 0, F.col("kw_raw") / F.col("possible")).otherwise(0.0))
     total = KEYWORD_SHARE * F.col("s_kw") + MEANING_SHARE * F.greatest("cosine", F.lit(0.0))
     return met.select("query_id", "entry_id", "kw_raw", "s_kw", "cosine", total.alias("score"))

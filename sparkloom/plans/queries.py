@@ -575,10 +575,11 @@ SELECT doc_id, dim, round(v / z, 6) AS value FROM t JOIN z USING (doc_id)"""
 def bow_embedding(spark, sf_dir):
     """Bag-of-words vectors; vocabulary entry i has embedding i modulo their number."""
     counts = tables.cut(_counts(spark, sf_dir), "counts")
-    places, vectors = _vector_places(spark, sf_dir, counts)
+    frequency = tables.cut(vocab.document_frequency(counts), "frequency")
+    places, vectors = _vector_places(spark, sf_dir, frequency)
     if vectors is None:
         return _no_cells(spark, "doc_id long")
-    weights = counts.join(places.join(_idf(spark, sf_dir, counts), "token"), "token")
+    weights = counts.join(places.join(vocab.idf(frequency, table(spark, sf_dir, "documents").count()), "token"), "token")
     return _cells(retrieve.summed_vectors(weights.select("doc_id", "place", (F.col("n") * F.col("idf")).alias("w")), vectors))
 
 
@@ -631,7 +632,7 @@ def _scored(spark, sf_dir):
     weights = _idf(spark, sf_dir, counts)
     asked = vocab.row_counts(table(spark, sf_dir, "benchmark"), "item_id")
     q = retrieve.tfidf(asked, weights).withColumnRenamed("doc_id", "query_id")
-    e = retrieve.tfidf(counts, weights).withColumnRenamed("doc_id", "entry_id")
+    e = retrieve.weighted(counts, weights).withColumnRenamed("doc_id", "entry_id")
     return retrieve.score(q, e)
 
 
@@ -695,10 +696,11 @@ def chunk_embedding(spark, sf_dir):
     """Chunk vectors: text and keywords, the shorter list's words three times as heavy."""
     chunks = tables.cut(sections.chunks(sections.content_sections(_sections(spark, sf_dir))), "chunks")
     counts = tables.cut(retrieve.chunk_counts(chunks), "counts")
-    places, vectors = _vector_places(spark, sf_dir, counts)
+    frequency = tables.cut(vocab.document_frequency(counts), "frequency")
+    places, vectors = _vector_places(spark, sf_dir, frequency)
     if vectors is None:
         return _no_cells(spark, "url string")
-    weights = vocab.idf(vocab.document_frequency(counts), chunks.count())
+    weights = vocab.idf(frequency, chunks.count())
     rows = counts.join(places.join(weights, "token"), "token")
     w = F.col("n") * F.col("idf") * retrieve.domain_boost(vocab.CHUNK_WORDS)
     return _cells(retrieve.summed_vectors(rows.select("doc_id", "place", w.alias("w")), vectors)).withColumnRenamed("doc_id", "url")

@@ -71,6 +71,7 @@ def write_benchmark(results: DataFrame, path: str, order: tuple[str, ...] = ())
     write_json_array(results, path, order)
 
 
+# The marks between which a page has its model.
 def inject_model(spark: SparkSession, template: str, path: str, model: dict, swaps: dict[str, str] | None = None, start: str = "var M=", stop: str = "\nvar gc=M.gc") -> list[str]:
     """Write the page of a template file with the model's compact JSON between the two
     marks, and with ``swaps`` made; returns the texts to swap that it doesn't hold. The

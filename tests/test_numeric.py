@@ -42,6 +42,17 @@ def test_single_precision_and_neumann():
     assert not solvers.neumann(np.eye(2), np.ones(2), max_iter=5).converged
 
 
+def test_targets_by_tiles():
+    rng = np.random.default_rng(5)
+    z, w = rng.integers(-2, 3, (40, 4)).astype(float), rng.integers(-2, 3, (4, 50)).astype(float)
+    score = z @ w
+    want = np.array([sorted(range(50), key=lambda j: (-s[j], j))[:3] for s in score])
+    for tile in (1, 7, 50, 99):
+        value, top = features.top_targets(z, w, 3, tile)
+        assert (top == want).all() and (value == np.take_along_axis(score, want, axis=1)).all()
+    assert features.top_targets(z, w[:, :2], 3)[1].shape == (40, 2)
+
+
 def test_nearest_of_keeps_ties(spark):
     rows = [(i, [1.0, 0.0]) for i in range(60)] + [(99, [0.0, 0.0]), (100, None)]
     df = spark.createDataFrame(rows, "id long, x array<double>").orderBy(F.desc("id")).coalesce(1)
