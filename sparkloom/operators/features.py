@@ -214,30 +214,46 @@ def predict(rows: DataFrame, weights: np.ndarray, transform=None, k: int = 3, x:
     return used.mapInArrow(run, f"{schema}, top array<int>, top_score double")
 
 
-def _cbow_pass(ids: list[np.ndarray], inner: np.ndarray, outer: np.ndarray, noise: np.ndarray, window: int, negative: int, rate: float, rng: np.random.Generator) -> None:
-    """One pass over some sentences, in place: the mean of a word's context predicts it
-    against words drawn from ``noise``. The context's reach is drawn anew for each word."""
-    for s in ids:
+def _add_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Add rows to a table's rows; one row may be met several times. A row moves by half a
+    unit per component at most, so that frequent words can't run away."""
+    order = np.argsort(at, kind="stable")
+    own, first = np.unique(at[order], return_index=True)
+    table[own] += np.clip(np.add.reduceat(rows[order], first, axis=0), -0.5, 0.5)
+
+
+def _cbow_pass(words: np.ndarray, sentence: np.ndarray, inner: np.ndarray, outer: np.ndarray, noise: np.ndarray, window: int, negative: int, rate: float, rng: np.random.Generator) -> None:
+    """One pass over the words of some sentences, in place: the mean of a word's context
+    predicts it against words drawn from ``noise``. The context's reach is drawn anew for
+    each word; a block of words, few of each, is updated together."""
+    block = min(max(4 * len(inner), 16), 256)
+    for lo in range(0, words.size, block):
+        s, own = words[lo : lo + block], sentence[lo : lo + block]
         n = s.size
-        if n < 2:
-            continue
-        reach = rng.integers(1, window + 1, n)
-        offset = np.concatenate([np.arange(-window, 0), np.arange(1, window + 1)])
-        at = np.arange(n)[:, None] + offset
-        inside = (at >= 0) & (at < n) & (np.abs(offset)[None] <= reach[:, None])
-        context = np.where(inside, s[np.clip(at, 0, n - 1)], 0)
-        count = inside.sum(1, keepdims=True)
-        mean = (inner[context] * inside[..., None]).sum(1) / np.maximum(count, 1)
-        drawn = np.searchsorted(noise, rng.random((n, negative)))
-        target = np.concatenate([s[:, None], drawn], axis=1)
+        reach, e = rng.integers(1, window + 1, n), inner[s]
+        total, count, near = np.zeros_like(e), np.zeros(n, np.float32), []
+        for d in range(1, min(window, n - 1) + 1):
+            same = own[d:] == own[:-d]
+            ahead, behind = (same & (reach[:-d] >= d)).astype(np.float32), (same & (reach[d:] >= d)).astype(np.float32)
+            total[:-d] += e[d:] * ahead[:, None]
+            total[d:] += e[:-d] * behind[:, None]
+            count[:-d] += ahead
+            count[d:] += behind
+            near.append((d, ahead, behind))
+        mean = total / np.maximum(count, 1)[:, None]
+        target = np.concatenate([s[:, None], np.searchsorted(noise, rng.random((n, negative)))], axis=1)
         sign = np.zeros(target.shape, np.float32)
         sign[:, 0] = 1
-        use = (target != s[:, None]) | (sign == 1)
-        score = np.einsum("nd,nkd->nk", mean, outer[target])
-        gap = (sign - 1 / (1 + np.exp(-np.clip(score, -10, 10)))) * rate * use * (count > 0)
-        back = np.einsum("nk,nkd->nd", gap, outer[target])
-        np.add.at(outer, target, gap[..., None] * mean[:, None, :])
-        np.add.at(inner, context, (back[:, None, :] * inside[..., None]).astype(np.float32))  # whole, to each word of the context
+        use = ((target != s[:, None]) | (sign == 1)) & (count > 0)[:, None]
+        o = outer[target]
+        gap = ((sign - 1 / (1 + np.exp(-np.clip(np.einsum("nd,nkd->nk", mean, o), -10, 10)))) * rate * use).astype(np.float32)
+        back = np.einsum("nk,nkd->nd", gap, o)
+        _add_rows(outer, target.ravel(), (gap[..., None] * mean[:, None, :]).reshape(-1, mean.shape[1]))
+        change = np.zeros_like(e)  # whole, to each word of the context
+        for d, ahead, behind in near:
+            change[d:] += back[:-d] * ahead[:, None]
+            change[:-d] += back[d:] * behind[:, None]
+        _add_rows(inner, s, change)
 
 
 def cbow(sentences: DataFrame, column: str = "sentence", dims: int = 32, window: int = 8, epochs: int = 20, seed: int = 42, negative: int = 5, rate: float = 0.025, most_words: int = 2_000_000) -> DataFrame:
@@ -272,10 +288,10 @@ def cbow(sentences: DataFrame, column: str = "sentence", dims: int = 32, window:
             known, seen = place.value, np.zeros(len(a), bool)
             rng = np.random.default_rng([seed, epoch])
             for batch in batches:
-                ids = [np.array([known[w] for w in s if w is not None], np.int64) for s in batch.column("s").to_pylist()]
-                _cbow_pass(ids, a, b, draw, window, negative, pace, rng)
-                for s in ids:
-                    seen[s] = True
+                ids = [[known[w] for w in s if w is not None] for s in batch.column("s").to_pylist()]
+                words_of = np.array([i for s in ids for i in s], np.int64)
+                _cbow_pass(words_of, np.repeat(np.arange(len(ids)), [len(s) for s in ids]), a, b, draw, window, negative, pace, rng)
+                seen[words_of] = True
             own = np.flatnonzero(seen | (b != shared.value[1]).any(axis=1))
             if own.size:
                 yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(list(a[own]), pa.list_(pa.float32())), pa.array(list(b[own]), pa.list_(pa.float32()))], ["i", "a", "b"])

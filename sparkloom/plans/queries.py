@@ -960,8 +960,9 @@ def rff_predict(spark, sf_dir):
 
 @query()
 def next_token_model(spark, sf_dir):
-    """Context windows to next-token predictions: vocabulary, embeddings, encoder, random
-    features, weighted Gram sums, conjugate gradients, top-3 with the agreement flag."""
+    """Context windows to next-token predictions: vocabulary, trained 32-dimensional
+    vectors, encoder, 256 random features, weighted Gram sums, conjugate gradients, top-3
+    with the agreement flag. The driver holds vectors and weights, whose size is checked."""
     s = _sequence(spark, sf_dir)
     ids = vocab.vocabulary(s.withColumn("doc_id", F.lit(0)))
     size = ids.count()
@@ -969,8 +970,10 @@ def next_token_model(spark, sf_dir):
         return spark.createDataFrame([], "start long, target_id int, predicted int, agrees boolean")
     coded = s.join(ids, "token").select("pos", F.col("token_id").cast("int").alias("token"))
     win = windows.context_windows(coded, coded.count(), repeat=5)
-    emb = features.fill_embeddings({}, size, 8) * 100
-    encode, fourier = features.ContextEncoder(emb), features.FourierMap.draw(24 * 8, 256, sigma=6.0)
+    trained = features.cbow(pairs.pair_sentences(_pairs(spark, sf_dir), 3))  # checks the vocabulary's size
+    known = {r["token_id"]: r["vector"] for r in ids.join(trained, ids["token"] == trained["word"]).select("token_id", "vector").collect()}
+    emb = features.fill_embeddings(known, size, 32)
+    encode, fourier = features.ContextEncoder(emb), features.FourierMap.draw(windows.CONTEXT * 32, 256)
     transform = lambda x: fourier(encode(x.astype(np.int64)))
     rows = win.select("start", F.col("context").alias("x"), F.col("target").alias("target_id"), "weight")
     a, b = features.collect_gram(features.gram(rows, transform, weight="weight"), 256, size)
