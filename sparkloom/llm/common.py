@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.sources.tables import cut, fresh_path, shared_dir
 
-__all__ = ["bound_batches", "crc32_of_id", "cut", "documents", "free_name", "fresh_path", "shared_dir", "shuffle_parts", "tokenizer_path"]
+__all__ = ["bound_batches", "crc32_of_id", "cut", "documents", "free_name", "fresh_path", "shared_dir", "shuffle_parts", "table", "tokenizer_path"]
 
 
 #: Bytes of an Arrow batch on its way to a Python worker, and rows of a columnar batch.
@@ -30,10 +30,15 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a data folder, read in bounded batches."""
+    bound_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table of a data folder."""
-    bound_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def shuffle_parts(spark: SparkSession) -> int:
