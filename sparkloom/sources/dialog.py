@@ -90,13 +90,16 @@ def read_html(spark: SparkSession, folder: str) -> DataFrame:
     return content_pages(rows.dropDuplicates(["url"])).orderBy("url")
 
 
-def numbered(rows: DataFrame, *order: str, into: str = "pair_id") -> DataFrame:
+def numbered(rows: DataFrame, *order, into: str = "pair_id") -> DataFrame:
     """``rows`` with consecutive numbers in the order given, without one global sort task:
-    rows are range-partitioned, numbered within partitions and shifted by the sizes of
-    the partitions before. The partitions are written first, as sampling might cut them
-    elsewhere when they are made twice."""
-    spread = tables.cut(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "numbered")
-    local = F.row_number().over(W.partitionBy("__p").orderBy(*order)) - 1
-    sized = spread.withColumn("__i", local)
-    before = sized.groupBy("__p").agg(F.count("*").alias("__n")).withColumn("__b", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return sized.join(before.select("__p", "__b"), "__p").withColumn(into, (F.col("__b") + F.col("__i")).cast("long")).drop("__p", "__i", "__b")
+    rows are range-partitioned, sorted and written with their places in their partitions, as
+    sampling might cut the ranges elsewhere when they are made twice. The sizes of the
+    partitions before are added to the places; there are as many sizes as shuffle partitions,
+    so they are sent to every task."""
+    place = F.monotonically_increasing_id()  # of a task: its number, and the row's place from 0
+    kept = tables.cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", place), "numbered")
+    part = F.shiftright("__at", 33).alias("__p")
+    sizes = kept.groupBy(part).agg(F.count("*").alias("__n"))
+    before = sizes.select("__p", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    own = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return kept.withColumn("__p", part).join(F.broadcast(before), "__p").withColumn(into, (F.col("__b") + own).cast("long")).drop("__p", "__at", "__b")
