@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import ann, bpe, langid, licenses, media, packing, secrets, simhash, token_binary, toxicity, warc, whitening
+from sparkloom.llm import ann, bpe, langid, licenses, media, packing, resample, secrets, simhash, token_binary, toxicity, warc, whitening
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op9_toxicity": toxicity.op9_toxicity,
         "op2_token_binary": token_binary.op2_token_binary,
         "op11_warc": warc.op11_warc,
+        "op12_resample": resample.op12_resample,
         "op13_whitening": whitening.op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_warc": warc.OP11_SQL}
+    return {"op11_warc": warc.OP11_SQL, "op12_resample": resample.OP12_SQL}
