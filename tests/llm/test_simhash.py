@@ -136,6 +136,63 @@ def test_a_large_group_of_copies_in_blocks(spark):
     assert len({got[i] for i in range(60)}) == 1 and got[900] != got[0]
 
 
+def chain(rng, length, words=300, share=0.85):
+    """Texts whose neighbours have about that similarity, others less: a window over words."""
+    step = round((words - 4) * (1 - share) / (1 + share))
+    w = [f"w{rng.randrange(10**7)}" for _ in range(words + step * length)]
+    return [" ".join(w[i * step : i * step + words]) for i in range(length)]
+
+
+def groups_of(spark, texts, **options):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    return {r["doc_id"]: r["root"] for r in simhash.near_copies(rows, **options).collect()}
+
+
+@pytest.mark.parametrize("options", [{}, {"bucket_max": 7}, {"nearest": 1}, {"bucket_max": 7, "nearest": 1}])
+def test_chains_keep_their_links(spark, options):
+    """Neighbours in a chain are linked, its ends aren't: links have to be those that were
+    seen. The index may miss a few links, so groups may be cut, never joined."""
+    rng = random.Random(5)
+    texts = [t for n in (12, 25, 25, 25, 25, 25, 25) for t in chain(rng, n)]
+    want, got = copy_roots(texts), groups_of(spark, texts, **options)
+    assert len(set(want)) == 7
+    assert all(len({want[i] for i in got if got[i] == r}) == 1 for r in set(got.values()))
+    assert len(set(got.values())) <= 8  # pairs at 0.85 meet with a probability of 0.998
+
+
+def test_every_option_gives_the_same_groups(spark):
+    """Copies of one base, chains and a cluster of texts that are alike but under 0.8, dense
+    enough for several rounds; groups don't depend on how buckets are worked off."""
+    rng = random.Random(6)
+    base = [f"b{rng.randrange(10**7)}" for _ in range(300)]
+    texts = chain(rng, 40)
+    for k in range(40):  # pairs at 0.5 to 0.7: dense buckets, no links
+        w = list(base)
+        for i in rng.sample(range(300), 9):
+            w[i] = f"x{k}-{i}"
+        texts.append(" ".join(w))
+    for k in range(60):
+        w = list(base)
+        w[k * 5] = f"y{k}"
+        texts.append(" ".join(w))
+    first = groups_of(spark, texts)
+    same = lambda got: {frozenset(i for i in got if got[i] == r) for r in got.values()}
+    for options in ({"nearest": 1}, {"bucket_max": 9}, {"bucket_max": 30, "nearest": 2}):
+        assert same(groups_of(spark, texts, **options)) == same(first)
+    want = dict(enumerate(copy_roots(texts)))
+    assert all(len({want[i] for i in g}) == 1 for g in same(first))
+    assert len(same(first)) <= len(same(want)) + 1
+
+
+def test_edges_are_verified_in_blocks(spark):
+    sets = spark.createDataFrame([(i, list(range(-i, 20))) for i in range(12)], "node long, shingles array<long>")
+    edges = [(0, i) for i in range(1, 12)] + [(5, 6)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = {(a, b) for a, b in edges if (20 + a) / (20 + b) >= 0.8}
+    for partners in (1, 3, 256):
+        assert {tuple(r) for r in simhash.verified(df, sets, 0.8, partners).collect()} == want
+
+
 def test_one_per_group(spark, odd):
     kept = simhash.one_per_group(odd)
     assert kept.columns == odd.columns
