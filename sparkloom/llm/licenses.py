@@ -3,8 +3,8 @@
 A trained paragraph classifier, a multinomial logistic regression over word 1- to 3-grams,
 names the licence family of every paragraph, or none ("unknown"). It is trained here on
 variations of customary notices and licence texts, on ordinary prose, on prose that uses
-the same words, and on notices' words in disorder. Its temperature is calibrated on
-notices and prose that training didn't see. A family counts as confirmed if the paragraph
+the same words, and on notices' words in disorder. Its temperature is calibrated on a fold
+of short notices and prose by a classifier that saw none of them. A family counts as confirmed if the paragraph
 shares enough words with one of the family's templates.
 
 Scoring is one narrow pass, no shuffle, no Python: n-grams are hashed, a hash finds its
@@ -159,6 +159,11 @@ TEMPLATES = {
         "This is free and unencumbered software released into the public domain.",
         "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ),
+    "WTFPL": (
+        "Do What The Fuck You Want To Public License",
+        "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+        "You just DO WHAT THE FUCK YOU WANT TO.",
+    ),
     "Proprietary": (
         "All rights reserved.",
         "Proprietary and confidential. No license is granted.",
@@ -167,6 +172,64 @@ TEMPLATES = {
         "No part of this publication may be reproduced or transmitted in any form without the prior written permission of the publisher.",
     ),
 }
+# How licences are called in short notices.
+NAMES = {
+    "MIT": ("MIT", "MIT License"),
+    "Apache": ("Apache 2.0", "Apache-2.0", "Apache License 2.0", "Apache License, Version 2.0"),
+    "GPL": ("GPL", "GPLv3", "GPLv2", "GPL 3.0", "GPL-2.0-only", "GPL-3.0-or-later", "GNU GPL", "GNU General Public License", "GNU General Public License, version 3"),
+    "LGPL": ("LGPL", "LGPLv3", "LGPL 2.1", "LGPL-2.1-or-later", "GNU LGPL", "GNU Lesser General Public License"),
+    "AGPL": ("AGPL", "AGPLv3", "AGPL 3.0", "AGPL-3.0-only", "GNU AGPL", "GNU Affero General Public License"),
+    "BSD": ("BSD", "BSD-3-Clause", "BSD 2-Clause", "simplified BSD", "new BSD"),
+    "ISC": ("ISC", "ISC License"),
+    "MPL": ("MPL", "MPL 2.0", "MPL-2.0", "Mozilla Public License 2.0", "Mozilla Public License"),
+    "EPL": ("EPL", "EPL 2.0", "EPL-2.0", "Eclipse Public License 2.0", "Eclipse Public License"),
+    "Zlib": ("Zlib", "zlib License", "zlib/libpng"),
+    "Boost": ("BSL-1.0", "Boost Software License 1.0", "Boost Software License"),
+    "CC": ("CC BY 4.0", "CC BY-SA 4.0", "CC BY-NC 4.0", "CC-BY-4.0", "CC BY-NC-ND 4.0", "CC0", "CC0 1.0", "Creative Commons", "Creative Commons Attribution 4.0"),
+    "Unlicense": ("Unlicense", "The Unlicense"),
+    "WTFPL": ("WTFPL", "WTFPL 2.0"),
+}
+# Short notices in four languages.
+FRAMES = (
+    "{}",
+    "License: {}",
+    "SPDX-License-Identifier: {}",
+    "Licensed under {}.",
+    "Licensed under the {} license.",
+    "Released under {}.",
+    "Released under the {} license.",
+    "This project is licensed under the terms of the {} license.",
+    "Licensed under the {} license. See the LICENSE file for details.",
+    "Distributed under the {} license.",
+    "This software is available under the {} license.",
+    "The code is published under {}.",
+    "You may use this file under the terms of the {} license.",
+    "Use of this source code is governed by the {} license.",
+    "@license {}",
+    "All content is provided under {}, unless noted otherwise.",
+    "Made available under the {}.",
+    "Covered by the {} license, see COPYING.",
+    "Open source, {} licensed.",
+    "Lizenz: {}",
+    "Lizenziert unter {}.",
+    "Lizenziert unter der {}-Lizenz.",
+    "Veröffentlicht unter der Lizenz {}.",
+    "Dieses Werk steht unter der {}-Lizenz.",
+    "Dieses Projekt steht unter {}.",
+    "Der Quelltext ist unter der {}-Lizenz verfügbar.",
+    "Licence : {}",
+    "Licence {}",
+    "Sous licence {}.",
+    "Publié sous licence {}.",
+    "Ce projet est sous licence {}.",
+    "Distribué selon les termes de la licence {}.",
+    "Licencia: {}",
+    "Licencia {}",
+    "Bajo licencia {}.",
+    "Publicado bajo la licencia {}.",
+    "Este proyecto está bajo la licencia {}.",
+    "Distribuido según los términos de la licencia {}.",
+)
 # Ordinary prose, most of it with the notices' words.
 OTHER = (
     "The driver lost his license after the accident and had to take the test again.",
@@ -219,11 +282,40 @@ OTHER = (
     "The domain was sold to a public company for a large sum.",
     "Materials for the course are provided in the reading room.",
     "Any claim for damages must be made within thirty days of the flight.",
+    "Das Kind spielt mit dem Ball unter der alten Brücke.",
+    "Er fuhr mit der Bahn und las unter dem Licht der Lampe.",
+    "Das Buch wurde unter seinem Namen veröffentlicht und ist überall verfügbar.",
+    "Dieses Projekt steht vor dem Ende, dieses Werk auch.",
+    "Das Haus steht unter Wasser, und die Quelle ist verdeckt.",
+    "Mit freundlichen Grüßen aus der Stadt, mit der Bitte um Antwort.",
+    "Der Führerschein ist eine Lizenz, die man verlieren kann.",
+    "Le chat dort sous la table de la cuisine.",
+    "Ce projet est publié selon les termes du contrat avec la ville.",
+    "La licence de pêche coûte cher et la saison est courte.",
+    "Il marche sous la pluie et le boost des ventes est passé.",
+    "Le livre est distribué dans toutes les écoles du pays.",
+    "El gato duerme bajo la mesa de la cocina.",
+    "Este proyecto está bajo la dirección de mi hermana.",
+    "La licencia de conducir se renueva cada diez años.",
+    "El libro fue publicado según los términos del contrato.",
+    "Los periódicos se distribuyen bajo la lluvia en toda la ciudad.",
+    "The licence fee is due in March and covers the whole household.",
+    "Licence plates were published in the list of the new owners.",
+    "This file is not available under the address that you use.",
+    "The content is provided by readers unless noted otherwise on the page.",
+    "Open source of light, open doors, open questions about the terms.",
+    "The new simplified version of the form was released under pressure.",
+    "Use of this entrance is governed by the rules of the house.",
+    "Available under the counter, made by hand and sold for cash.",
+    "See the list for details, see the file for the code of the room.",
+    "The project was published under a pen name and covered by the press.",
 )
 # Words that most texts have.
 COMMON = "0 a the of and to in is that for be with by was as an it on or are not at from you this have has had but all any can will if no so do its may must other which their these they we he she s".split()
 COMMON_SET = frozenset(COMMON)
 VARIATIONS = 24
+#: Parts that frames and lines are dealt into, to calibrate and judge on those not trained on.
+FOLDS = 5
 #: N-grams of fewer training paragraphs are chance neighbours; of smaller weights no matter.
 GRAM_ROWS_MIN, WEIGHT_MIN = 3, 0.02
 ORDERS = (1, 2, 3)
@@ -231,7 +323,7 @@ WORD = r"[a-z0-9]+"
 MIN_CONFIDENCE = 0.5
 CONFIRM_SHARE = 0.5
 #: Slots of the literal table, two n-grams in each at most.
-SLOTS = 1 << 16
+SLOTS = 1 << 17
 #: A line break inside a wrapped paragraph, and what stands for it.
 WRAPPED = r"\n(?<=[^\r\n]{39}[^\s.!?:;][ \t]{0,3}\r?\n)(?=[ \t]*[^\s])"
 WRAP = "\ue000"
@@ -292,47 +384,55 @@ def varied(rng: random.Random, notice: str, k: int) -> str:
     return " ".join(words)
 
 
-def examples(seed: int) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
-    """(text, family) rows to train on, and rows of other notices and prose to calibrate
-    on: of the longer notices and of prose every fifth is held out."""
+@dataclass(frozen=True)
+class Example:
+    text: str
+    family: str
+    source: str | None  # the notice or line of prose that it was made from
+    fold: int
+
+
+def examples(seed: int) -> list[Example]:
+    """Short notices of every name in every frame, variations and parts of longer notices and
+    of prose, words in disorder, and nothing at all.
+
+    All rows of a frame are in one fold, as are those of a line of prose. The wording of a
+    licence's own text doesn't follow from anything else, so it is in no fold: it is always
+    trained on and never judged by.
+    """
     rng = random.Random(seed)
-    parts: tuple[list, list] = ([], [])
+    out: list[Example] = []
     loose = [w for notices in TEMPLATES.values() for n in notices for w in n.split()]
+    for i, frame in enumerate(FRAMES):
+        for family, names in NAMES.items():
+            for name in names:
+                text = frame.format(name).replace("License license", "license").replace("License-Lizenz", "Lizenz")
+                out.append(Example(varied(rng, text, rng.choice((0, 0, 1, 2))), family, text, i % FOLDS))
     for family, notices in [*TEMPLATES.items(), (UNKNOWN, OTHER)]:
         for i, notice in enumerate(notices):
-            for k in range(VARIATIONS):
-                parts[k % 5 == 4].append((varied(rng, notice, k), family))
+            made = [varied(rng, notice, k) for k in range(VARIATIONS)]
             words = notice.split()
             for at in range(0, len(words) - 8 if len(words) > 16 else 0, 3):  # lines of a wrapped text
-                parts[at % 5 == 4].append((" ".join(words[at : at + rng.randint(8, 16)]), family))
-            if family == UNKNOWN and i % 5 == 4:
-                parts[1].append((notice, family))
+                made.append(" ".join(words[at : at + rng.randint(8, 16)]))
+            out += [Example(t, family, notice, i % FOLDS if family == UNKNOWN else -1) for t in made]
     prose = [w for n in OTHER for w in n.split()]
     for k in range(40 * VARIATIONS):  # words in disorder say little
         bag = prose if k % 3 == 0 else loose if k % 3 == 1 else prose + rng.sample(loose, 100)
-        parts[k % 5 == 4].append((" ".join(rng.choices(bag, k=rng.randint(1, 25))), UNKNOWN))
-    for part, n in zip(parts, (20, 5), strict=True):
-        part += [("", UNKNOWN)] * (n * VARIATIONS)  # most paragraphs have no feature at all
-    return parts
+        out.append(Example(" ".join(rng.choices(bag, k=rng.randint(1, 25))), UNKNOWN, None, -1))
+    out += [Example("", UNKNOWN, None, -1)] * (25 * VARIATIONS)  # most paragraphs have no feature at all
+    return out
 
 
-@lru_cache(maxsize=4)
-def train(seed: int = 42, rounds: int = 400, ridge: float = 2e-5) -> Classifier:
-    """Fit by accelerated gradients, keep the weights that matter, calibrate the temperature
-    on the rows held out."""
-    rows, held = examples(seed)
+def fitted(rows: list[Example], rounds: int = 200, ridge: float = 2e-5) -> Classifier:
+    """Fit by accelerated gradients and keep the weights that matter."""
     families = [*TEMPLATES, UNKNOWN]
-    sets = [grams_of(words_of(t)) for t, _ in rows]
+    sets = [grams_of(words_of(x.text)) for x in rows]
     rows_of = Counter(g for s in sets for g in s)
     vocabulary = {g: k for k, g in enumerate(sorted(g for g, n in rows_of.items() if n >= GRAM_ROWS_MIN))}
 
-    def sparse(of: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        found = [sorted(vocabulary[g] for g in s if g in vocabulary) for s in of]
-        return np.repeat(np.arange(len(of)), [len(f) for f in found]), np.array([c for f in found for c in f], np.int64)
-
     def summed(values: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
         """Sums of rows of values by sorted keys."""
-        out = np.zeros((n, values.shape[1]))
+        out = np.zeros((n, values.shape[1]), np.float32)
         if keys.size:
             own, at = np.unique(keys, return_index=True)
             out[own] = np.add.reduceat(values, at, axis=0)
@@ -342,26 +442,48 @@ def train(seed: int = 42, rounds: int = 400, ridge: float = 2e-5) -> Classifier:
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    r, c = sparse(sets)
+    found = [sorted(vocabulary[g] for g in s if g in vocabulary) for s in sets]
+    r, c = np.repeat(np.arange(len(sets)), [len(f) for f in found]), np.array([k for f in found for k in f], np.int64)
     order = np.argsort(c, kind="stable")
-    y = np.eye(len(families))[[families.index(f) for _, f in rows]]
+    y = np.eye(len(families), dtype=np.float32)[[families.index(x.family) for x in rows]]
     width = np.array([len(s) for s in sets]) + 1.0
-    step = 1 / (0.5 * width.mean() / 4 + ridge)
-    w = ahead = np.zeros((len(vocabulary) + 1, len(families)))
+    step = np.float32(len(rows) ** 0.5 / (0.5 * width.mean() / 4 + ridge))
+    w = ahead = np.zeros((len(vocabulary) + 1, len(families)), np.float32)
     for k in range(rounds):
-        gap = (soft(summed(ahead[c], r, len(rows)) + ahead[-1]) - y) / len(rows)
-        slope = np.vstack([summed(gap[r[order]], c[order], len(vocabulary)), gap.sum(axis=0)]) + ridge * ahead
-        now = ahead - step * len(rows) ** 0.5 * slope
-        ahead, w = now + k / (k + 3) * (now - w), now
+        gap = (soft(summed(ahead[c], r, len(rows)) + ahead[-1]) - y) / np.float32(len(rows))
+        slope = np.vstack([summed(gap[r[order]], c[order], len(vocabulary)), gap.sum(axis=0)]) + np.float32(ridge) * ahead
+        now = ahead - step * slope
+        ahead, w = now + np.float32(k / (k + 3)) * (now - w), now
     w -= w.mean(axis=1, keepdims=True)  # only differences count
     keep = [g for g, k in vocabulary.items() if np.abs(w[k]).max() >= WEIGHT_MIN]
-    weights = {g: np.round(w[vocabulary[g]], 3).tolist() for g in keep}
-    raw = Classifier(families, weights, np.round(w[-1], 3).tolist(), 1.0)
-    z = np.array([np.log(list(raw.probabilities(t).values())) for t, _ in held])
-    target = [families.index(f) for _, f in held]
+    return Classifier(families, {g: np.round(w[vocabulary[g]].astype(float), 3).tolist() for g in keep}, np.round(w[-1].astype(float), 3).tolist(), 1.0)
+
+
+def held_out(seed: int = 42, fold: int = 0, rounds: int = 120) -> tuple[Classifier, list[Example], list[Example]]:
+    """A classifier, the rows it was trained on, and the rows of the fold's notices and
+    lines, of which it has seen none."""
+    rows = examples(seed)
+    plain = lambda text: " ".join(words_of(text))
+    own = {plain(x.source) for x in rows if x.fold == fold}
+    seen = [x for x in rows if x.fold != fold and plain(x.text) not in own and plain(x.source or "") not in own]
+    return fitted(seen, rounds), seen, [x for x in rows if x.fold == fold]
+
+
+def logits(model: Classifier, texts: list[str]) -> np.ndarray:
+    return np.array([np.log(np.maximum(list(model.probabilities(t).values()), 1e-300)) for t in texts])
+
+
+@lru_cache(maxsize=4)
+def train(seed: int = 42) -> Classifier:
+    """The classifier of all rows. Its temperature is the one that suits the rows of fold 0
+    best, under a classifier that has seen nothing of that fold's notices and lines."""
+    model, _, held = held_out(seed, 0)
+    z, target = logits(model, [x.text for x in held]), [model.families.index(x.family) for x in held]
     heat = np.geomspace(0.3, 5, 40)
-    loss = [-np.log(soft(z / t)[np.arange(len(target)), target] + 1e-12).sum() for t in heat]
-    return Classifier(families, weights, raw.bias, float(heat[int(np.argmin(loss))]))
+    e = [np.exp(z / t - (z / t).max(axis=1, keepdims=True)) for t in heat]
+    loss = [-np.log((p / p.sum(axis=1, keepdims=True))[np.arange(len(target)), target] + 1e-12).sum() for p in e]
+    whole = fitted(examples(seed))
+    return Classifier(whole.families, whole.weights, whole.bias, float(heat[int(np.argmin(loss))]))
 
 
 def word_bounds(model: Classifier) -> tuple[dict[str, list[float]], list[float]]:
