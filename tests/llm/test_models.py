@@ -80,6 +80,15 @@ def test_toxicity_held_out(spark, docs, sf_dir):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
 
 
+def test_surface_votes():
+    masked = toxicity.SURFACE.index("masked word")
+    for text in ("oh f*** off", "s**t", "you i@#$%", "(f***)"):
+        assert toxicity.surface(text, 0)[masked] == 1
+    for text in ("", "2 ** 3", "el.*** En%%%", "a * b", "list*** of", "C# and F#", "x=*args", "**bold**"):
+        assert toxicity.surface(text, 0)[masked] == -1
+    assert not {toxicity.word_feature(w) for w in ("die", "der", "la", "mit")} & {int(c) for codes in toxicity.lexicons().values() for c in codes}
+
+
 def test_toxicity_on_held_out_rows_only(spark):
     sf = "/root/testdata/sf0.1"  # enough held-out rows for both classes
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
