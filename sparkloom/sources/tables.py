@@ -10,13 +10,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[str] = []
+#: Temporary folders of applications that have set none.
+_MADE: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder from ``spark.checkpoint.dir``.
 
     Only where that is unset and everything runs on one machine (tests) a temporary folder
-    is made and set; a cluster without the setting is an error.
+    is made, one for the application; a cluster without the setting is an error.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
@@ -24,10 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = tempfile.mkdtemp(prefix="loom-shared-")
-    atexit.register(shutil.rmtree, made, True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
+    app = spark.sparkContext.applicationId
+    if app not in _MADE:
+        _MADE[app] = tempfile.mkdtemp(prefix="loom-shared-")
+        atexit.register(shutil.rmtree, _MADE[app], True)
+    return f"file://{_MADE[app]}"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
