@@ -348,4 +348,4 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, by: str = "vec_id",
 
 def op10_nearest(spark, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of every hundredth embedding."""
-    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return nearest(common.table(spark, sf_dir, "embeddings"))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.sources.tables import cut, fresh_path, shared_dir
 
-__all__ = ["bound_batches", "crc32_of_id", "cut", "documents", "free_name", "fresh_path", "shared_dir", "shuffle_parts", "table", "tokenizer_path"]
+__all__ = ["bound_batches", "bounded", "bounded_session", "crc32_of_id", "cut", "documents", "free_name", "fresh_path", "shared_dir", "shuffle_parts", "table", "tokenizer_path"]
 
 
 #: Bytes of an Arrow batch on its way to a Python worker, and rows of a columnar batch.
@@ -17,7 +18,7 @@ BATCH_BYTES, BATCH_ROWS = 4_000_000, 512
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound the batches that texts travel in: Arrow's by bytes, as rows alone don't bound
+    """Bound the batches of a session that texts travel in: Arrow's by bytes, as rows alone don't bound
     them where texts are long, and Parquet's to few rows, so that no executor makes arrays
     of many MB for a column of texts. Smaller bounds that the session has stay."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -30,10 +31,31 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def bounded_session(spark: SparkSession) -> SparkSession:
+    """A session beside ``spark``, with its settings but bounded batches. ``spark`` keeps
+    its own, and so does what is read and run in it."""
+    beside = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            beside.conf.set(key, value)
+    bound_batches(beside)
+    return beside
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df`` for a plan that runs in bounded batches (:func:`bounded_session`), its own
+    table's scan aside. Column names have to differ."""
+    name, spark = f"loom_{uuid.uuid4().hex}", df.sparkSession
+    df.createGlobalTempView(name)
+    try:
+        return bounded_session(spark).table(f"global_temp.{name}")
+    finally:
+        spark.catalog.dropGlobalTempView(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder, read in bounded batches."""
-    bound_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded_session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -440,4 +440,4 @@ def predictions(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
-    return predictions(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return predictions(common.documents(spark, sf_dir), common.table(spark, sf_dir, "labels"))

@@ -228,4 +228,4 @@ def whiten(vectors: DataFrame, by: str = "vec_id", column: str = "embedding", co
 
 def op13_whitening(spark, sf_dir: str) -> DataFrame:
     """The first sixteen whitened components of all embeddings."""
-    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return whiten(common.table(spark, sf_dir, "embeddings"))
