@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is at least ``REJECT_TOXIC`` go. Null and empty texts
     and rows with null ids are scored like any other; repeated rows go or stay together;
     an empty table stays empty."""
-    common.bound_batches(spark)
-    scorer = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    docs = common.bounded(docs)
+    scorer = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
     into = common.free_name(docs.columns, "toxicity")
     return toxicity.scored(docs, scorer, into=into).where(F.col(into) < REJECT_TOXIC).select(*docs.columns)
 
@@ -30,7 +30,7 @@ def drop_no_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     others keep their columns, with ``lang`` as identified, or as it was if there was no
     language to learn. Repeated rows and rows with null ids are judged like any other; an
     empty table stays empty."""
-    common.bound_batches(spark)
+    docs = common.bounded(docs)
     model = langid.train(docs.select("doc_id", "text", "lang"))
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
@@ -45,8 +45,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     shingles, Jaccard similarity of 0.8 or more. Null texts are empty, and empty texts
     are copies of each other; rows with null ids stay; of repeated rows one stays; an empty
     table stays empty."""
-    common.bound_batches(spark)
-    return simhash.one_per_group(docs)
+    return simhash.one_per_group(common.bounded(docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +57,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 ids, repeated ones too. Null
     texts have their end id only; ties in length go by place; an empty table gives no rows."""
-    common.bound_batches(spark)
-    return packing.pack(docs, common.tokenizer_path(VOCABULARY))
+    return packing.pack(common.bounded(docs), common.tokenizer_path(VOCABULARY))
 
 
 STAGES = [
