@@ -13,14 +13,15 @@ from sparkloom.sources.tables import cut, fresh_path, shared_dir
 __all__ = ["bound_batches", "bounded", "bounded_session", "crc32_of_id", "cut", "documents", "free_name", "fresh_path", "shared_dir", "shuffle_parts", "table", "tokenizer_path"]
 
 
-#: Bytes of an Arrow batch on its way to a Python worker, and rows of a columnar batch.
-BATCH_BYTES, BATCH_ROWS = 4_000_000, 512
+#: Bytes of an Arrow batch on its way to a Python worker, rows of a columnar batch, and bytes
+#: of a row group that a task holds as it writes and as it reads it again.
+BATCH_BYTES, BATCH_ROWS, GROUP_BYTES = 4_000_000, 512, 16_000_000
 
 
 def bound_batches(spark: SparkSession) -> None:
     """Bound the batches of a session that texts travel in: Arrow's by bytes, as rows alone don't bound
     them where texts are long, and Parquet's to few rows, so that no executor makes arrays
-    of many MB for a column of texts. Smaller bounds that the session has stay."""
+    of many MB for a column of texts; tables are written in small row groups. Smaller bounds that the session has stay."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key, "64m").lower().rstrip("b")
     size = int(now.rstrip("kmg")) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
@@ -29,6 +30,9 @@ def bound_batches(spark: SparkSession) -> None:
     key = "spark.sql.parquet.columnarReaderBatchSize"
     if int(spark.conf.get(key, "4096")) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    key = "parquet.block.size"
+    if int(spark.conf.get(key, "134217728")) > GROUP_BYTES:
+        spark.conf.set(key, str(GROUP_BYTES))
 
 
 def bounded_session(spark: SparkSession) -> SparkSession:
