@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from sparkloom.sources import tables
 
 # What the status lines look like.
 MATCH, KW, KW_MAX = r'match:\s*"([^"]*)"', r"kwRaw=([0-9.]+)", r"kwMax=([0-9.]+)"
@@ -125,3 +130,54 @@ def phase_shares(rows: DataFrame, phase: str, seconds: str) -> DataFrame:
     sums = rows.groupBy(phase).agg(F.sum(seconds).alias("seconds"))
     total = sums.agg(F.sum("seconds").alias("total"))  # one row
     return sums.join(F.broadcast(total)).select(phase, "seconds", F.try_divide(100 * F.col("seconds"), F.col("total")).alias("share"))
+
+
+def exact_median(rows: DataFrame, key: str, value: str, most: int = 10_000, pieces: int = 64) -> DataFrame:
+    """(key, median, n): the middle value of each key, or the mean of the two, and its rows.
+
+    Selection by ranks: approximate quantiles cut a key's values into ``pieces``, exact counts
+    tell which piece has the wanted rank, and only that piece is looked into again, until it
+    holds ``most`` values at most or equal ones only. No group holds a key's values, and what
+    is shuffled are counts. Null values have no rank but count as rows; keys of null values
+    alone have a null median.
+    """
+    base = rows.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
+    sizes = tables.cut(base.groupBy("k").agg(F.count("*").alias("n"), F.count("v").alias("held"), F.min("v").alias("lo"), F.max("v").alias("hi")), "sizes")
+    ranks = F.array_distinct(F.array(F.floor((F.col("held") - 1) / 2), F.floor(F.col("held") / 2)))
+    # a row for a key and a rank: it lies among the ``held`` values from lo to hi, ``below`` are less
+    state = sizes.where("held > 0").select("k", F.explode(ranks).alias("rank"), F.lit(0).cast("long").alias("below"), "held", "lo", "hi")
+    done = []
+
+    def among(found: DataFrame, *columns: str) -> DataFrame:
+        """Values of ``base`` from lo to hi of a state's rows, with columns of them."""
+        met = base.where(F.col("v").isNotNull()).join(found.withColumnRenamed("k", "key"), F.col("k").eqNullSafe(F.col("key")) & F.col("v").between(F.col("lo"), F.col("hi")))
+        return met.select("k", "rank", *columns, "v")
+
+    def matched(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Rows of one key and rank."""
+        renamed = right.withColumnRenamed("k", "key").withColumnRenamed("rank", "at")
+        return left.join(renamed, F.col("k").eqNullSafe(F.col("key")) & (F.col("rank") == F.col("at"))).drop("key", "at")
+
+    while True:
+        state = tables.cut(state, "ranks")
+        narrow = (F.col("lo") == F.col("hi")) | (F.col("held") <= most)
+        done.append(state.where(narrow))
+        left = state.where(~narrow)
+        if not left.limit(1).count():
+            break
+        cuts = F.percentile_approx("v", [i / pieces for i in range(1, pieces)], 10_000).alias("cuts")
+        second = F.max(F.when(F.col("v") < F.col("hi"), F.col("v"))).alias("second")  # so that a piece is always taken off
+        edges = among(left, "hi").groupBy("k", "rank").agg(cuts, second)
+        ends = F.array_append(F.filter(F.array_append("cuts", F.col("second")), lambda c: c < F.col("hi")), F.col("hi"))
+        edged = tables.cut(matched(left, edges).withColumn("ends", F.array_distinct(ends)), "edges")
+        piece = F.size(F.filter("ends", lambda e: e < F.col("v"))).alias("piece")
+        counts = among(edged, "ends").groupBy("k", "rank", piece).agg(F.count("*").alias("c"), F.min("v").alias("first"), F.max("v").alias("last"))
+        upto = F.sum("c").over(W.partitionBy("k", "rank").orderBy("piece"))  # a row a piece
+        start = F.col("below") + F.col("upto") - F.col("c")
+        found = matched(left, counts.withColumn("upto", upto)).where((start <= F.col("rank")) & (F.col("rank") < start + F.col("c")))
+        state = found.select("k", "rank", start.alias("below"), F.col("c").alias("held"), F.col("first").alias("lo"), F.col("last").alias("hi"))
+    ends = reduce(DataFrame.union, done)
+    few = among(ends.where("lo < hi"), "below").groupBy("k", "rank", "below").agg(F.sort_array(F.collect_list("v")).alias("vs"))  # ``most`` values
+    picked = ends.where("lo = hi").select("k", F.col("lo").alias("x")).union(few.select("k", F.get("vs", (F.col("rank") - F.col("below")).cast("int"))))
+    middle = picked.groupBy("k").agg(F.avg("x").alias("median")).withColumnRenamed("k", "key")
+    return sizes.join(middle, F.col("k").eqNullSafe(F.col("key")), "left").select(F.col("k").alias(key), "median", "n")
