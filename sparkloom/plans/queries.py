@@ -6,6 +6,8 @@ Floating-point results are rounded so that summation order can't show.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -844,7 +846,8 @@ def label_rollup(spark, sf_dir):
 
 @query("SELECT event_type, round(median(value), 6) AS median, count(*) AS n FROM events GROUP BY event_type")
 def median_of_repeats(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"), F.count("*").alias("n"))
+    found = evaluate.exact_median(table(spark, sf_dir, "events"), "event_type", "value")
+    return found.withColumn("median", F.round("median", 6))
 
 
 @query("SELECT event_type, round(sum(value), 4) AS seconds, round(100 * sum(value) / (SELECT sum(value) FROM events), 6) AS share FROM events GROUP BY event_type")
@@ -874,11 +877,22 @@ def _problem(spark, sf_dir, transform=None, size=64):
     return solvers.add_ridge(a, RIDGE), b
 
 
-def _given_back(spark, a: np.ndarray, x: np.ndarray, b: np.ndarray, digits: int = 3) -> DataFrame:
-    """(feature, target, rhs): the cells of A x for the targets that have rows."""
-    rhs, own = a @ x, b.any(axis=0)
-    rows = [(int(i), int(j), round(float(rhs[i, j]), digits) + 0.0) for i in range(x.shape[0]) for j in np.flatnonzero(own)]
-    return spark.createDataFrame(rows, "feature int, target int, rhs double")
+def _given_back(spark, sf_dir, x: np.ndarray, b: np.ndarray, digits: int = 3) -> DataFrame:
+    """(feature, target, rhs): the cells of A x for the targets that have rows. A isn't the
+    matrix that was solved with: each row's part z (z x) is added up from the table."""
+    own, shared = np.flatnonzero(b.any(axis=0)), spark.sparkContext.broadcast(x)
+
+    def parts(batches):
+        total = RIDGE * shared.value if TaskContext.get().partitionId() == 0 else np.zeros_like(shared.value)
+        for batch in batches:
+            if batch.num_rows:
+                z = features.lists_to_matrix(batch.column("embedding")).astype(np.float64)
+                total = total + z.T @ (z @ shared.value)
+        i, j = np.divmod(np.arange(own.size * len(total)), own.size)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(own[j].astype(np.int32)), pa.array(total[:, own].ravel())], ["feature", "target", "v"])
+
+    rows = table(spark, sf_dir, "embeddings").where("label is not null").select("embedding")
+    return rows.mapInArrow(parts, "feature int, target int, v double").groupBy("feature", "target").agg((F.round(F.sum("v"), digits) + 0.0).alias("rhs"))
 
 
 def _no_rhs(spark) -> DataFrame:
@@ -889,7 +903,7 @@ def _no_rhs(spark) -> DataFrame:
 def ridge_solve(spark, sf_dir):
     """Direct ridge solution, multiplied back."""
     problem = _problem(spark, sf_dir)
-    return _no_rhs(spark) if problem is None else _given_back(spark, problem[0], solvers.solve(*problem).x, problem[1])
+    return _no_rhs(spark) if problem is None else _given_back(spark, sf_dir, solvers.solve(*problem).x, problem[1])
 
 
 @query(_RHS)
@@ -902,7 +916,7 @@ def pcg_solve(spark, sf_dir):
     x = np.zeros_like(b)
     for r in solvers.column_cg(spark, a, b, tol=1e-10).collect():  # a row per target
         x[:, r["column"]] = r["x"]
-    return _given_back(spark, a, x, b)
+    return _given_back(spark, sf_dir, x, b)
 
 
 @query(_RHS)
@@ -911,7 +925,7 @@ def power_solve(spark, sf_dir):
     problem = _problem(spark, sf_dir)
     if problem is None:
         return _no_rhs(spark)
-    return _given_back(spark, problem[0], solvers.solve(*problem, "power", ridge=RIDGE, tol=1e-13, max_iter=200_000).x, problem[1])
+    return _given_back(spark, sf_dir, solvers.solve(*problem, "power", ridge=RIDGE, tol=1e-13, max_iter=200_000).x, problem[1])
 
 
 @query("SELECT DISTINCT label AS target, true AS solved FROM embeddings WHERE label IS NOT NULL")
@@ -1016,3 +1030,6 @@ def solver_benchmark(spark, sf_dir):
         gap = float(np.linalg.norm(r.x - exact) / np.linalg.norm(exact))
         rows.append((name, r.converged, gap < 1e-4))
     return spark.createDataFrame(rows, "solver string, converged boolean, agrees boolean")
+
+
+from sparkloom.plans import linear  # noqa: E402, F401  registers its queries here
