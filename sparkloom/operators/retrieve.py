@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sparkloom.sources import tables
+
 # The combined score's weights.
 KEYWORD_SHARE, MEANING_SHARE = 0.65, 0.35
 #: Size up to which a table of vectors is sent to every task.
@@ -53,6 +55,161 @@ def score(queries: DataFrame, entries: DataFrame) -> DataFrame:
     return met.select("query_id", "entry_id", "kw_raw", "s_kw", "cosine", total.alias("score"))
 
 
+# ---- the best entries, by upper bounds
+
+#: Tokens of the queries that one pass over the entries takes along; more queries take more
+#: passes.
+PASS_TOKENS = 1_000_000
+#: Cells (entries times queries) that are scored at once.
+BLOCK_CELLS = 2_000_000
+#: Scores are compared at 9 digits: what may still round up to a bound isn't left out.
+MARGIN = 2e-9
+FOUND = "kw_raw double, s_kw double, cosine double, score double"
+
+
+def index(entries: DataFrame) -> DataFrame:
+    """(entry_id, tokens, impacts) of a weighted table, a row an entry: impacts are weights
+    over the entry's norm."""
+    rows = entries.groupBy("entry_id").agg(F.collect_list(F.struct("token", "w")).alias("e"))  # an entry's distinct tokens
+    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x["w"] * x["w"])) + 1e-10
+    return rows.withColumn("norm", norm).select("entry_id", F.col("e.token").alias("tokens"), F.transform("e", lambda x: x["w"] / F.col("norm")).alias("impacts"))
+
+
+class Asked:
+    """A block of queries by token, and what a query's most frequent tokens add at most.
+
+    A token adds its keyword share, and its unit weight times its impact. The impacts of an
+    entry are a unit vector, so tokens together add their keyword shares and the norm of their
+    unit weights at most. ``upto`` is that bound of a token and all more frequent ones of its
+    query: those whose bound falls short of the score to reach are set aside.
+    """
+
+    def __init__(self, rows: pa.Table):
+        ids = rows["query_id"].combine_chunks().dictionary_encode()
+        self.ids, query = ids.dictionary, ids.indices.to_numpy()
+        tokens = rows["token"].combine_chunks().dictionary_encode()
+        self.words, word = tokens.dictionary, tokens.indices.to_numpy()
+        idf, unit = rows["idf"].to_numpy(), rows["unit"].to_numpy()
+        self.size, self.possible = len(self.ids), np.bincount(query, idf, minlength=len(self.ids))
+        order = np.lexsort((word, idf, query))  # frequent tokens have a small idf
+        query, word, idf, unit = (x[order] for x in (query, word, idf, unit))
+        keyword = np.divide(KEYWORD_SHARE * idf, self.possible[query], out=np.zeros_like(idf), where=self.possible[query] > 0)
+        first = np.searchsorted(query, query)
+        sums = [np.cumsum(x) for x in (keyword, unit * unit)]
+        sums = [c - (c[first] - x[first]) for c, x in zip(sums, (keyword, unit * unit), strict=True)]
+        upto = sums[0] + MEANING_SHARE * np.sqrt(np.maximum(sums[1], 0))
+        self.first = np.searchsorted(query, np.arange(self.size + 1))  # by query, frequent tokens first
+        self.query_word, self.query_idf, self.query_unit, self.query_upto = word, idf, unit, upto
+        turn = np.argsort(word, kind="stable")
+        self.query, self.word, self.idf, self.unit, self.keyword, self.upto = (x[turn] for x in (query, word, idf, unit, keyword, upto))
+
+    def essential(self, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens not set aside, by word: which, where each word's begin, and for each query
+        the number of tokens set aside and what they add at most."""
+        use = np.flatnonzero(self.upto >= goal[self.query] - MARGIN)
+        start = np.searchsorted(self.word[use], np.arange(len(self.words) + 1))
+        aside = self.query_upto < np.repeat(goal - MARGIN, np.diff(self.first))
+        count = np.add.reduceat(aside, self.first[:-1]) if self.size else np.zeros(0, np.int64)
+        last = self.first[:-1] + np.maximum(count, 1) - 1
+        return use, start, count, np.where(count > 0, self.query_upto[last], 0.0)
+
+
+class Finder:
+    """The ``k`` best entries of each query among those seen so far. ``scored`` counts the
+    pairs whose score was made up, ``met`` those with a token that isn't set aside."""
+
+    def __init__(self, asked: Asked, k: int):
+        self.asked, self.k, self.met, self.scored = asked, k, 0, 0
+        self.goal = np.full(asked.size, -np.inf)
+        self.best: list[tuple] = [()] * asked.size
+
+    def see(self, entry_ids: list, entry: np.ndarray, word: np.ndarray, impact: np.ndarray) -> None:
+        """Entries and their tokens among the queries': entry's place, word, impact."""
+        a, n = self.asked, self.asked.size
+        use, start, count, rest = a.essential(self.goal)
+        times = start[word + 1] - start[word]
+        hit = np.repeat(np.arange(word.size), times)
+        row = use[np.arange(hit.size) - np.repeat(np.cumsum(times) - times, times) + np.repeat(start[word], times)]
+        part = np.bincount(entry[hit] * n + a.query[row], a.keyword[row] + MEANING_SHARE * a.unit[row] * impact[hit], minlength=len(entry_ids) * n)
+        pairs = np.flatnonzero(part > 0)
+        self.met += pairs.size
+        e, q = np.divmod(pairs, n)
+        likely = part[pairs] + rest[q] >= self.goal[q] - MARGIN
+        e, q = e[likely], q[likely]
+        self.scored += e.size
+        if not e.size:
+            return
+        # whole scores of what is left: the query's tokens, looked up among the entry's
+        key = entry * len(a.words) + word
+        order = np.argsort(key)
+        key, of = key[order], impact[order]
+        size = a.first[q + 1] - a.first[q]
+        pair = np.repeat(np.arange(e.size), size)
+        at = np.arange(pair.size) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a.first[q], size)
+        wanted = e[pair] * len(a.words) + a.query_word[at]
+        place = np.minimum(np.searchsorted(key, wanted), key.size - 1)
+        has = key[place] == wanted
+        kw = np.bincount(pair[has], a.query_idf[at[has]], minlength=e.size)
+        cos = np.bincount(pair[has], a.query_unit[at[has]] * of[place[has]], minlength=e.size)
+        share = np.divide(kw, a.possible[q], out=np.zeros_like(kw), where=a.possible[q] > 0)
+        score = KEYWORD_SHARE * share + MEANING_SHARE * np.maximum(cos, 0)
+        for i in np.flatnonzero(score >= self.goal[q] - MARGIN).tolist():
+            self.best[q[i]] += ((-round(score[i], 9), entry_ids[e[i]], kw[i], share[i], cos[i], score[i]),)
+        for j in np.unique(q).tolist():
+            if len(self.best[j]) > self.k:
+                self.best[j] = tuple(sorted(self.best[j], key=lambda x: x[:2])[: self.k])
+            if len(self.best[j]) == self.k:
+                self.goal[j] = self.best[j][-1][5]
+
+    def see_batch(self, batch: pa.RecordBatch) -> None:
+        tokens, a = batch.column("tokens"), self.asked
+        entry = np.repeat(np.arange(batch.num_rows), tokens.value_lengths().to_numpy(zero_copy_only=False))
+        word = pc.index_in(tokens.flatten(), value_set=a.words)
+        known = word.is_valid().to_numpy(zero_copy_only=False)
+        impact = batch.column("impacts").flatten().to_numpy(zero_copy_only=False)
+        self.see(batch.column("entry_id").to_pylist(), entry[known], word.drop_null().to_numpy().astype(np.int64), impact[known])
+
+
+def search(queries: DataFrame, entries: DataFrame, k: int = 1, pass_tokens: int = PASS_TOKENS) -> DataFrame:
+    """The rows of ``best(score(queries, entries), k)``, without their pairs: the entries
+    stream past a stated set of queries, in passes of ``pass_tokens`` of their tokens.
+
+    A task holds the k best entries of each query so far. Tokens of a query that can't reach
+    the k-th score together are set aside; a pair that shares nothing else isn't looked at, and
+    one whose other tokens and the most that those may add fall short isn't scored. Tasks hand
+    on k rows a query. Weights aren't negative; queries without a token that an entry has get
+    no rows.
+    """
+    spark, indexed = queries.sparkSession, index(entries)
+    asked = tables.cut(queries.select("query_id", "token", "idf", "unit"), "asked")
+    total = asked.count()
+    passes = max(1, -(-total // pass_tokens))
+    asked = asked.withColumn("pass", F.pmod(F.xxhash64("query_id"), F.lit(passes)))
+    if passes > 1:
+        indexed = tables.cut(indexed, "index")
+    kinds = {c: dict(queries.dtypes + entries.dtypes)[c] for c in ("query_id", "entry_id")}
+    schema = f"query_id {kinds['query_id']}, entry_id {kinds['entry_id']}, {FOUND}"
+    found = None
+    for p in range(passes):
+        shared = spark.sparkContext.broadcast(asked.where(F.col("pass") == p).drop("pass").toArrow())
+
+        def run(batches, shared=shared):
+            asked_now = Asked(shared.value)
+            finder, each = Finder(asked_now, k), max(BLOCK_CELLS // max(asked_now.size, 1), 1)
+            for whole in batches:
+                for at in range(0, whole.num_rows if asked_now.size else 0, each):
+                    finder.see_batch(whole.slice(at, each))
+            rows = [(j, *r[1:]) for j, best_of in enumerate(finder.best) for r in best_of]
+            if rows:
+                columns = list(zip(*rows, strict=True))
+                ids = [asked_now.ids.take(pa.array(columns[0])), pa.array(columns[1], whole.schema.field("entry_id").type)]
+                yield pa.RecordBatch.from_arrays([*ids, *(pa.array(c, pa.float64()) for c in columns[2:])], ["query_id", "entry_id", "kw_raw", "s_kw", "cosine", "score"])
+
+        part = indexed.mapInArrow(run, schema)
+        found = part if found is None else found.union(part)
+    return best(found, k)
+
+
 def best(scored: DataFrame, k: int = 1, digits: int = 9) -> DataFrame:
     """The k best entries of each query, rank from 1. Scores are compared at ``digits``
     places, so that summation order can't decide."""

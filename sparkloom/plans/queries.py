@@ -629,13 +629,14 @@ def pair_embedding(spark, sf_dir):
     return found.select(part[0].cast("long").alias("conv_id"), part[1].cast("long").alias("turn"), "dim", "value")
 
 
-def _scored(spark, sf_dir):
+def _found(spark, sf_dir, k: int):
+    """The k best documents of each benchmark item."""
     counts = tables.cut(_counts(spark, sf_dir), "counts")
     weights = _idf(spark, sf_dir, counts)
     asked = vocab.row_counts(table(spark, sf_dir, "benchmark"), "item_id")
     q = retrieve.tfidf(asked, weights).withColumnRenamed("doc_id", "query_id")
     e = retrieve.weighted(counts, weights).withColumnRenamed("doc_id", "entry_id")
-    return retrieve.score(q, e)
+    return retrieve.search(q, e, k)
 
 
 _SCORE = f"""WITH {TOK}, {IDF}, bt AS (SELECT item_id, unnest({WORDS}) AS token FROM benchmark), bc AS (SELECT item_id AS query_id, token, count(*) AS n FROM bt GROUP BY ALL),
@@ -648,13 +649,13 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 
 @query(f"{_SCORE} SELECT query_id, rank, entry_id, round(kw_raw, 6) AS kw_raw, round(score, 6) AS score FROM rk WHERE rank <= 3")
 def retrieve_answer(spark, sf_dir):
-    return retrieve.best(_scored(spark, sf_dir), 3).select("query_id", "rank", "entry_id", F.round("kw_raw", 6).alias("kw_raw"), F.round("score", 6).alias("score"))
+    return _found(spark, sf_dir, 3).select("query_id", "rank", "entry_id", F.round("kw_raw", 6).alias("kw_raw"), F.round("score", 6).alias("score"))
 
 
 @query(f"{_SCORE} SELECT item_id AS query_id, CASE WHEN kw_raw >= 12 THEN entry_id END AS entry_id, round(coalesce(kw_raw, 0), 6) AS kw_raw, coalesce(kw_raw < 12, true) AS is_fallback FROM (SELECT DISTINCT item_id FROM benchmark) b LEFT JOIN rk ON query_id = item_id AND rank = 1")
 def retrieve_fallback(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    return retrieve.with_fallback(asked, retrieve.best(_scored(spark, sf_dir), 1), 12.0).withColumn("kw_raw", F.round("kw_raw", 6))
+    return retrieve.with_fallback(asked, _found(spark, sf_dir, 1), 12.0).withColumn("kw_raw", F.round("kw_raw", 6))
 
 
 _GREETINGS = (("Hallo", -1), ("hi", -2), ("guten morgen", -3))
@@ -667,7 +668,7 @@ def greeting_shortcut(spark, sf_dir):
     """Benchmark items and four short texts: greetings take their own answers at once."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     asked = asked.unionByName(spark.createDataFrame([(i, t) for t, i in _GREETED], "query_id long, text string"))
-    answers = retrieve.with_fallback(asked, retrieve.best(_scored(spark, sf_dir), 1), 12.0)
+    answers = retrieve.with_fallback(asked, _found(spark, sf_dir, 1), 12.0)
     known = spark.createDataFrame(_GREETINGS, "text string, entry_id long")
     return retrieve.greet(asked, known, answers).withColumn("kw_raw", F.round("kw_raw", 6))
 
