@@ -9,14 +9,12 @@ verified on their complete fingerprints.
 radius = m*q + a over m segments, one of the first a+1 segments differs in at most q bits
 or one of the others in at most q-1. ``near_copies`` links texts whose word shingles have
 a Jaccard similarity of 0.8 or more: its tables are as many as that similarity asks for
-at a stated recall, and what the fingerprints let through is verified on the shingles.
-
-Equal fingerprints are one row before any of this. A dense bucket doesn't emit its pairs:
-where links count as they are it emits a spanning forest of them; where they still have to
-be verified, each row's nearest ones, and rows that have more take part in a further round,
-which leaves out the pairs that are in one group by then. A bucket past ``bucket_max`` isn't
-gathered: its table rows are dealt into blocks that the bucket's other rows stream past,
-with the same result.
+at a stated recall. What it brings together, directly or through others, is one candidate
+group, and within such groups every pair is compared, on sketches and then on the shingles.
+
+Equal fingerprints are one row before any of this. A bucket emits a spanning forest of
+its links, not its pairs. A bucket past ``bucket_max`` isn't gathered: its table rows are
+dealt into blocks that the bucket's other rows stream past, with the same result.
 """
 
 from __future__ import annotations
@@ -24,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -51,11 +49,10 @@ COPY_WORDS, COPY_SIMILARITY, COPY_RECALL = 5, 0.8, 0.98
 #: Words of a fingerprint that travel with its table rows, and their bits' radius: at the
 #: least similarity almost all pairs differ in fewer, and hardly any other do.
 COPY_CHECK, COPY_RADIUS = 2, 36
-#: Nearest links that a row of a dense bucket emits in the first round, and how many times
-#: as many in each further one.
-NEAREST, NEAREST_GROWTH = 8, 4
-#: Partners that one copy of a text's shingles is verified against.
-PARTNERS = 256
+#: Bytes of shingles of a candidate group that a task holds while others stream past.
+GROUP_BYTES = 16_000_000
+#: Places of a sketch, and standard deviations that its estimate may fall short by.
+SKETCH, SKETCH_SLACK = 256, 4.0
 #: A segment has this many bits less than the corpus's size, so that buckets stay small.
 COPY_SLACK = 4
 
@@ -173,34 +170,9 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
 
 
-@dataclass(frozen=True)
-class Rule:
-    """When two rows of a bucket are linked: their first ``words`` columns differ in at most
-    ``radius`` bits. With ``similarity`` the column after them is a set's size, and sizes
-    too far apart for it aren't linked; with ``labelled`` the last column is a group, and
-    rows of one aren't either. ``nearest`` is how many links a row of a dense bucket emits;
-    0 means a spanning forest of all."""
-
-    radius: int
-    words: int
-    similarity: float = 0.0
-    labelled: bool = False
-    nearest: int = 0
-
-    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Differing bits, broadcast; more than the radius for pairs that aren't linked."""
-        bits = _apart(x[..., : self.words], y[..., : self.words])
-        if self.similarity:
-            one, other = x[..., self.words].astype(np.int64), y[..., self.words].astype(np.int64)
-            bits = np.where(np.minimum(one, other) >= self.similarity * np.maximum(one, other), bits, self.radius + 1)
-        if self.labelled:
-            bits = np.where(x[..., -1] != y[..., -1], bits, self.radius + 1)
-        return bits
-
-
 def _forest(node: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links, (root, row): each newly reached row leaves the pool, so
-    a tight group costs about one pass per few members. Only what it connects counts."""
+    """Spanning forest of the links: each newly reached row leaves the pool, so a tight
+    group costs about one pass per few members."""
     node, first = np.unique(node, return_index=True)
     fp, a, b = fp[first], [], []
     while node.size > 1:
@@ -216,49 +188,13 @@ def _forest(node: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray,
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _pick(bits: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, dropped) of a block of distances: each row's links, or the nearest if
-    it has more; ``dropped`` marks the links that were left."""
-    near = bits <= rule.radius
-    many = np.flatnonzero(near.sum(axis=1) > rule.nearest)
-    if many.size:
-        keep = np.zeros((many.size, bits.shape[1]), bool)
-        np.put_along_axis(keep, np.argpartition(bits[many], rule.nearest - 1, axis=1)[:, : rule.nearest], True, axis=1)
-        dropped = np.zeros_like(near)
-        dropped[many] = near[many] & ~keep
-        near[many] &= keep
-    else:
-        dropped = np.zeros((0, bits.shape[1]), bool)
-    return *np.nonzero(near), dropped
-
-
-def _nearest(node: np.ndarray, fp: np.ndarray, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links of a dense bucket, each one really seen: every row's nearest. A row that has
-    more is linked with itself."""
-    each = max(PAIRS_AT_ONCE // node.size, 1)
-    for at in range(0, node.size, each):
-        bits = rule.apart(fp[at : at + each, None, :], fp[None])
-        here = np.arange(len(bits))
-        bits[here, at + here] = rule.radius + 1
-        i, j, dropped = _pick(bits, rule)
-        more = node[at + np.flatnonzero(dropped.any(axis=1))]
-        yield np.concatenate([node[at + i], more]), np.concatenate([node[j], more])
-
-
-def _verify(code: np.ndarray, looks: np.ndarray, node: np.ndarray, fp: np.ndarray, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _verify(code: np.ndarray, looks: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links of whole buckets, rows sorted by code with table rows first."""
-
-    def dense_links(lo: int, hi: int):
-        if rule.nearest:
-            yield from _nearest(node[lo:hi], fp[lo:hi], rule)
-        else:
-            yield _forest(node[lo:hi], fp[lo:hi], rule.radius)
-
     start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
     end = np.append(start[1:], code.size)
     size = end - start
     for g in np.flatnonzero((size > DENSE) & ~looks[start]):
-        yield from dense_links(start[g], end[g])
+        yield _forest(node[start[g] : end[g]], fp[start[g] : end[g]], radius)
     group = np.repeat(np.arange(start.size, dtype=np.int32), size)
     table = np.flatnonzero(~looks & (size[group] > 1) & (size[group] <= DENSE))
     rest = end[group[table]] - table - 1
@@ -268,14 +204,14 @@ def _verify(code: np.ndarray, looks: np.ndarray, node: np.ndarray, fp: np.ndarra
         left, count = table[chunk == c], rest[chunk == c]
         i = np.repeat(left, count)
         j = i + 1 + np.arange(i.size) - np.repeat(np.cumsum(count) - count, count)
-        close = rule.apart(fp[i], fp[j]) <= rule.radius
+        close = _apart(fp[i], fp[j]) <= radius
         i, j = i[close], j[close]
         if not i.size:
             continue
         own = group[i]
         dense = np.flatnonzero(np.bincount(own, minlength=start.size) > 2 * size)
         for g in dense:
-            yield from dense_links(start[g], end[g])
+            yield _forest(node[start[g] : end[g]], fp[start[g] : end[g]], radius)
         sparse = ~np.isin(own, dense)
         if sparse.any():
             yield node[i[sparse]], node[j[sparse]]
@@ -285,7 +221,7 @@ def _unpacked(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
     return np.stack([batch.column(n).to_numpy().view(np.uint64) for n in names], axis=1)
 
 
-def bucket_links(rows: DataFrame, words: list[str], rule: Rule, bucket_max: int = BUCKET_MAX) -> DataFrame:
+def bucket_links(rows: DataFrame, words: list[str], radius: int, bucket_max: int = BUCKET_MAX) -> DataFrame:
     """(a, b, code, looks, words) from sorted buckets: links (a, b), or rows of buckets over
     ``bucket_max`` rows as they came, with a null b."""
     schema = "a long, b long, code long, looks boolean, " + ", ".join(f"{w} long" for w in words)
@@ -316,44 +252,29 @@ def bucket_links(rows: DataFrame, words: list[str], rule: Rule, bucket_max: int
             open_from = int(np.searchsorted(held[0], held[0][-1]))
             whole, held = [x[:open_from] for x in held], [x[open_from:] for x in held]
             if whole[0].size:
-                yield from (link(a, b) for a, b in _verify(*whole, rule) if a.size)
+                yield from (link(a, b) for a, b in _verify(*whole, radius) if a.size)
             if held[0].size > bucket_max:
                 skipped = held[0][-1]
                 yield passed(held)
                 held = [x[:0] for x in held]
         if held is not None and held[0].size:
-            yield from (link(a, b) for a, b in _verify(*held, rule) if a.size)
+            yield from (link(a, b) for a, b in _verify(*held, radius) if a.size)
 
     sorted_rows = rows.repartition(common.shuffle_parts(rows.sparkSession), "code").sortWithinPartitions("code", "looks")
     return sorted_rows.select("code", "looks", "node", *words).mapInArrow(run, schema)
 
 
-def _rooted(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Root of each node by a forest's edges, which run from a root to its others."""
-    out = node.copy()
-    if b.size:
-        order = np.argsort(b)
-        at = np.minimum(np.searchsorted(b[order], node), b.size - 1)
-        hit = b[order][at] == node
-        out[hit] = a[order][at][hit]
-    return out
-
-
-def block_links(over: DataFrame, words: list[str], rule: Rule, block: int = BUCKET_MAX) -> DataFrame:
+def block_links(over: DataFrame, words: list[str], radius: int, block: int = BUCKET_MAX) -> DataFrame:
     """(a, b) links of buckets too large for one task, any radius: their table rows are
     dealt into blocks of about ``block``, and every row of the bucket streams past each
-    block. A row hands on one link per group of the block that it touches, or its nearest
-    ones; rows whose links were left are linked with themselves."""
+    block. A row hands on one link per group of the block that it touches."""
     sizes = over.where("not looks").groupBy("code").agg(F.ceil(F.count("*") / block).alias("blocks"))
     rows = over.join(sizes, "code")
     own = rows.where("not looks").select("code", F.pmod(F.xxhash64("a"), "blocks").alias("block"), F.lit(False).alias("streams"), F.col("a").alias("node"), *words)
     past = rows.select("code", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("streams"), F.col("a").alias("node"), *words)
 
-    def pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b))], ["a", "b"])
-
     def run(batches):
-        key, table, fp, label, left = None, [], None, None, None
+        key, table, fp, label = None, [], None, None
         for batch in batches:
             codes = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
             streams, node, rows_fp = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(), _unpacked(batch, words)
@@ -362,52 +283,43 @@ def block_links(over: DataFrame, words: list[str], rule: Rule, block: int = BUCK
                 if lo == hi:
                     continue
                 if key != tuple(codes[lo]):
-                    if left is not None and left.any():
-                        yield pair_batch(label[left], label[left])
-                    key, table, label, left = tuple(codes[lo]), [], None, None
+                    key, table, label = tuple(codes[lo]), [], None
                 if not streams[lo]:
                     table.append((node[lo:hi], rows_fp[lo:hi]))
                     continue
                 if not table:
                     continue
                 if label is None:
-                    label, fp = (np.concatenate(x) for x in zip(*table, strict=True))
-                    if rule.nearest:
-                        left = np.zeros(label.size, bool)
-                    else:
-                        a, b = _forest(label, fp, rule.radius)
-                        yield pair_batch(a, b)
-                        label = _rooted(label, a, b)
+                    own_node, fp = (np.concatenate(x) for x in zip(*table, strict=True))
+                    a, b = _forest(own_node, fp, radius)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    # the forest's edges run from a group's first node to its others
+                    label = own_node.copy()
+                    order = np.argsort(b)
+                    at = np.minimum(np.searchsorted(b[order], own_node), max(b.size - 1, 0))
+                    if b.size:
+                        hit = b[order][at] == own_node
+                        label[hit] = a[order][at][hit]
                 for at in range(lo, hi, 64):
-                    bits = rule.apart(rows_fp[at : min(at + 64, hi), None, :], fp[None])
-                    if rule.nearest:
-                        bits[node[at : at + len(bits), None] == label[None]] = rule.radius + 1
-                        i, j, dropped = _pick(bits, rule)
-                        more = node[at + np.flatnonzero(dropped.any(axis=1))]
-                        left |= dropped.any(axis=0)
-                        met = np.stack([np.concatenate([node[at + i], more]), np.concatenate([label[j], more])], axis=1)
-                    else:
-                        i, j = np.nonzero(bits <= rule.radius)
-                        met = np.unique(np.stack([node[at + i], label[j]], axis=1), axis=0) if i.size else np.zeros((0, 2), np.int64)
-                        met = met[met[:, 0] != met[:, 1]]
+                    near = _apart(rows_fp[at : min(at + 64, hi), None, :], fp[None]) <= radius
+                    i, j = np.nonzero(near)
+                    met = np.unique(np.stack([node[at + i], label[j]], axis=1), axis=0) if i.size else np.zeros((0, 2), np.int64)
+                    met = met[met[:, 0] != met[:, 1]]
                     if len(met):
-                        yield pair_batch(met[:, 0], met[:, 1])
-        if left is not None and left.any():
-            yield pair_batch(label[left], label[left])
+                        yield pa.RecordBatch.from_arrays([pa.array(met[:, 0].copy()), pa.array(met[:, 1].copy())], ["a", "b"])
 
     spread = own.unionByName(past).repartition(common.shuffle_parts(over.sparkSession), "code", "block").sortWithinPartitions("code", "block", "streams")
     return spread.mapInArrow(run, "a long, b long")
 
 
-def links_of(rows: DataFrame, segs: list[Segment], words: list[str], rule: Rule, bucket_max: int = BUCKET_MAX) -> DataFrame:
-    """(a, b): links among ``rows`` (node, and the columns of the rule), enough to connect
-    all that the index brings together; or, by the rule, those that were seen, with rows that
-    have more of them linked with themselves."""
+def links_of(rows: DataFrame, segs: list[Segment], words: list[str], radius: int, bucket_max: int = BUCKET_MAX) -> DataFrame:
+    """(a, b): links among ``rows`` (node and fingerprint words), enough to connect all
+    that the index brings together within ``radius``."""
     spread = rows.repartition(common.shuffle_parts(rows.sparkSession), "node")
-    found = common.cut(bucket_links(probes(spread, segs, ["node", *words]), words, rule, bucket_max), "links")
+    found = common.cut(bucket_links(probes(spread, segs, ["node", *words]), words, radius, bucket_max), "links")
     edges, over = found.where("b is not null").select("a", "b"), found.where("b is null")
     if over.limit(1).count():
-        edges = edges.unionByName(block_links(over.select("a", "code", "looks", *words), words, rule, bucket_max))
+        edges = edges.unionByName(block_links(over.select("a", "code", "looks", *words), words, radius, bucket_max))
     return edges
 
 
@@ -423,7 +335,7 @@ def near_groups(prints: DataFrame, radius: int = RADIUS, parts: int | None = Non
     fps = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
     if parts is None:
         parts = 3 if fps.count() < 2**27 else 2
-    roots = components(links_of(fps.select(F.col("fp").alias("node"), F.col("fp").alias("f0")), segments(parts, radius), ["f0"], Rule(radius, 1), bucket_max))
+    roots = components(links_of(fps.select(F.col("fp").alias("node"), F.col("fp").alias("f0")), segments(parts, radius), ["f0"], radius, bucket_max))
     rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = common.cut(rooted, "roots")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -491,106 +403,169 @@ def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
 
 
 def copy_prints(rows: DataFrame, words: int, width: int = COPY_WORDS) -> DataFrame:
-    """(doc_id, node, size, f0, ...) of rows of doc_id and text; size is the number of
-    distinct shingles."""
+    """(doc_id, node, f0, ...) of rows of doc_id and text."""
     names = [f"f{k}" for k in range(words)]
 
     def run(batches):
         for batch in encoding.slices(batches, "text", SLICE_BYTES):
-            node, size, found = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, words), np.uint64)
+            node, found = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, words), np.uint64)
             for i, t in enumerate(batch.column("text")):
                 hashes = shingle_set(t.as_py(), width)
-                node[i], size[i], found[i] = set_key(hashes), hashes.size, wide_fingerprint(hashes, words)
+                node[i], found[i] = set_key(hashes), wide_fingerprint(hashes, words)
             columns = [np.ascontiguousarray(found[:, k]).view(np.int64) for k in range(words)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node), pa.array(size), *map(pa.array, columns)], ["doc_id", "node", "size", *names])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node), *map(pa.array, columns)], ["doc_id", "node", *names])
 
-    return rows.mapInArrow(run, "doc_id long, node long, size long, " + ", ".join(f"{n} long" for n in names))
+    return rows.mapInArrow(run, "doc_id long, node long, " + ", ".join(f"{n} long" for n in names))
 
 
 def shingle_sets(rows: DataFrame, width: int = COPY_WORDS) -> DataFrame:
-    """(node, shingles) of rows of node and text whose text has that node's shingles."""
+    """(root, node, shingles) of rows of root, node and text whose text has that node's
+    shingles."""
 
     def run(batches):
         for batch in encoding.slices(batches, "text", SLICE_BYTES):
-            nodes, sets = [], []
-            for node, t in zip(batch.column("node").to_pylist(), batch.column("text"), strict=True):
+            keep, sets = [], []
+            for i, (node, t) in enumerate(zip(batch.column("node").to_pylist(), batch.column("text"), strict=True)):
                 hashes = shingle_set(t.as_py(), width)
                 if set_key(hashes) == node:
-                    nodes.append(node)
+                    keep.append(i)
                     sets.append(hashes.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
-
-    return rows.mapInArrow(run, "node long, shingles array<long>")
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("root").take(at), batch.column("node").take(at), pa.array(sets, pa.list_(pa.int64()))], ["root", "node", "shingles"])
+
+    return rows.mapInArrow(run, "root long, node long, shingles array<long>")
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """One byte for each place that the hashes fall to: of the least hash there. 0 marks a
+    place that none falls to."""
+    out = np.zeros(SKETCH, np.uint8)
+    if hashes.size:
+        mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        order = np.argsort(mixed % np.uint64(SKETCH) * np.uint64(1 << 55) + (mixed >> np.uint64(9)))
+        place = (mixed[order] % np.uint64(SKETCH)).astype(np.int64)
+        own, first = np.unique(place, return_index=True)
+        out[own] = (mixed[order[first]] >> np.uint64(12)) % np.uint64(255) + np.uint64(1)
+    return out
 
 
-def verified(edges: DataFrame, sets: DataFrame, similarity: float, partners: int = PARTNERS) -> DataFrame:
-    """(a, b) of the edges whose ends' shingles have that Jaccard similarity. The shingles
-    of ``a`` travel once for each ``partners`` edges, which go to tasks of their own, so a
-    hub is neither shipped with each edge nor gathered."""
-    sized = edges.groupBy("a").agg(F.ceil(F.count("*") / partners).alias("blocks"))
-    left = sized.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"), F.col("a").alias("node"))
-    right = edges.join(sized, "a").select("a", F.pmod(F.xxhash64("b"), "blocks").alias("block"), "b", F.col("b").alias("node"))
-    rows = left.unionByName(right).join(sets, "node").drop("node")
+class Group:
+    """Rows of a candidate group that a task holds, in sets joined by verified links."""
+
+    def __init__(self, similarity: float):
+        self.similarity = similarity
+        self.node: list[int] = []
+        self.hashes: list[np.ndarray] = []
+        self.root: list[int] = []
+        self.known: dict[int, int] = {}
+        self.sketches, self.sizes = np.zeros((64, SKETCH), np.uint8), np.zeros(64, np.int64)
+
+    def find(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = i = self.root[self.root[i]]
+        return i
+
+    def likely(self, hashes: np.ndarray) -> np.ndarray:
+        """Rows that may be that similar, the likeliest first."""
+        n, size = len(self.node), hashes.size
+        fits = np.flatnonzero(np.minimum(self.sizes[:n], size) >= self.similarity * np.maximum(self.sizes[:n], size))
+        if not fits.size:
+            return fits
+        own, other = sketch(hashes), self.sketches[fits]
+        there = ((own != 0) | (other != 0)).sum(axis=1)
+        share = ((own == other) & (own != 0)).sum(axis=1) / np.maximum(there, 1)
+        slack = SKETCH_SLACK * np.sqrt(self.similarity * (1 - self.similarity) / np.maximum(there, 1))
+        near = np.flatnonzero((share >= self.similarity - slack) | (there == 0))
+        return fits[near[np.argsort(-share[near], kind="stable")]]
+
+    def similar(self, i: int, hashes: np.ndarray) -> bool:
+        shared = np.intersect1d(self.hashes[i], hashes, assume_unique=True).size
+        return shared >= self.similarity * (self.sizes[i] + hashes.size - shared)
+
+    def meet(self, node: int, hashes: np.ndarray) -> list[int]:
+        """Nodes of the rows that a row is linked with, one for each set of them."""
+        links: list[int] = []
+        joined: set[int] = set()
+        for i in self.likely(hashes).tolist():
+            root = self.find(i)
+            if root not in joined and self.similar(i, hashes):
+                joined.add(root)
+                links.append(self.node[i])
+        if len(joined) > 1:  # the row joins them
+            least = min(joined)
+            for root in joined:
+                self.root[root] = least
+        return links
+
+    def add(self, node: int, hashes: np.ndarray) -> list[int]:
+        links, n = self.meet(node, hashes), len(self.node)
+        if n == len(self.sizes):
+            self.sketches, self.sizes = np.concatenate([self.sketches, np.zeros_like(self.sketches)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        self.sketches[n], self.sizes[n] = sketch(hashes), hashes.size
+        self.node.append(node)
+        self.hashes.append(hashes)
+        self.known[node] = n
+        self.root.append(self.find(self.known[links[0]]) if links else n)
+        return links
+
+
+def verified(groups: DataFrame, similarity: float, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(a, b) links of rows (root, node, shingles) that join, within each candidate group
+    ``root``, all whose shingles have that Jaccard similarity, directly or through others.
+
+    A group's rows are dealt into blocks of about ``group_bytes``; a task holds a block while
+    its own rows and those of later blocks stream past. Pairs of one set are not compared
+    again, sketches settle most others (one at exactly the least similarity passes with a
+    probability of 0.9999), the rest are compared on the shingles. Only links that join two
+    sets are handed on, so there are no more of them than rows and blocks. Repeated nodes
+    are one.
+    """
+    weight = groups.groupBy("root").agg(F.ceil(F.sum(F.size("shingles") * 8.0 + 8) / group_bytes).alias("blocks"))
+    rows = groups.join(weight, "root").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = rows.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own"))).alias("block"), "own", "node", "shingles")
+    dealt = dealt.withColumn("streams", F.col("own") != F.col("block"))
 
     def run(batches):
-        key, own = None, None
+        key, group, links = None, None, []
         for batch in batches:
-            a, block, b = (batch.column(c).to_pylist() for c in ("a", "block", "b"))
-            sure = []
-            for i, (x, k, y) in enumerate(zip(a, block, b, strict=True)):
-                other = batch.column("shingles")[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                if y is None:
-                    key, own = (x, k), other.copy()
-                elif key == (x, k):
-                    shared = np.intersect1d(own, other, assume_unique=True).size
-                    if shared >= similarity * (own.size + other.size - shared):
-                        sure.append((x, y))
-            if sure:
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in sure], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    dealt = rows.repartition(common.shuffle_parts(edges.sparkSession), "a", "block").sortWithinPartitions("a", "block", F.asc_nulls_first("b"))
-    return dealt.select("a", "block", "b", "shingles").mapInArrow(run, "a long, b long")
-
-
-def near_copies(docs: DataFrame, by: str = "doc_id", text: str = "text", width: int = COPY_WORDS, similarity: float = COPY_SIMILARITY, bucket_max: int = BUCKET_MAX, nearest: int = NEAREST) -> DataFrame:
+            shingles = batch.column("shingles")
+            for i, (root, block, streams, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("root", "block", "streams", "node")), strict=True)):
+                if (root, block) != key:
+                    key, group = (root, block), Group(similarity)
+                hashes = shingles[i].values.to_numpy(zero_copy_only=False).view(np.uint64).copy()
+                if node in group.known:
+                    continue
+                links += [(node, other) for other in (group.meet if streams else group.add)(node, hashes)]
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
+                links = []
+
+    spread = dealt.repartition(common.shuffle_parts(groups.sparkSession), "root", "block").sortWithinPartitions("root", "block", "streams", "node")
+    return spread.select("root", "block", "streams", "node", "shingles").mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, by: str = "doc_id", text: str = "text", width: int = COPY_WORDS, similarity: float = COPY_SIMILARITY, bucket_max: int = BUCKET_MAX, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(doc_id, node, root) of every row with an id: rows of one root are near copies,
     directly or through others.
 
     Two texts are linked if the Jaccard similarity of their distinct word shingles is
     ``similarity`` or more (texts of fewer than ``width`` words are one shingle; texts
-    without words are copies of each other) and the index brought them together. Each
-    link is verified on the shingles; pairs of different texts at exactly the least
-    similarity meet with a probability of ``COPY_RECALL``, closer ones more surely, equal
-    ones always. Null texts are empty. An empty table gives no rows.
-
-    Every pair that meets is verified unless verified links join it already: a row of a
-    dense bucket tries its ``nearest`` others first; rows that have more come again, with
-    more of those that are in other groups still, until none has any.
+    without words are copies of each other) and the index brought them together, directly or
+    through others. Each link is verified on the shingles; pairs of different texts at
+    exactly the least similarity meet with a probability of ``COPY_RECALL``, closer ones more
+    surely, equal ones always. Null texts are empty. An empty table gives no rows.
     """
     rows = docs.where(F.col(by).isNotNull()).select(F.col(by).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     segs = copy_segments(rows.count(), similarity)
     words = max(COPY_CHECK, segs[-1].word + 1)
     prints = common.cut(copy_prints(rows, words, width), "prints")
     names = [f"f{k}" for k in range(words)]
-    nodes = common.cut(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.min(n).alias(n) for n in ("size", *names)]), "nodes")
-    index, carried = nodes.select("node", "size", *names), [*names[:COPY_CHECK], "size"]
-    rule, sure = Rule(COPY_RADIUS, COPY_CHECK, similarity, False, nearest), None
-    while True:
-        met = links_of(index, segs, carried, rule, bucket_max)
-        met = common.cut(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-        edges = met.where("a != b")
-        ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-        places = nodes.select("node", "doc_id").join(ends, "node", "left_semi")
-        sets = common.cut(shingle_sets(rows.join(places, "doc_id").select("node", "text"), width), "shingles")
-        found = common.cut(verified(edges, sets, similarity), "sure")
-        sure = found if sure is None else sure.union(found)
-        roots = components(sure)
-        more = met.where("a = b").select(F.col("a").alias("node"))
-        if not more.limit(1).count():
-            break
-        labelled = nodes.join(more, "node", "left_semi").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
-        index, carried = labelled.select("node", "size", "label", *names), [*names[:COPY_CHECK], "size", "label"]
-        rule = replace(rule, labelled=True, nearest=rule.nearest * NEAREST_GROWTH)
+    nodes = common.cut(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.min(n).alias(n) for n in names]), "nodes")
+    met = common.cut(components(links_of(nodes, segs, names[:COPY_CHECK], COPY_RADIUS, bucket_max)), "met")
+    # a node's text is the one of its least id; a text that has other shingles drops out
+    places = nodes.select("node", "doc_id").join(met, "node")
+    sets = shingle_sets(rows.join(places, "doc_id").select("root", "node", "text"), width)
+    roots = components(verified(common.cut(sets, "shingles"), similarity, group_bytes))
     return prints.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 

@@ -148,7 +148,7 @@ def groups_of(spark, texts, **options):
     return {r["doc_id"]: r["root"] for r in simhash.near_copies(rows, **options).collect()}
 
 
-@pytest.mark.parametrize("options", [{}, {"bucket_max": 7}, {"nearest": 1}, {"bucket_max": 7, "nearest": 1}])
+@pytest.mark.parametrize("options", [{}, {"bucket_max": 7}, {"group_bytes": 20_000}, {"bucket_max": 7, "group_bytes": 1}])
 def test_chains_keep_their_links(spark, options):
     """Neighbours in a chain are linked, its ends aren't: links have to be those that were
     seen. The index may miss a few links, so groups may be cut, never joined."""
@@ -177,20 +177,37 @@ def test_every_option_gives_the_same_groups(spark):
         texts.append(" ".join(w))
     first = groups_of(spark, texts)
     same = lambda got: {frozenset(i for i in got if got[i] == r) for r in got.values()}
-    for options in ({"nearest": 1}, {"bucket_max": 9}, {"bucket_max": 30, "nearest": 2}):
+    for options in ({"group_bytes": 9_000}, {"bucket_max": 9}, {"bucket_max": 30, "group_bytes": 50_000}):
         assert same(groups_of(spark, texts, **options)) == same(first)
     want = dict(enumerate(copy_roots(texts)))
     assert all(len({want[i] for i in g}) == 1 for g in same(first))
     assert len(same(first)) <= len(same(want)) + 1
 
 
-def test_edges_are_verified_in_blocks(spark):
-    sets = spark.createDataFrame([(i, list(range(-i, 20))) for i in range(12)], "node long, shingles array<long>")
-    edges = [(0, i) for i in range(1, 12)] + [(5, 6)]
-    df = spark.createDataFrame(edges, "a long, b long")
-    want = {(a, b) for a, b in edges if (20 + a) / (20 + b) >= 0.8}
-    for partners in (1, 3, 256):
-        assert {tuple(r) for r in simhash.verified(df, sets, 0.8, partners).collect()} == want
+def test_groups_are_verified_in_blocks(spark):
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 60, int(rng.integers(1, 50)))) for _ in range(60)] + [np.arange(40 + i) for i in range(12)] + [np.zeros(0, np.int64)]
+    sets = [x.astype(np.int64) * 0x9E3779B97F4A7 for x in sets]
+    root = [int(i % 3) for i in range(len(sets))]
+    rows = [(root[i], i, x.tolist()) for i, x in enumerate(sets)]
+    df = spark.createDataFrame([*rows, rows[5]], "root long, node long, shingles array<long>").repartition(4)
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = np.intersect1d(a, sets[j]).size
+            if root[i] == root[j] and both >= 0.8 * (a.size + sets[j].size - both):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    want = {i: find(i) for i in range(len(sets)) if sum(find(j) == find(i) for j in range(len(sets))) > 1}
+    assert len(set(want.values())) >= 3
+    for size in (1, 1_000, 1_000_000):
+        links = simhash.verified(df, 0.8, size)
+        assert {r["node"]: r["root"] for r in components(links).collect()} == want
 
 
 def test_one_per_group(spark, odd):
