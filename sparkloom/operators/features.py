@@ -9,6 +9,7 @@ nor the matrix size makes a large batch.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.sources import tables
+
 SLICE = 512
 ROWS_AT_ONCE = 2_048
 TARGETS_AT_ONCE = 4_096
@@ -214,6 +217,51 @@ def predict(rows: DataFrame, weights: np.ndarray, transform=None, k: int = 3, x:
     return used.mapInArrow(run, f"{schema}, top array<int>, top_score double")
 
 
+def predict_blocks(rows: DataFrame, weights: DataFrame, grid, transform=None, k: int = 3, x: str = "x", keep: tuple[str, ...] = (), copies: int | None = None) -> DataFrame:
+    """As :func:`predict`, with the weights as tiles (features x targets) that no task and no
+    driver holds whole: a block of target columns lies in a task, the rows stream past each
+    block, and a row's best targets of all blocks are merged by its number.
+
+    ``copies`` tasks hold one block (as many as make all cores busy, unless given). What is
+    shuffled are the rows' inputs, not their features. Tiles have all features of a block's
+    targets in rows of tiles; tiles that aren't there are 0.
+    """
+    spark = rows.sparkSession
+    copies = copies or max(1, spark.sparkContext.defaultParallelism // grid.across)
+    base = tables.cut(rows.where(F.col(x).isNotNull()).select(*keep, F.col(x).alias("__x"), F.monotonically_increasing_id().alias("__row")), "rows")
+    every = F.sequence(F.lit(0), F.lit(grid.across - 1))
+    kind = base.schema["__x"].dataType.simpleString()
+    own = weights.select(F.col("j").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.lit(0).alias("kind"), "i", "cells", F.lit(None).cast("long").alias("row"), F.lit(None).cast(kind).alias("x"))
+    past = base.select(F.explode(every).alias("block"), F.pmod(F.xxhash64("__row"), F.lit(copies)).cast("int").alias("copy"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("i"), F.lit(None).cast("binary").alias("cells"), F.col("__row").alias("row"), F.col("__x").alias("x"))
+
+    def run(batches):
+        key, held = None, None
+        for whole in batches:
+            block, copy, kinds = (whole.column(c).to_numpy() for c in ("block", "copy", "kind"))
+            cut = np.flatnonzero((block[1:] != block[:-1]) | (copy[1:] != copy[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(block)], strict=True):
+                if lo == hi:
+                    continue
+                if key != (block[lo], copy[lo]):
+                    key, held = (block[lo], copy[lo]), np.zeros((grid.rows, grid.width(int(block[lo]))))
+                if kinds[lo] == 0:
+                    for i, cells in zip(whole.column("i")[lo:hi].to_pylist(), whole.column("cells")[lo:hi].to_pylist(), strict=True):
+                        held[i * grid.tall : i * grid.tall + grid.height(i)] = np.frombuffer(cells, np.float64).reshape(-1, held.shape[1])
+                    continue
+                for at in range(lo, hi, ROWS_AT_ONCE):
+                    batch = whole.slice(at, min(ROWS_AT_ONCE, hi - at))
+                    z = lists_to_matrix(batch.column("x"))
+                    value, top = top_targets(np.asarray(transform(z) if transform else z, np.float64), held, k)
+                    each = np.repeat(np.arange(len(z)), value.shape[1])
+                    yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(each)), pa.array((top + int(key[0]) * grid.wide).ravel().astype(np.int32)), pa.array(value.ravel())], ["row", "target", "score"])
+
+    dealt = own.union(past).repartition(grid.across * copies, "block", "copy").sortWithinPartitions("block", "copy", "kind")
+    found = dealt.mapInArrow(run, "row long, target int, score double")
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "target"))), 1, k)  # k of each block
+    merged = found.groupBy("row").agg(best.alias("b")).select("row", F.transform("b", lambda t: t["target"]).alias("top"), (-F.get("b", F.lit(0))["down"]).alias("top_score"))
+    return base.join(merged, base["__row"] == merged["row"]).select(*keep, "top", "top_score")
+
+
 def _add_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """Add rows to a table's rows; one row may be met several times. A row moves by half a
     unit per component at most, so that frequent words can't run away."""
@@ -322,14 +370,15 @@ def word2vec(sentences: DataFrame, column: str = "sentence", dims: int = 32, win
 
 
 def nearest_of(rows: DataFrame, queries: list[tuple[int, list[float]]], k: int, by: str, x: str, most_queries: int = 10_000) -> DataFrame:
-    """(query_id, rank, id, cosine): the k most similar rows of a stated, bounded set of
-    queries. Similarities are compared at 9 digits, ties go to the smaller id. Tasks keep
+    """(query_id, rank, id, cosine): the k most similar rows of a stated set of queries,
+    ``most_queries`` of them in a pass over the rows. Similarities are compared at 9 digits, ties go to the smaller id. Tasks keep
     k candidates per query in that order; only those are shuffled. Zero vectors have a
     similarity of 0; no queries or no rows give no rows."""
     from pyspark.sql import Window as W
 
     if len(queries) > most_queries:
-        raise ValueError("too many queries for one block")
+        passes = [nearest_of(rows, queries[at : at + most_queries], k, by, x, most_queries) for at in range(0, len(queries), most_queries)]
+        return reduce(DataFrame.union, passes)
     ids = np.array([q for q, _ in queries], np.int64)
     if not queries:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, id long, cosine double")

@@ -242,7 +242,7 @@ def summed_vectors(weights: DataFrame, vectors: np.ndarray) -> DataFrame:
     rows, over its norm + 1e-10. ``vectors`` is a table of a checked size; a task adds up
     what it has of a document before anything is shuffled. Null places are left out."""
     if vectors.nbytes > VECTORS_BYTES:
-        raise ValueError("too many vectors to send to every task: join them instead (weighted_sum)")
+        raise ValueError("too many vectors to send to every task: join them instead (joined_vectors)")
     shared, dims = weights.sparkSession.sparkContext.broadcast(vectors), vectors.shape[1]
 
     def add(batches):
@@ -261,12 +261,10 @@ def summed_vectors(weights: DataFrame, vectors: np.ndarray) -> DataFrame:
     return sums.withColumn("norm", norm).select("doc_id", F.transform("v", lambda x: x / F.col("norm")).alias("vec"))
 
 
-def weighted_sum(counts: DataFrame, table: DataFrame, dims: int, boost: F.Column | None = None) -> DataFrame:
-    """(doc_id, vec): sum of n * idf * embedding over tokens, over its norm + 1e-10.
-
-    ``table`` is (token, idf, emb). One sum per dimension, aggregated before the shuffle.
-    """
-    rows = counts.join(table, "token").withColumn("w", F.col("n") * F.col("idf") * (F.lit(1.0) if boost is None else boost))
+def joined_vectors(weights: DataFrame, table: DataFrame, dims: int) -> DataFrame:
+    """As :func:`summed_vectors`, with the vectors as a table (place, emb) of any size that
+    weights are joined to. One sum a dimension, aggregated before the shuffle."""
+    rows = weights.where(F.col("place").isNotNull()).join(table, "place")
     sums = [F.sum(F.col("w") * F.col("emb")[d].cast("double")).alias(f"d{d}") for d in range(dims)]
     packed = rows.groupBy("doc_id").agg(*sums).select("doc_id", F.array(*[f"d{d}" for d in range(dims)]).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)) + 1e-10

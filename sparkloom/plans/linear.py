@@ -115,3 +115,48 @@ def token_visits(spark, sf_dir):
     """Discounted visits of a walk that ends where no token follows: a Neumann series."""
     chain = graph.Chain(_transitions(spark, sf_dir))
     return graph.neumann(chain, rounds=ROUNDS).select(F.col("node").alias("token"), F.round("total", 9).alias("visits"))
+
+
+# ---- predictions and tensors by blocks
+
+_CENTRES = "c AS (SELECT label, dim, avg(v) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding)))::INT AS dim FROM embeddings WHERE label IS NOT NULL) GROUP BY ALL)"
+
+
+def _centre_tiles(spark, sf_dir):
+    """Tiles of the labels' centres, dimensions x labels, and their grid; None without any."""
+    rows = core._centroids(spark, sf_dir).where("label is not null")
+    most = rows.agg(F.max("label")).first()[0]
+    if most is None:
+        return None
+    grid = tiles.Grid(DIMS, most + 1, SIDE, 4)
+    return core.tables.cut(tiles.from_cells(rows, grid, "dim", "label", "mean"), "centres"), grid
+
+
+@query(f"""WITH {_CENTRES}, w AS (SELECT label, list(m ORDER BY dim) AS w FROM c GROUP BY label), s AS (SELECT vec_id, e.label, w.label AS target, list_dot_product(embedding::DOUBLE[], w) AS s FROM embeddings e, w),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, target) AS r FROM s)
+SELECT vec_id, any_value(label) AS label, max(CASE WHEN r = 1 THEN target END) AS predicted, round(max(s), 6) AS score, coalesce(bool_or(target = label), false) AS in_top3 FROM r WHERE r <= 3 GROUP BY vec_id""")
+def block_prediction(spark, sf_dir):
+    """The best labels by their centres' weights, which lie in blocks of four labels, with the
+    top-3 agreement flag."""
+    found = _centre_tiles(spark, sf_dir)
+    if found is None:
+        return spark.createDataFrame([], "vec_id long, label int, predicted int, score double, in_top3 boolean")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("x"))
+    done = features.predict_blocks(rows, *found, keep=("vec_id", "label"))
+    agrees = F.coalesce(F.array_contains("top", F.col("label")), F.lit(False))
+    return done.select("vec_id", "label", F.get("top", F.lit(0)).alias("predicted"), F.round("top_score", 6).alias("score"), agrees.alias("in_top3"))
+
+
+_STEP = "pow(2, greatest(floor(log2(abs(m))), -14) - 10)"
+
+
+@query(f"WITH {_CENTRES} SELECT dim AS i, label AS j, CASE WHEN m = 0 THEN 0 ELSE round_even(m / {_STEP}, 0) * {_STEP} END AS value FROM c")
+def tensor_file(spark, sf_dir):
+    """The labels' centres written as a half-precision tensor, by bands, and read again."""
+    found = _centre_tiles(spark, sf_dir)
+    if found is None:
+        return spark.createDataFrame([], "i int, j int, value double")
+    path = core.tables.fresh_path(spark, "tensor")
+    core.sinks.write_tensor(*found, path)
+    own = table(spark, sf_dir, "embeddings").where("label is not null").select(F.col("label").cast("int").alias("j")).distinct()
+    return core.sinks.read_tensor(spark, path, found[1]).join(own, "j", "left_semi").select("i", "j", (F.col("value") + 0.0).alias("value"))

@@ -514,12 +514,9 @@ def _centroid_rows(spark, sf_dir):
     return lists.select("label", F.transform("x", lambda r: r["mean"]).alias("centre"))
 
 
-def _bounded_centres(spark, sf_dir, most: int = 10_000) -> list[tuple[int, list[float]]]:
-    """Label and centre, in label order; the number of labels is checked first."""
-    rows = _centroid_rows(spark, sf_dir).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError("too many labels for the driver")
-    return sorted((r["label"], r["centre"]) for r in rows)
+def _centres(spark, sf_dir) -> list[tuple[int, list[float]]]:
+    """Label and centre, in label order: as many as there are labels, on the driver."""
+    return sorted((r["label"], r["centre"]) for r in _centroid_rows(spark, sf_dir).toLocalIterator())
 
 
 _CEN = """c AS (SELECT label, list(m ORDER BY dim) AS centre FROM (SELECT label, dim, avg(v) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS dim FROM embeddings) GROUP BY ALL) GROUP BY label)"""
@@ -528,7 +525,7 @@ _CEN = """c AS (SELECT label, list(m ORDER BY dim) AS centre FROM (SELECT label,
 @query(f"""WITH {_CEN}, s AS (SELECT c.label AS query_id, vec_id AS id, list_dot_product(embedding::DOUBLE[], centre) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_dot_product(centre, centre)) AS cosine FROM embeddings, c)
 SELECT query_id::BIGINT AS query_id, rank, id, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, id) AS rank FROM s) WHERE rank <= 10""")
 def cosine_topk(spark, sf_dir):
-    centres = _bounded_centres(spark, sf_dir)
+    centres = _centres(spark, sf_dir)
     found = features.nearest_of(table(spark, sf_dir, "embeddings"), centres, 10, "vec_id", "embedding")
     return found.withColumn("cosine", F.round("cosine", 6))
 
@@ -578,22 +575,24 @@ def bow_embedding(spark, sf_dir):
     """Bag-of-words vectors; vocabulary entry i has embedding i modulo their number."""
     counts = tables.cut(_counts(spark, sf_dir), "counts")
     frequency = tables.cut(vocab.document_frequency(counts), "frequency")
-    places, vectors = _vector_places(spark, sf_dir, frequency)
-    if vectors is None:
-        return _no_cells(spark, "doc_id long")
-    weights = counts.join(places.join(vocab.idf(frequency, table(spark, sf_dir, "documents").count()), "token"), "token")
-    return _cells(retrieve.summed_vectors(weights.select("doc_id", "place", (F.col("n") * F.col("idf")).alias("w")), vectors))
+    idf = vocab.idf(frequency, table(spark, sf_dir, "documents").count())
+    found = _embedded(spark, sf_dir, frequency, lambda places: counts.join(places.join(idf, "token"), "token").select("doc_id", "place", (F.col("n") * F.col("idf")).alias("w")))
+    return _no_cells(spark, "doc_id long") if found is None else _cells(found)
 
 
-def _vector_places(spark, sf_dir, counts: DataFrame) -> tuple[DataFrame, np.ndarray | None]:
-    """(token, place) of a vocabulary and the matrix of embeddings, whose size is checked."""
+def _embedded(spark, sf_dir, frequency: DataFrame, weights, most_bytes: int = retrieve.VECTORS_BYTES) -> DataFrame | None:
+    """(doc_id, vec) of a vocabulary's weights; ``weights`` maps (token, place) to (doc_id,
+    place, w). Entry i has the embedding i modulo their number. Up to ``most_bytes`` the
+    vectors are sent to every task, beyond it they are joined. None without embeddings."""
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     size = emb.count()
-    if size * 64 * 8 > retrieve.VECTORS_BYTES:
-        raise ValueError("too many embeddings to send to every task")
-    rows = sorted((r["vec_id"], r["embedding"]) for r in emb.collect())
-    vectors = np.array([e for _, e in rows], np.float64) if rows else None
-    return vocab.vocabulary(counts).select("token", (F.col("token_id") % max(size, 1)).alias("place")), vectors
+    if not size:
+        return None
+    rows = weights(vocab.vocabulary(frequency).select("token", (F.col("token_id") % size).alias("place")))
+    if size * 64 * 8 > most_bytes:
+        return retrieve.joined_vectors(rows, dialog.numbered(emb, "vec_id", into="place").select("place", F.col("embedding").alias("emb")), 64)
+    vectors = np.array([e for _, e in sorted((r["vec_id"], r["embedding"]) for r in emb.collect())], np.float64)
+    return retrieve.summed_vectors(rows, vectors)
 
 
 def _cells(found: DataFrame) -> DataFrame:
@@ -619,12 +618,11 @@ def pair_embedding(spark, sf_dir):
     both = p.select(key, vocab.runs(F.concat(tx.words(F.col("user")), tx.words(F.col("bot")))).alias("r"))
     frequency = vocab.document_frequency(both.select(F.explode("r").alias("r")).select("r.token"))
     weights = vocab.idf(frequency, p.count())
-    places, vectors = _vector_places(spark, sf_dir, frequency)
-    if vectors is None:
-        return spark.createDataFrame([], "conv_id long, turn long, dim int, value double")
     said = p.select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), F.explode(vocab.runs(tx.words(F.col("user")))).alias("r")).select("doc_id", "r.token", "r.n")
-    rows = said.join(places.join(weights, "token"), "token").select("doc_id", "place", (F.col("n") * F.col("idf")).alias("w"))
-    found = _cells(retrieve.summed_vectors(rows, vectors))
+    found = _embedded(spark, sf_dir, frequency, lambda places: said.join(places.join(weights, "token"), "token").select("doc_id", "place", (F.col("n") * F.col("idf")).alias("w")))
+    if found is None:
+        return spark.createDataFrame([], "conv_id long, turn long, dim int, value double")
+    found = _cells(found)
     part = F.split("doc_id", ":")
     return found.select(part[0].cast("long").alias("conv_id"), part[1].cast("long").alias("turn"), "dim", "value")
 
@@ -700,13 +698,10 @@ def chunk_embedding(spark, sf_dir):
     chunks = tables.cut(sections.chunks(sections.content_sections(_sections(spark, sf_dir))), "chunks")
     counts = tables.cut(retrieve.chunk_counts(chunks), "counts")
     frequency = tables.cut(vocab.document_frequency(counts), "frequency")
-    places, vectors = _vector_places(spark, sf_dir, frequency)
-    if vectors is None:
-        return _no_cells(spark, "url string")
     weights = vocab.idf(frequency, chunks.count())
-    rows = counts.join(places.join(weights, "token"), "token")
     w = F.col("n") * F.col("idf") * retrieve.domain_boost(vocab.CHUNK_WORDS)
-    return _cells(retrieve.summed_vectors(rows.select("doc_id", "place", w.alias("w")), vectors)).withColumnRenamed("doc_id", "url")
+    found = _embedded(spark, sf_dir, frequency, lambda places: counts.join(places.join(weights, "token"), "token").select("doc_id", "place", w.alias("w")))
+    return _no_cells(spark, "url string") if found is None else _cells(found).withColumnRenamed("doc_id", "url")
 
 
 @query(
@@ -945,7 +940,7 @@ def single_precision_solve(spark, sf_dir):
 def label_rank(spark, sf_dir):
     """Labels' kernel matrix as a damped chain: the Neumann series x of (I - M) x = 1,
     multiplied back, and whether the stationary vector of its completion stays fixed."""
-    centres = _bounded_centres(spark, sf_dir)
+    centres = _centres(spark, sf_dir)
     if not centres:
         return spark.createDataFrame([], "label int, one double, fixed boolean")
     c = np.array([v for _, v in centres])
@@ -1013,7 +1008,7 @@ def cbow(spark, sf_dir):
 def packed_tensor(spark, sf_dir):
     """Centroids packed as a half-precision tensor and unpacked: is each cell within its
     precision?"""
-    rows = _bounded_centres(spark, sf_dir)
+    rows = _centres(spark, sf_dir)
     if not rows:
         return spark.createDataFrame([], "label int, dim int, close boolean")
     matrix = np.array([c for _, c in rows])

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _WRITTEN: list[str] = []
 #: Temporary folders of applications that have set none.
@@ -39,9 +40,11 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt to all cores if its files give fewer partitions; larger tables stay."""
+    """``df``, dealt to all cores if its files give fewer partitions; larger tables stay.
+    The filter lets all rows pass; later filters, and what they compute, aren't moved below
+    it into the few tasks of the scan."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores).where(F.rand(0) >= 0) if df.rdd.getNumPartitions() < cores else df
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
