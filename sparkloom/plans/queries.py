@@ -476,6 +476,21 @@ def chunk_file(spark, sf_dir):
     return dialog.read_chunks(spark, path).select("source", "heading", "text", F.array_join("keywords", " ").alias("keywords"), "lang")
 
 
+@query("""WITH p AS (SELECT CASE WHEN contains(url, '/en/') THEN 'en/' ELSE '' END || CASE WHEN page_id % 10 = 0 THEN 'imprint' || (CASE WHEN page_id % 20 = 0 THEN '' ELSE '-' || page_id END) ELSE lpad(page_id::VARCHAR, 12, '0') END || '.html' AS name, page_id, html FROM pages),
+f AS (SELECT name, max_by(html, page_id) AS html FROM p GROUP BY name)
+SELECT row_number() OVER (ORDER BY name) - 1 AS pos, name, md5(html) AS page, CASE WHEN starts_with(name, 'en/') THEN 'en' ELSE 'de' END AS page_lang FROM f WHERE html <> '' AND name NOT IN ('imprint.html', 'en/imprint.html')""")
+def html_folder(spark, sf_dir):
+    """Pages written as files, some of them service pages, and read again in path order."""
+    folder = tables.fresh_path(spark, "html")
+    number = F.col("page_id")
+    service = F.concat(F.lit("imprint"), F.when(number % 20 == 0, F.lit("")).otherwise(F.concat(F.lit("-"), number)))
+    name = F.concat(F.when(F.contains("url", F.lit("/en/")), F.lit("en/")).otherwise(F.lit("")), F.when(number % 10 == 0, service).otherwise(F.lpad(number.cast("string"), 12, "0")), F.lit(".html"))
+    files = pages(spark, sf_dir, "page_id", "url", "html").select(name.alias("name"), "page_id", "html").groupBy("name").agg(F.max_by("html", "page_id").alias("html"))
+    dialog.write_html(files, folder)
+    found = dialog.read_html(spark, folder)
+    return found.select("pos", F.regexp_replace("url", r"^.*/html-[^/]*/|^.*loom-html-[^/]*/", "").alias("name"), F.md5("html").alias("page"), "page_lang")
+
+
 _ANSWER = _FIRST.replace("WITH t AS", "t AS").format(key="url", tokens=TOKENS_A.format("text"), source="sec", n=3, m=50)
 
 

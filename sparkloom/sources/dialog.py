@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,19 +79,40 @@ def content_pages(pages: DataFrame, url: str = "url") -> DataFrame:
     return pages.where(~name.isin(SKIP_PAGES)).withColumn("page_lang", tx.language_of_path(F.col(url)))
 
 
+def write_html(pages: DataFrame, folder: str, name: str = "name", html: str = "html") -> int:
+    """Write each page as a file of its own: ``name`` is its path below the folder. Tasks write
+    under another name first, so a retried task leaves no half page. Null pages are empty;
+    returns the number of files."""
+
+    def run(batches):
+        for batch in batches:
+            for at, text in zip(batch.column("name").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                fs, path = pafs.FileSystem.from_uri(f"{folder}/{at}")
+                fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                attempt = f"{path}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(attempt, compression=None) as out:
+                    out.write(text.encode())
+                fs.move(attempt, path)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    rows = pages.select(F.col(name).alias("name"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def read_html(spark: SparkSession, folder: str) -> DataFrame:
-    """(url, html, page_lang) of ``*.html`` and ``en/*.html`` of a folder, each page once, in
-    the order of their paths, service pages left out."""
-    paths = [p for p in (f"{folder}/*.html", f"{folder}/en/*.html")]
-    parts = []
-    for p in paths:
+    """(pos, url, html, page_lang) of ``*.html`` and ``en/*.html`` of a folder, service pages
+    left out; pos numbers them in the order of their paths. One pass over the files, many
+    small ones a task; only paths are ordered, not pages. Empty files give no row."""
+    paths = []
+    for p in (f"{folder}/*.html", f"{folder}/en/*.html"):
         found = spark._jvm.org.apache.hadoop.fs.Path(p)
         if found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found):
-            parts.append(spark.read.text(p, wholetext=True).select(F.input_file_name().alias("url"), F.col("value").alias("html")))
-    if not parts:
-        return spark.createDataFrame([], "url string, html string, page_lang string")
-    rows = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
-    return content_pages(rows.dropDuplicates(["url"])).orderBy("url")
+            paths.append(p)
+    if not paths:
+        return spark.createDataFrame([], "pos long, url string, html string, page_lang string")
+    rows = content_pages(spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html")))
+    places = numbered(rows.select("url"), "url", into="pos")
+    return rows.join(places, "url").select("pos", "url", "html", "page_lang")
 
 
 def numbered(rows: DataFrame, *order, into: str = "pair_id") -> DataFrame:

@@ -44,7 +44,7 @@ def spread(df: DataFrame) -> DataFrame:
     The filter lets all rows pass; later filters, and what they compute, aren't moved below
     it into the few tasks of the scan."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores).where(F.rand(0) >= 0) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores).where(F.spark_partition_id() >= 0) if df.rdd.getNumPartitions() < cores else df
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:

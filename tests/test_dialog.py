@@ -3,8 +3,9 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
-from sparkloom.operators import pairs
-from sparkloom.sources import dialog, sinks, tables
+from sparkloom.operators import features, pairs
+from sparkloom.plans import queries
+from sparkloom.sources import dialog, sinks, synthetic, tables
 
 LINES = """# head
 
@@ -119,3 +120,36 @@ def test_packed_tensor_and_model(spark, tmp_path):
     sinks.save_model(spark, str(tmp_path / "m"), {"context": 24}, {"vocab": spark.range(3)}, {"w": x})
     config, tables, tensors = sinks.load_model(spark, str(tmp_path / "m"))
     assert config == {"context": 24} and tables["vocab"].count() == 3 and tensors["w"].shape == (5, 7)
+
+
+def test_html_files(spark, tmp_path):
+    folder = f"file://{tmp_path}/site"
+    pages = [("b.html", "<p>b</p>"), ("en/a.html", "<p>ä</p>"), ("index.html", "no"), ("en/404.html", "no"), ("c.html", None), ("deep/er/x.html", "not read")]
+    assert dialog.write_html(spark.createDataFrame(pages, "name string, html string"), folder) == 6
+    got = [(r["pos"], r["url"].split("/site/")[1], r["html"], r["page_lang"]) for r in dialog.read_html(spark, folder).orderBy("pos").collect()]
+    assert [(p, u, l) for p, u, _, l in got] == [(0, "b.html", "de"), (1, "en/a.html", "en")]
+    assert got[0][2] == "<p>b</p>" and got[1][2] == "<p>ä</p>"
+    assert dialog.read_html(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_synthetic_problem_does_not_depend_on_partitions(spark):
+    spark.dataSource.register(synthetic.SyntheticProblem)
+    read = lambda n, rows=700: spark.read.format("loom_problem").option("rows", rows).option("features", 6).option("targets", 4).option("partitions", n).load()
+    want = None
+    for n in (1, 4, 13):
+        rows = read(n)
+        assert rows.count() == 700 and rows.rdd.getNumPartitions() == n
+        cells = {(r["kind"], r["i"], r["j"]): r["value"] for r in features.cells(features.gram(rows)).collect()}
+        want = want or cells
+        assert cells.keys() == want.keys() and all(abs(cells[k] - want[k]) < 1e-9 for k in want)
+    x, t = synthetic.row_of(699, 6, 4, 42)
+    assert any(r["target_id"] == t and np.allclose(r["x"], x) for r in read(2).collect())
+    assert abs(np.std([r["x"] for r in read(2, 5_000).collect()]) - 0.1) < 0.003 and read(3, 0).count() == 0
+
+
+def test_regular_expressions_run_after_the_exchange(spark, sf_dir):
+    """The scan's few tasks only read: what is computed stands above the exchange."""
+    for name in ("section_pairs", "html_sections", "article_tokens", "rag_chunks"):
+        plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        below = plan[plan.index("Repartition") :]
+        assert "regexp" not in below.lower() and "regexp" in plan.lower()

@@ -202,3 +202,15 @@ def test_verdicts(spark):
     rows = spark.createDataFrame([("a", True), ("a", True), ("b", False)], "category string, passed boolean")
     of = lambda *x: tuple(evaluate.verdict(rows, *x).first())
     assert of("a") == (2, 2, 1.0, True, 0) and of("b") == (1, 0, 0.0, False, 1) and of(None)[3:] == (False, 1) and of(None, 0.6)[3:] == (True, 0) and of("none") == (0, 0, 0.0, False, 1)
+
+
+def test_beyond_the_bounds_rows_are_joined_or_passed_again(spark, sf_dir, monkeypatch):
+    want = {(r["doc_id"], r["dim"]): r["value"] for r in queries.bow_embedding(spark, sf_dir).collect()}
+    monkeypatch.setattr(queries.retrieve, "VECTORS_BYTES", 0)
+    monkeypatch.setattr(queries._embedded, "__defaults__", (0,))
+    got = {(r["doc_id"], r["dim"]): r["value"] for r in queries.bow_embedding(spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    asked = [(r["vec_id"], list(r["embedding"])) for r in table.limit(7).collect()]
+    one = {tuple(r) for r in features.nearest_of(table, asked, 4, "vec_id", "embedding").collect()}
+    assert {tuple(r) for r in features.nearest_of(table, asked, 4, "vec_id", "embedding", 3).collect()} == one
