@@ -476,6 +476,28 @@ def chunk_file(spark, sf_dir):
     return dialog.read_chunks(spark, path).select("source", "heading", "text", F.array_join("keywords", " ").alias("keywords"), "lang")
 
 
+_BLANKED = 'trim(translate("user", chr(13) || chr(10), \'  \')) AS u, trim(translate(bot, chr(13) || chr(10), \'  \')) AS b'
+
+
+@query(f"""WITH {PAIRS}, p AS (SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos, {_BLANKED} FROM pairs) SELECT pos, 'du: ' || u || ' . bot: ' || CASE WHEN regexp_matches(b, '[.?!]$') THEN b ELSE b || ' .' END AS line FROM p""")
+def marked_file(spark, sf_dir):
+    """Dialog pairs written with their own endings, and the file's lines."""
+    path = tables.fresh_path(spark, "marked")
+    flat = lambda c: F.translate(c, "\r\n", "  ").alias(c)
+    rows = _pairs(spark, sf_dir).select("conv_id", "turn", flat("user"), flat("bot"))
+    sinks.write_marked(dialog.numbered(rows, "conv_id", "turn", into="pos"), path)
+    return dialog.text_lines(spark, path).where("line <> ''").select((F.col("pos") / 2).cast("long").alias("pos"), "line")
+
+
+@query("""SELECT role AS "group", turn AS name, length(text)::BIGINT AS value FROM conversations WHERE role IS NOT NULL AND turn IS NOT NULL""")
+def map_flatten(spark, sf_dir):
+    """A map of maps for each conversation, role to turn to length, flattened."""
+    rows = table(spark, sf_dir, "conversations").where("role is not null and turn is not null").dropDuplicates(["conv_id", "role", "turn"])
+    inner = rows.groupBy("conv_id", "role").agg(F.map_from_entries(F.collect_list(F.struct("turn", F.length("text").cast("long").alias("n")))).alias("turns"))
+    maps = inner.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("role", "turns"))).alias("said"))
+    return pairs.flatten_map(maps, "said")
+
+
 @query("""WITH p AS (SELECT CASE WHEN contains(url, '/en/') THEN 'en/' ELSE '' END || CASE WHEN page_id % 10 = 0 THEN 'imprint' || (CASE WHEN page_id % 20 = 0 THEN '' ELSE '-' || page_id END) ELSE lpad(page_id::VARCHAR, 12, '0') END || '.html' AS name, page_id, html FROM pages),
 f AS (SELECT name, max_by(html, page_id) AS html FROM p GROUP BY name)
 SELECT row_number() OVER (ORDER BY name) - 1 AS pos, name, md5(html) AS page, CASE WHEN starts_with(name, 'en/') THEN 'en' ELSE 'de' END AS page_lang FROM f WHERE html <> '' AND name NOT IN ('imprint.html', 'en/imprint.html')""")
@@ -509,6 +531,15 @@ def section_pairs(spark, sf_dir):
     return sections.section_pairs(_sections(spark, sf_dir)).select("url", "kind", "user", "bot")
 
 
+@query(f"""SELECT row_number() OVER (ORDER BY url, kind) - 1 AS pos, 'du: ' || "user" || ' . bot: ' || bot || ' .' AS line FROM ({SQL['section_pairs']})""")
+def rag_pair_file(spark, sf_dir):
+    """Section pairs written as they are, and the file's lines."""
+    path = tables.fresh_path(spark, "ragpairs")
+    found = sections.section_pairs(_sections(spark, sf_dir)).select("url", "kind", "user", "bot")
+    sinks.write_rag_pairs(dialog.numbered(found, "url", "kind", into="pos"), path)
+    return dialog.text_lines(spark, path).where("line <> ''").select((F.col("pos") / 2).cast("long").alias("pos"), "line")
+
+
 # ---- vectors, Gram sums, models
 
 
