@@ -160,3 +160,14 @@ def tensor_file(spark, sf_dir):
     core.sinks.write_tensor(*found, path)
     own = table(spark, sf_dir, "embeddings").where("label is not null").select(F.col("label").cast("int").alias("j")).distinct()
     return core.sinks.read_tensor(spark, path, found[1]).join(own, "j", "left_semi").select("i", "j", (F.col("value") + 0.0).alias("value"))
+
+
+KERNEL_SIGMA, KERNEL_LEAST = 1.5, 0.9
+
+
+@query(f"""WITH p AS (SELECT x.vec_id AS a, y.vec_id AS b, exp(-list_sum(list_transform(list_zip(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), lambda p: pow(p[1] - p[2], 2))) / {2 * KERNEL_SIGMA**2}) AS k FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id)
+SELECT a, b, round(k, 6) AS kernel FROM p WHERE k >= {KERNEL_LEAST}""")
+def kernel_pairs(spark, sf_dir):
+    """Pairs of embeddings with a Gaussian kernel of 0.9 or more."""
+    found = features.kernel_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", KERNEL_SIGMA, KERNEL_LEAST)
+    return found.select("a", "b", F.round("kernel", 6).alias("kernel"))

@@ -214,3 +214,20 @@ def test_beyond_the_bounds_rows_are_joined_or_passed_again(spark, sf_dir, monkey
     asked = [(r["vec_id"], list(r["embedding"])) for r in table.limit(7).collect()]
     one, two = ({(*r[:3], round(r[3], 9)) for r in features.nearest_of(table, asked, 4, "vec_id", "embedding", most).collect()} for most in (10_000, 3))
     assert one == two and len(one) == 28
+
+
+@pytest.mark.parametrize("pivots, block", [(4, 2_000), (1, 7), (2, 3)])
+def test_kernel_pairs_are_those_of_all(spark, pivots, block):
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((12, 5))
+    x = np.concatenate([base[rng.integers(0, 12, 120)] + 0.25 * rng.standard_normal((120, 5)), base[:3], base[:3]])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (None, [0.0] * 5)]
+    df = spark.createDataFrame(rows, "id long, x array<double>").repartition(3)
+    k = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1) / (2 * 1.5**2))
+    want = {(i, j): k[i, j] for i in range(len(x)) for j in range(i + 1, len(x)) if k[i, j] >= 0.9}
+    fourier = features.FourierMap.draw(5, 2_048)
+    got = features.kernel_pairs(df, "id", "x", 1.5, 0.9, fourier, pivots, block).collect()
+    assert len(got) == len(want) > 100
+    assert all(abs(want[r["a"], r["b"]] - r["kernel"]) < 1e-12 for r in got)
+    assert np.mean([abs(r["product"] - r["kernel"]) for r in got]) < 0.02  # error of the features
+    assert features.kernel_pairs(df.limit(0), "id", "x", 1.5, 0.9).count() == 0
