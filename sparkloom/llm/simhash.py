@@ -49,8 +49,8 @@ COPY_WORDS, COPY_SIMILARITY, COPY_RECALL = 5, 0.8, 0.98
 #: Words of a fingerprint that travel with its table rows, and their bits' radius: at the
 #: least similarity almost all pairs differ in fewer, and hardly any other do.
 COPY_CHECK, COPY_RADIUS = 2, 36
-#: Bytes of shingles of a candidate group that a task holds while others stream past.
-GROUP_BYTES = 16_000_000
+#: Bytes of shingles of a candidate group that a task holds while as many stream past.
+GROUP_BYTES = 4_000_000
 #: Places of a sketch, and standard deviations that its estimate may fall short by.
 SKETCH, SKETCH_SLACK = 256, 4.0
 #: A segment has this many bits less than the corpus's size, so that buckets stay small.
@@ -497,8 +497,8 @@ class Group:
                 self.root[root] = least
         return links
 
-    def add(self, node: int, hashes: np.ndarray) -> list[int]:
-        links, n = self.meet(node, hashes), len(self.node)
+    def add(self, node: int, hashes: np.ndarray, compare: bool = True) -> list[int]:
+        links, n = self.meet(node, hashes) if compare else [], len(self.node)
         if n == len(self.sizes):
             self.sketches, self.sizes = np.concatenate([self.sketches, np.zeros_like(self.sketches)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
         self.sketches[n], self.sizes[n] = sketch(hashes), hashes.size
@@ -513,35 +513,44 @@ def verified(groups: DataFrame, similarity: float, group_bytes: int = GROUP_BYTE
     """(a, b) links of rows (root, node, shingles) that join, within each candidate group
     ``root``, all whose shingles have that Jaccard similarity, directly or through others.
 
-    A group's rows are dealt into blocks of about ``group_bytes``; a task holds a block while
-    its own rows and those of later blocks stream past. Pairs of one set are not compared
-    again, sketches settle most others (one at exactly the least similarity passes with a
-    probability of 0.9999), the rest are compared on the shingles. Only links that join two
-    sets are handed on, so there are no more of them than rows and blocks. Repeated nodes
-    are one.
+    A group's rows are dealt into blocks of about ``group_bytes``; a task holds one block while
+    another one, or none, streams past, so each pair of blocks is a task of its own. Pairs of
+    one set are not compared again, sketches settle most others (one at exactly the least
+    similarity passes with a probability of 0.9999), the rest are compared on the shingles.
+    Only links that join two sets are handed on, so a task makes no more of them than it has
+    rows. Repeated nodes are one.
     """
     weight = groups.groupBy("root").agg(F.ceil(F.sum(F.size("shingles") * 8.0 + 8) / group_bytes).alias("blocks"))
     rows = groups.join(weight, "root").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
-    dealt = rows.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own"))).alias("block"), "own", "node", "shingles")
-    dealt = dealt.withColumn("streams", F.col("own") != F.col("block"))
+    dealt = rows.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"), "own", "node", "shingles")
+    dealt = dealt.select("root", F.least("own", "other").alias("block"), F.greatest("own", "other").alias("past"), (F.col("own") > F.col("other")).alias("streams"), "node", "shingles")
 
     def run(batches):
         key, group, links = None, None, []
         for batch in batches:
             shingles = batch.column("shingles")
-            for i, (root, block, streams, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("root", "block", "streams", "node")), strict=True)):
-                if (root, block) != key:
-                    key, group = (root, block), Group(similarity)
-                hashes = shingles[i].values.to_numpy(zero_copy_only=False).view(np.uint64).copy()
+            for i, (root, block, past, streams, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("root", "block", "past", "streams", "node")), strict=True)):
+                if (root, block, past) != key:
+                    key, group = (root, block, past), Group(similarity)
                 if node in group.known:
                     continue
-                links += [(node, other) for other in (group.meet if streams else group.add)(node, hashes)]
+                hashes = shingles[i].values.to_numpy(zero_copy_only=False).view(np.uint64).copy()
+                links += [(node, other) for other in (group.meet(node, hashes) if streams else group.add(node, hashes, block == past))]
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
                 links = []
 
-    spread = dealt.repartition(common.shuffle_parts(groups.sparkSession), "root", "block").sortWithinPartitions("root", "block", "streams", "node")
-    return spread.select("root", "block", "streams", "node", "shingles").mapInArrow(run, "a long, b long")
+    spread = dealt.repartition(common.shuffle_parts(groups.sparkSession), "root", "block", "past").sortWithinPartitions("root", "block", "past", "streams", "node")
+    return spread.select("root", "block", "past", "streams", "node", "shingles").mapInArrow(run, "a long, b long")
+
+
+def _fewer(links: DataFrame) -> DataFrame:
+    """As connected as ``links``: a node's smaller neighbours are linked with the smallest of
+    them instead. A node has as many of them as it has places in the index, at most that many
+    times a small bucket's rows."""
+    near = links.where("a <> b").groupBy(F.greatest("a", "b").alias("a")).agg(F.collect_set(F.least("a", "b")).alias("near"))
+    moved = near.select(F.array_min("near").alias("b"), F.explode(F.array_append("near", F.col("a"))).alias("a"))
+    return moved.where("a <> b").select("a", "b").distinct()
 
 
 def near_copies(docs: DataFrame, by: str = "doc_id", text: str = "text", width: int = COPY_WORDS, similarity: float = COPY_SIMILARITY, bucket_max: int = BUCKET_MAX, group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -561,7 +570,7 @@ def near_copies(docs: DataFrame, by: str = "doc_id", text: str = "text", width:
     prints = common.cut(copy_prints(rows, words, width), "prints")
     names = [f"f{k}" for k in range(words)]
     nodes = common.cut(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.min(n).alias(n) for n in names]), "nodes")
-    met = common.cut(components(links_of(nodes, segs, names[:COPY_CHECK], COPY_RADIUS, bucket_max)), "met")
+    met = common.cut(components(_fewer(links_of(nodes, segs, names[:COPY_CHECK], COPY_RADIUS, bucket_max))), "met")
     # a node's text is the one of its least id; a text that has other shingles drops out
     places = nodes.select("node", "doc_id").join(met, "node")
     sets = shingle_sets(rows.join(places, "doc_id").select("root", "node", "text"), width)
