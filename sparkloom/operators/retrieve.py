@@ -60,8 +60,9 @@ def score(queries: DataFrame, entries: DataFrame) -> DataFrame:
 #: Tokens of the queries that one pass over the entries takes along; more queries take more
 #: passes.
 PASS_TOKENS = 1_000_000
-#: Cells (entries times queries) that are scored at once.
-BLOCK_CELLS = 2_000_000
+#: Cells (entries times queries), and meetings of an entry's token with a query's, that are
+#: scored at once.
+BLOCK_CELLS = 1_000_000
 #: Scores are compared at 9 digits: what may still round up to a bound isn't left out.
 MARGIN = 2e-9
 FOUND = "kw_raw double, s_kw double, cosine double, score double"
@@ -98,6 +99,7 @@ class Asked:
         sums = [np.cumsum(x) for x in (keyword, unit * unit)]
         sums = [c - (c[first] - x[first]) for c, x in zip(sums, (keyword, unit * unit), strict=True)]
         upto = sums[0] + MEANING_SHARE * np.sqrt(np.maximum(sums[1], 0))
+        self.asking = np.bincount(word, minlength=len(self.words))  # queries of each word
         self.first = np.searchsorted(query, np.arange(self.size + 1))  # by query, frequent tokens first
         self.query_word, self.query_idf, self.query_unit, self.query_upto = word, idf, unit, upto
         turn = np.argsort(word, kind="stable")
@@ -124,7 +126,20 @@ class Finder:
         self.best: list[tuple] = [()] * asked.size
 
     def see(self, entry_ids: list, entry: np.ndarray, word: np.ndarray, impact: np.ndarray) -> None:
-        """Entries and their tokens among the queries': entry's place, word, impact."""
+        """Entries and their tokens among the queries': entry's place (ascending), word, impact.
+        Blocks of whole entries are scored at once, of ``BLOCK_CELLS`` meetings or a single entry."""
+        a = self.asked
+        first = np.searchsorted(entry, np.arange(len(entry_ids) + 1))
+        meetings = np.concatenate([[0], np.cumsum(a.asking[word])])[first]
+        at, each = 0, max(BLOCK_CELLS // max(a.size, 1), 1)
+        while at < len(entry_ids):
+            upto = int(np.searchsorted(meetings, meetings[at] + BLOCK_CELLS, "right")) - 1
+            end = min(max(upto, at + 1), at + each, len(entry_ids))
+            rows = slice(first[at], first[end])
+            self._see_block(entry_ids[at:end], entry[rows] - at, word[rows], impact[rows])
+            at = end
+
+    def _see_block(self, entry_ids: list, entry: np.ndarray, word: np.ndarray, impact: np.ndarray) -> None:
         a, n = self.asked, self.asked.size
         use, start, count, rest = a.essential(self.goal)
         times = start[word + 1] - start[word]
@@ -139,10 +154,21 @@ class Finder:
         self.scored += e.size
         if not e.size:
             return
-        # whole scores of what is left: the query's tokens, looked up among the entry's
         key = entry * len(a.words) + word
         order = np.argsort(key)
         key, of = key[order], impact[order]
+        turn = np.unique(np.array(entry_ids), return_inverse=True)[1]
+        # whole scores of what is left, in pieces: a pair takes all of its query's tokens
+        ends = np.cumsum(a.first[q + 1] - a.first[q])
+        lo = 0
+        while lo < e.size:
+            hi = max(int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BLOCK_CELLS, "right")), lo + 1)
+            self._score(entry_ids, turn, e[lo:hi], q[lo:hi], key, of)
+            lo = hi
+
+    def _score(self, entry_ids: list, turn: np.ndarray, e: np.ndarray, q: np.ndarray, key: np.ndarray, of: np.ndarray) -> None:
+        """Pairs of entries and queries: the query's tokens are looked up among the entry's."""
+        a = self.asked
         size = a.first[q + 1] - a.first[q]
         pair = np.repeat(np.arange(e.size), size)
         at = np.arange(pair.size) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a.first[q], size)
@@ -153,7 +179,11 @@ class Finder:
         cos = np.bincount(pair[has], a.query_unit[at[has]] * of[place[has]], minlength=e.size)
         share = np.divide(kw, a.possible[q], out=np.zeros_like(kw), where=a.possible[q] > 0)
         score = KEYWORD_SHARE * share + MEANING_SHARE * np.maximum(cos, 0)
-        for i in np.flatnonzero(score >= self.goal[q] - MARGIN).tolist():
+        # rows are made of a query's k best only
+        order = np.lexsort((turn[e], -np.round(score, 9), q))
+        ordered = q[order]
+        order = order[np.arange(order.size) - np.searchsorted(ordered, ordered) < self.k]
+        for i in order[score[order] >= self.goal[q[order]] - MARGIN].tolist():
             self.best[q[i]] += ((-round(score[i], 9), entry_ids[e[i]], kw[i], share[i], cos[i], score[i]),)
         for j in np.unique(q).tolist():
             if len(self.best[j]) > self.k:
@@ -162,6 +192,7 @@ class Finder:
                 self.goal[j] = self.best[j][-1][5]
 
     def see_batch(self, batch: pa.RecordBatch) -> None:
+        """Rows of :func:`index`."""
         tokens, a = batch.column("tokens"), self.asked
         entry = np.repeat(np.arange(batch.num_rows), tokens.value_lengths().to_numpy(zero_copy_only=False))
         word = pc.index_in(tokens.flatten(), value_set=a.words)
@@ -169,43 +200,69 @@ class Finder:
         impact = batch.column("impacts").flatten().to_numpy(zero_copy_only=False)
         self.see(batch.column("entry_id").to_pylist(), entry[known], word.drop_null().to_numpy().astype(np.int64), impact[known])
 
+    def see_rows(self, batches) -> None:
+        """Batches of (entry_id, word, impact), an entry's rows together; the last entry of a
+        batch waits for its other rows."""
+        kept = []
+        for batch in batches:
+            if batch.num_rows:
+                ids = batch.column("entry_id")
+                new = np.flatnonzero(pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)) + 1
+                last = int(new[-1]) if new.size else 0
+                if last or kept and kept[-1].column("entry_id")[-1] != ids[0]:
+                    self._see_whole([*kept, batch.slice(0, last)])
+                    kept = []
+                kept.append(batch.slice(last))
+        if kept:
+            self._see_whole(kept)
+
+    def _see_whole(self, batches: list[pa.RecordBatch]) -> None:
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        ids = rows["entry_id"].combine_chunks()
+        new = np.concatenate([[True], pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)])
+        self.see(ids.filter(pa.array(new)).to_pylist(), np.cumsum(new) - 1, rows["word"].to_numpy().astype(np.int64), rows["impact"].to_numpy())
+
 
 def search(queries: DataFrame, entries: DataFrame, k: int = 1, pass_tokens: int = PASS_TOKENS) -> DataFrame:
     """The rows of ``best(score(queries, entries), k)``, without their pairs: the entries
     stream past a stated set of queries, in passes of ``pass_tokens`` of their tokens.
 
-    A task holds the k best entries of each query so far. Tokens of a query that can't reach
-    the k-th score together are set aside; a pair that shares nothing else isn't looked at, and
-    one whose other tokens and the most that those may add fall short isn't scored. Tasks hand
-    on k rows a query. Weights aren't negative; queries without a token that an entry has get
-    no rows.
+    Only tokens that a query has are dealt by entries, a row a token with its impact (its
+    weight over the entry's norm), so no row and no batch grows with an entry. A task holds the
+    k best entries of each query so far. Tokens of a query that can't reach the k-th score
+    together are set aside; a pair that shares nothing else isn't looked at, and one whose other
+    tokens and the most that those may add fall short isn't scored. Tasks hand on k rows a
+    query. Weights aren't negative; queries without a token that an entry has get no rows.
     """
-    spark, indexed = queries.sparkSession, index(entries)
+    spark = queries.sparkSession
     asked = tables.cut(queries.select("query_id", "token", "idf", "unit"), "asked")
     total = asked.count()
     passes = max(1, -(-total // pass_tokens))
     asked = asked.withColumn("pass", F.pmod(F.xxhash64("query_id"), F.lit(passes)))
+    norms = entries.groupBy("entry_id").agg((F.sqrt(F.sum(F.col("w") * F.col("w"))) + 1e-10).alias("norm"))
     if passes > 1:
-        indexed = tables.cut(indexed, "index")
+        norms = tables.cut(norms, "norms")
     kinds = {c: dict(queries.dtypes + entries.dtypes)[c] for c in ("query_id", "entry_id")}
     schema = f"query_id {kinds['query_id']}, entry_id {kinds['entry_id']}, {FOUND}"
+    entry_type = entries.select("entry_id").limit(0).toArrow().schema.field(0).type
     found = None
     for p in range(passes):
-        shared = spark.sparkContext.broadcast(asked.where(F.col("pass") == p).drop("pass").toArrow())
+        rows = asked.where(F.col("pass") == p).drop("pass").toArrow()
+        words = Asked(rows).words
+        shared = spark.sparkContext.broadcast(rows)
 
         def run(batches, shared=shared):
-            asked_now = Asked(shared.value)
-            finder, each = Finder(asked_now, k), max(BLOCK_CELLS // max(asked_now.size, 1), 1)
-            for whole in batches:
-                for at in range(0, whole.num_rows if asked_now.size else 0, each):
-                    finder.see_batch(whole.slice(at, each))
+            finder = Finder(Asked(shared.value), k)
+            finder.see_rows(batches)
             rows = [(j, *r[1:]) for j, best_of in enumerate(finder.best) for r in best_of]
             if rows:
                 columns = list(zip(*rows, strict=True))
-                ids = [asked_now.ids.take(pa.array(columns[0])), pa.array(columns[1], whole.schema.field("entry_id").type)]
+                ids = [finder.asked.ids.take(pa.array(columns[0])), pa.array(columns[1], entry_type)]
                 yield pa.RecordBatch.from_arrays([*ids, *(pa.array(c, pa.float64()) for c in columns[2:])], ["query_id", "entry_id", "kw_raw", "s_kw", "cosine", "score"])
 
-        part = indexed.mapInArrow(run, schema)
+        known = spark.createDataFrame(pa.table({"token": words.cast(pa.string()), "word": pa.array(np.arange(len(words), dtype=np.int32))}), "token string, word int")
+        dealt = entries.join(known, "token").select("entry_id", "word", "w").join(norms, "entry_id").select("entry_id", "word", (F.col("w") / F.col("norm")).alias("impact"))
+        part = dealt.repartition("entry_id").sortWithinPartitions("entry_id").mapInArrow(run, schema)
         found = part if found is None else found.union(part)
     return best(found, k)
 

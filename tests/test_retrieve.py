@@ -60,3 +60,39 @@ def test_no_queries_and_no_entries(spark):
     queries, entries = corpus(spark, n=5, q=2)
     assert retrieve.search(queries.limit(0), entries).count() == retrieve.search(queries, entries.limit(0)).count() == 0
     assert isinstance(retrieve.Asked(queries.limit(0).select("query_id", "token", "idf", "unit").toArrow()).ids, pa.Array)
+
+
+def test_blocks_are_bounded_by_meetings(spark, monkeypatch):
+    """Frequent tokens that most queries have: no block makes more than its share of meetings or
+    rows, and the result is that of all pairs."""
+    queries, entries = corpus(spark, n=400, q=60)
+    want = retrieve.best(retrieve.score(queries, entries), 2).collect()
+    asked = retrieve.Asked(queries.select("query_id", "token", "idf", "unit").toArrow())
+    monkeypatch.setattr(retrieve, "BLOCK_CELLS", 200)
+    most, whole, bincount = [], retrieve.Finder(asked, 2), np.bincount
+    monkeypatch.setattr(retrieve.np, "bincount", lambda x, *a, **k: (most.append(len(x)), bincount(x, *a, **k))[1])
+    for batch in retrieve.index(entries).toArrow().combine_chunks().to_batches():
+        whole.see_batch(batch)
+    entry_most = asked.query.size  # an entry meets each token of each query once at most
+    assert max(most) <= max(200, entry_most)
+    monkeypatch.undo()
+    got = {asked.ids[j].as_py(): [x[1] for x in b] for j, b in enumerate(whole.best) if b}
+    ranked = {}
+    for r in sorted(want, key=lambda r: r["rank"]):
+        ranked.setdefault(r["query_id"], []).append(r["entry_id"])
+    assert got == ranked
+
+
+def test_entries_cross_batches(spark):
+    """Rows of one entry in several batches are one entry."""
+    queries, entries = corpus(spark, n=100, q=10)
+    asked = retrieve.Asked(queries.select("query_id", "token", "idf", "unit").toArrow())
+    one, many = retrieve.Finder(asked, 3), retrieve.Finder(asked, 3)
+    rows = retrieve.index(entries).toArrow().to_pylist()
+    place = {w: i for i, w in enumerate(asked.words.to_pylist())}
+    flat = [(r["entry_id"], place[t], x) for r in sorted(rows, key=lambda r: r["entry_id"]) for t, x in zip(r["tokens"], r["impacts"], strict=True) if t in place]
+    table = pa.table(dict(zip(("entry_id", "word", "impact"), map(list, zip(*flat, strict=True)), strict=True)))
+    one.see_rows(table.to_batches())
+    many.see_rows(table.to_batches(max_chunksize=3))
+    assert [sorted(x[:2] for x in b) for b in one.best] == [sorted(x[:2] for x in b) for b in many.best]
+    assert sum(map(len, one.best)) > 20
