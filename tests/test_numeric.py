@@ -76,6 +76,21 @@ def test_cbow_brings_words_of_one_context_together(spark):
     assert all(np.allclose(again[w], v[w], atol=1e-5) for w in v)
 
 
+def test_cbow_leaves_vectors_in_tasks(spark, monkeypatch):
+    """No vector and no word passes through the driver, with several tasks too."""
+    rng = np.random.default_rng(1)
+    rows = [([f"w{w}" for w in rng.integers(0, 40, 500)],) for _ in range(900)]
+    df = spark.createDataFrame(rows, "sentence array<string>")
+    taken, to_arrow = [], type(df).toArrow
+    monkeypatch.setattr(type(df), "toArrow", lambda self: (taken.extend(self.columns), to_arrow(self))[1])
+    made = spark.createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: (taken.append("made"), made(data, *a, **k))[1])
+    found = features.cbow(df, dims=4, window=2, epochs=2)
+    assert taken == ["i", "n"]
+    got = {r["word"]: r["vector"] for r in found.collect()}
+    assert len(got) == 40 and all(len(v) == 4 and np.isfinite(v).all() for v in got.values())
+
+
 def test_spectrum():
     a, _ = problem()
     assert abs(solvers.spectral_radius(a, 500) - np.linalg.eigvalsh(a)[-1]) < 1e-6
