@@ -312,6 +312,9 @@ def summed_vectors(weights: DataFrame, vectors: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([doc.take(pa.array(starts)), *(pa.array(np.ascontiguousarray(total[:, k])) for k in range(dims))], ["doc_id", *(f"d{k}" for k in range(dims))])
 
     rows = weights.where(F.col("place").isNotNull()).select("doc_id", F.col("place").cast("int").alias("place"), F.col("w").cast("double").alias("w"))
+    # a document's places come together first: a place and a weight are shuffled, not a vector
+    # for each task that has some of them
+    rows = rows.repartition("doc_id").sortWithinPartitions("doc_id")
     parts = rows.mapInArrow(add, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"d{k} double" for k in range(dims)))
     sums = parts.groupBy("doc_id").agg(*[F.sum(f"d{k}").alias(f"d{k}") for k in range(dims)]).select("doc_id", F.array(*[f"d{k}" for k in range(dims)]).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)) + 1e-10
