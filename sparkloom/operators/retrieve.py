@@ -11,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -299,7 +301,7 @@ def summed_vectors(weights: DataFrame, vectors: np.ndarray) -> DataFrame:
     rows, over its norm + 1e-10. ``vectors`` is a table of a checked size; a task adds up
     what it has of a document before anything is shuffled. Null places are left out."""
     if vectors.nbytes > VECTORS_BYTES:
-        raise ValueError("too many vectors to send to every task: join them instead (joined_vectors)")
+        raise ValueError("too many vectors to send to every task: join them instead (stored_vectors)")
     shared, dims = weights.sparkSession.sparkContext.broadcast(vectors), vectors.shape[1]
 
     def add(batches):
@@ -316,19 +318,56 @@ def summed_vectors(weights: DataFrame, vectors: np.ndarray) -> DataFrame:
     # for each task that has some of them
     rows = rows.repartition("doc_id").sortWithinPartitions("doc_id")
     parts = rows.mapInArrow(add, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"d{k} double" for k in range(dims)))
-    sums = parts.groupBy("doc_id").agg(*[F.sum(f"d{k}").alias(f"d{k}") for k in range(dims)]).select("doc_id", F.array(*[f"d{k}" for k in range(dims)]).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)) + 1e-10
-    return sums.withColumn("norm", norm).select("doc_id", F.transform("v", lambda x: x / F.col("norm")).alias("vec"))
+    return _unit(parts, dims)
+
+
+def stored_vectors(weights: DataFrame, table: DataFrame, dims: int, block: int = 32_768) -> DataFrame:
+    """As :func:`summed_vectors`, with the vectors as a table (place, emb) of any size, which is
+    written in blocks to the shared folder. A task goes through its documents block by block and
+    holds one; what is shuffled are a place and a weight, and then a vector a document."""
+    spark, folder = weights.sparkSession, tables.fresh_path(weights.sparkSession, "blocks")
+    own = table.select(F.floor(F.col("place") / block).cast("int").alias("block"), F.pmod("place", F.lit(block)).cast("int").alias("at"), F.col("emb").cast("array<double>").alias("emb"))
+    own.repartition("block").write.option("parquet.block.size", 8 << 20).partitionBy("block").parquet(folder)
+
+    def read(number: int) -> np.ndarray:
+        out = np.zeros((block, dims))
+        fs, path = pafs.FileSystem.from_uri(f"{folder}/block={number}")
+        if fs.get_file_info(path).type == pafs.FileType.NotFound:
+            return out
+        for file in (f.path for f in fs.get_file_info(pafs.FileSelector(path)) if f.base_name.endswith(".parquet")):
+            with fs.open_input_file(file) as opened:
+                for batch in pq.ParquetFile(opened).iter_batches(4_096, columns=["at", "emb"]):
+                    out[batch.column("at").to_numpy()] = batch.column("emb").flatten().to_numpy().reshape(-1, dims)
+        return out
 
+    def add(batches):
+        key, held = None, None
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            cut = np.flatnonzero(blocks[1:] != blocks[:-1]) + 1
+            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(blocks)], strict=True):
+                if lo == hi:
+                    continue
+                if key != blocks[lo]:
+                    key, held = blocks[lo], read(int(blocks[lo]))
+                part = batch.slice(lo, hi - lo)
+                doc, at, w = part.column("doc_id"), part.column("at").to_numpy(), part.column("w").to_numpy()
+                new = pc.fill_null(pc.not_equal(doc[1:], doc[:-1]), True).to_numpy(zero_copy_only=False)
+                starts = np.flatnonzero(np.concatenate([[True], new]))
+                total = np.add.reduceat(held[at] * w[:, None], starts, axis=0)
+                yield pa.RecordBatch.from_arrays([doc.take(pa.array(starts)), *(pa.array(np.ascontiguousarray(total[:, k])) for k in range(dims))], ["doc_id", *(f"d{k}" for k in range(dims))])
+
+    rows = weights.where(F.col("place").isNotNull()).select("doc_id", F.floor(F.col("place") / block).cast("int").alias("block"), F.pmod("place", F.lit(block)).cast("int").alias("at"), F.col("w").cast("double").alias("w"))
+    rows = rows.repartition("doc_id").sortWithinPartitions("block", "doc_id")
+    parts = rows.mapInArrow(add, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"d{k} double" for k in range(dims)))
+    return _unit(parts, dims)
 
-def joined_vectors(weights: DataFrame, table: DataFrame, dims: int) -> DataFrame:
-    """As :func:`summed_vectors`, with the vectors as a table (place, emb) of any size that
-    weights are joined to. One sum a dimension, aggregated before the shuffle."""
-    rows = weights.where(F.col("place").isNotNull()).join(table, "place")
-    sums = [F.sum(F.col("w") * F.col("emb")[d].cast("double")).alias(f"d{d}") for d in range(dims)]
-    packed = rows.groupBy("doc_id").agg(*sums).select("doc_id", F.array(*[f"d{d}" for d in range(dims)]).alias("v"))
+
+def _unit(parts: DataFrame, dims: int) -> DataFrame:
+    """(doc_id, vec): sums of a document's parts (doc_id, d0, d1, ...) over their norm + 1e-10."""
+    sums = parts.groupBy("doc_id").agg(*[F.sum(f"d{k}").alias(f"d{k}") for k in range(dims)]).select("doc_id", F.array(*[f"d{k}" for k in range(dims)]).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)) + 1e-10
-    return packed.withColumn("norm", norm).select("doc_id", F.transform("v", lambda x: x / F.col("norm")).alias("vec"))
+    return sums.withColumn("norm", norm).select("doc_id", F.transform("v", lambda x: x / F.col("norm")).alias("vec"))
 
 
 def chunk_counts(chunks: DataFrame, key: str = "url") -> DataFrame:
